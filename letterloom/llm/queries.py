@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterloom.llm import mixing, packing, splitting, tokens
+from letterloom.llm import mixing, packing, quality, splitting, tokens
 from letterloom.session import cut, table
 
 
@@ -59,7 +59,16 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.share_report(p9_mix(spark, d), _targets(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p6_pieces, p8_pack, p8_fill, p9_mix, p9_shares)}
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    stats = cut(quality.document_statistics(table(spark, d, "documents"), "doc_id", "text", "lang"))
+    return quality.classify(quality.standardise(stats, quality.language_sketches(stats)))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_scores(spark, d).where("text_class <> 'prose'").select("doc_id", "text_class").distinct()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p6_pieces, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_scores)}
 
 ORACLES: dict[str, str] = {
     "p6_found": r"""
