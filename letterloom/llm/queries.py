@@ -7,10 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterloom.llm import mixing, packing, quality, splitting, tokens
+from letterloom.llm import encoding, mixing, packing, quality, splitting, tokens
 from letterloom.session import cut, table
 
 
+def _repaired(spark: SparkSession, d: str, keep_text: bool) -> DataFrame:
+    subject = table(spark, d, "messages").select(F.lit("subject").alias("field"), F.col("id").alias("rec_id"), F.col("subject").alias("text"))
+    body = table(spark, d, "parsed_messages").select(F.lit("body").alias("field"), F.col("parse_id").alias("rec_id"), F.col("body").alias("text"))
+    texts = subject.unionByName(body)
+    counts = {r["pair"]: r["n"] for r in encoding.pair_counts(texts, ["text"]).collect()}
+    return encoding.repair(texts, "text", counts, keep_text).where("restored_words > 0 OR garbled_left")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _repaired(spark, d, keep_text=False).select("field", "rec_id").distinct()
+
+
+def p3_restored(spark: SparkSession, d: str) -> DataFrame:
+    return _repaired(spark, d, keep_text=True).select("field", "rec_id", "restored", "garbled_left")
+
+
 def _split(spark: SparkSession, d: str) -> DataFrame:
     specs = table(spark, d, "split_specs")
     body = table(spark, d, "parsed_messages").select(F.lit("body").alias("field"), F.col("parse_id").alias("rec_id"), F.lit("").alias("kind"), F.col("body").alias("text"))
@@ -68,7 +84,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_scores(spark, d).where("text_class <> 'prose'").select("doc_id", "text_class").distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p6_pieces, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_scores)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_restored, p6_found, p6_pieces, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_scores)}
 
 ORACLES: dict[str, str] = {
     "p6_found": r"""
