@@ -24,14 +24,19 @@ from pyspark.sql import functions as F
 LEGACY = ["cp1252", "latin-1", "mac_roman", "cp850", "cp437", "cp1251", "koi8-r", "cp866"]
 INTENDED = ["utf-8", "cp1252", "cp1251", "koi8-r", "cp866", "cp850", "cp437", "mac_roman"]
 LAYERS = 4
+#: One side of a mix-up of single-byte encodings is one of these.
+_COMMON = frozenset(("cp1252", "latin-1", "cp1251"))
 #: Nats by which a repair must lower the cost. Strict multi-byte decoding is strong evidence already.
 MARGIN, MARGIN_UTF8, MARGIN_PER_CHANGE = 3.5, 1.0, 1.2
+#: Margin of words whose edge is a typographic quote, which stands there by right more often than not.
+MARGIN_QUOTED = 6.0
 #: Cost of a capital after a small letter, where either is beyond ASCII, and of a character no text has.
 CAPITAL_COST, HOPELESS_COST = 3.0, 4.0
 
 _SPACE = re.compile(r"[ \t\r\n\f]+")
 _HOPELESS = re.compile("[�\x80-\x84\x86-\x9f]")
 _OTHER = "□"
+_QUOTES = frozenset("“”„‘’«»…")
 
 
 def _sloppy(wrong: str) -> dict[str, int]:
@@ -64,7 +69,7 @@ def _candidates(word: str) -> Iterator[tuple[str, str, str]]:
                     new = (raw + b"\xa0" if intended == "utf-8" and raw[-1] in b"\xc2\xc3" else raw).decode(intended)
                 except UnicodeDecodeError:
                     continue
-                if new not in seen:
+                if new not in seen and (intended == "utf-8" or wrong in _COMMON or intended in _COMMON) and all(c < "\x80" or c in _ALPHABET for c in new):
                     seen.add(new)
                     yield wrong, intended, new
 
@@ -137,7 +142,7 @@ class Repairer:
             if best is None:
                 break
             changed = sum(1 for c in now if c > "\x7f")
-            if cost - best[0] < (MARGIN_UTF8 if best[2][1] == "utf-8" else max(MARGIN, MARGIN_PER_CHANGE * changed)):
+            if cost - best[0] < (MARGIN_UTF8 if best[2][1] == "utf-8" else max(MARGIN_QUOTED if now[0] in _QUOTES or now[-1] in _QUOTES else MARGIN, MARGIN_PER_CHANGE * changed)):
                 break
             cost, now, by = best
             if now.isascii():

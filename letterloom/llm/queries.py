@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterloom.llm import encoding, mixing, packing, quality, splitting, tokens
+from letterloom.llm import encoding, mixing, packing, quality, replies, splitting, tokens
 from letterloom.session import cut, table
 
 
@@ -27,6 +27,14 @@ def p3_restored(spark: SparkSession, d: str) -> DataFrame:
     return _repaired(spark, d, keep_text=True).select("field", "rec_id", "restored", "garbled_left")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return replies.find_older_lines(table(spark, d, "parsed_messages"), table(spark, d, "messages"))
+
+
+def p4_new_text(spark: SparkSession, d: str) -> DataFrame:
+    return replies.find_older_lines(table(spark, d, "parsed_messages"), table(spark, d, "messages"), reduced=True)
+
+
 def _split(spark: SparkSession, d: str) -> DataFrame:
     specs = table(spark, d, "split_specs")
     body = table(spark, d, "parsed_messages").select(F.lit("body").alias("field"), F.col("parse_id").alias("rec_id"), F.lit("").alias("kind"), F.col("body").alias("text"))
@@ -84,7 +92,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_scores(spark, d).where("text_class <> 'prose'").select("doc_id", "text_class").distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_restored, p6_found, p6_pieces, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_scores)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_restored, p4_found, p4_new_text, p6_found, p6_pieces, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_scores)}
 
 ORACLES: dict[str, str] = {
     "p6_found": r"""
