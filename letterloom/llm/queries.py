@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterloom.llm import encoding, mixing, packing, quality, replies, splitting, tokens
+from letterloom.llm import encoding, mixing, packing, quality, replies, scans, splitting, tokens
 from letterloom.session import cut, table
 
 
@@ -52,6 +52,24 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _split(spark, d).select("field", "rec_id", "piece_no", "n_pieces", "piece")
 
 
+def _pages(spark: SparkSession, d: str, repaired: bool) -> DataFrame:
+    files = table(spark, d, "attachment_text").where("path_text IS NOT NULL").select(F.lit("attachment").alias("field"), F.col("path_text").alias("rec_key"), "text")
+    pieces = table(spark, d, "chunks").where("kind = 'attachment'").select("id", "attachment_id", "text")
+    whole = scans.running_shapes(files)
+    origin = table(spark, d, "attachments").where("path_text IS NOT NULL").select(F.col("id").alias("attachment_id"), F.col("path_text").alias("rec_key")).join(whole, "rec_key").select("attachment_id", "shapes")
+    cut_pieces = pieces.join(origin, "attachment_id", "left").select(F.lit("chunk").alias("field"), F.col("id").cast("string").alias("rec_key"), "text", "shapes")
+    model = scans.train(files.select("text").unionByName(pieces.select("text")), "text")
+    return scans.clean_pages(files.withColumn("shapes", F.lit(None).cast("array<string>")).unionByName(cut_pieces), model, repaired)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pages(spark, d, repaired=False).distinct()
+
+
+def p7_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return _pages(spark, d, repaired=True)
+
+
 def _doc_tokens(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", "text")
     return cut(docs.select("doc_id", "source", tokens.count_tokens(F.col("text")).alias("tokens")))
@@ -92,7 +110,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_scores(spark, d).where("text_class <> 'prose'").select("doc_id", "text_class").distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_restored, p4_found, p4_new_text, p6_found, p6_pieces, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_scores)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_restored, p4_found, p4_new_text, p6_found, p6_pieces, p7_found, p7_repaired, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_scores)}
 
 ORACLES: dict[str, str] = {
     "p6_found": r"""
