@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterloom.llm import encoding, mixing, packing, quality, replies, scans, splitting, tokens
+from letterloom.llm import encoding, mixing, packing, personal, quality, replies, scans, splitting, tokens
 from letterloom.session import cut, table
 
 
@@ -35,6 +35,22 @@ def p4_new_text(spark: SparkSession, d: str) -> DataFrame:
     return replies.find_older_lines(table(spark, d, "parsed_messages"), table(spark, d, "messages"), reduced=True)
 
 
+def _personal(spark: SparkSession, d: str, replaced: bool) -> DataFrame:
+    body = table(spark, d, "parsed_messages").select(F.lit("body").alias("field"), F.col("parse_id").alias("rec_id"), F.col("body").alias("text"))
+    chunk = table(spark, d, "chunks").select(F.lit("chunk").alias("field"), F.col("id").alias("rec_id"), "text")
+    texts = body.unionByName(chunk).where("text IS NOT NULL AND text <> ''")
+    flags = personal.name_flags(texts, table(spark, d, "messages"))
+    return personal.find_personal(texts, flags, personal.number_shapes(texts), replaced)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _personal(spark, d, replaced=False).distinct()
+
+
+def p5_replaced(spark: SparkSession, d: str) -> DataFrame:
+    return _personal(spark, d, replaced=True)
+
+
 def _split(spark: SparkSession, d: str) -> DataFrame:
     specs = table(spark, d, "split_specs")
     body = table(spark, d, "parsed_messages").select(F.lit("body").alias("field"), F.col("parse_id").alias("rec_id"), F.lit("").alias("kind"), F.col("body").alias("text"))
@@ -110,7 +126,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_scores(spark, d).where("text_class <> 'prose'").select("doc_id", "text_class").distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_restored, p4_found, p4_new_text, p6_found, p6_pieces, p7_found, p7_repaired, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_scores)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_restored, p4_found, p4_new_text, p5_found, p5_replaced, p6_found, p6_pieces, p7_found, p7_repaired, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_scores)}
 
 ORACLES: dict[str, str] = {
     "p6_found": r"""
