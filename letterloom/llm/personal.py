@@ -228,7 +228,10 @@ class Finder:
                 at = m.end()
         at = 0
         for d in _DIGITS.finditer(flat):
-            for m in _NUMBER.finditer(flat, max(at, d.start() - 5), d.end() + 14):
+            stop = min(len(flat), d.end() + 14)
+            for m in _NUMBER.finditer(flat, max(at, d.start() - 5), stop):
+                if m.end() == stop < len(flat):
+                    break  # cut off by the window
                 at = max(at, m.end())
                 if m.end() - m.start() >= 7 and not _DATE.match(m.group()):
                     kind = self.shapes.get(shape(m.group()))
@@ -252,6 +255,9 @@ class Finder:
                 i += 1
                 continue
             nxt = tokens[i + 1] if i + 1 < n else None
+            if nxt and nxt[2].lower() in _COMPANY | _STREET and _ADJACENT.fullmatch(flat[b : nxt[0]]):
+                i += 2  # a company's or a street's name
+                continue
             if f & FIRST and nxt:
                 gap = flat[b : nxt[0]]
                 adjacent, middle = _ADJACENT.fullmatch(gap), _MIDDLE.fullmatch(gap)
