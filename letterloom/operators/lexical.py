@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,22 +24,21 @@ def postings(docs: DataFrame, key: str, texts: list[str]) -> DataFrame:
 def search(docs: DataFrame, key: str, texts: list[str], question: list[str]) -> DataFrame:
     """(key, score) of documents holding every term of ``question``; a lower score is better.
 
-    BM25 with the statistics of the whole corpus. Only the question's terms are taken out of a
-    document; corpus size and mean length come from the same pass as one small row.
+    BM25 with the statistics of the whole corpus, one row of numbers that a first pass brings to the
+    driver. Only the question's terms are counted in a document; nothing is shuffled but partial sums.
+    An empty question or corpus finds nothing.
     """
     wanted = sorted(set(question))
     every = F.concat(*(T.terms(F.col(c)) for c in texts))
-    counted = docs.select(key, every.alias("ts")).select(key, F.size("ts").alias("dl"), *(F.size(F.filter("ts", lambda t, w=w: t == w)).alias(f"tf{i}") for i, w in enumerate(wanted)))
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(wanted))))
+    counted = docs.select(key, every.alias("ts")).select(key, F.size("ts").alias("dl"), *((F.size("ts") - F.size(F.array_remove("ts", w))).alias(f"tf{i}") for i, w in enumerate(wanted)))
+    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(wanted)))).first()
     hits = counted.where(" AND ".join(f"tf{i} > 0" for i in range(len(wanted))) if wanted else "false")
-    joined = hits.join(F.broadcast(stats))  # one row
     score = F.lit(0.0)
     for i in range(len(wanted)):
-        df, tf = F.col(f"df{i}"), F.col(f"tf{i}")
-        idf = F.log((F.col("n") - df + 0.5) / (df + 0.5))
-        idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-        score = score - idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return joined.select(key, score.alias("score"))
+        n, df, tf = stats["n"], stats[f"df{i}"] or 0, F.col(f"tf{i}")
+        idf = math.log((n - df + 0.5) / (df + 0.5))
+        score = score - (idf if idf > 0 else 1e-6) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / (stats["avgdl"] or 1.0)))
+    return hits.select(key, score.alias("score"))
 
 
 def top(scored: DataFrame, key: str, k: int) -> DataFrame:

@@ -1,30 +1,367 @@
-"""The core queries and their SQL."""
+"""The core queries and, where SQL can say the same, their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from letterloom.operators import instants, units
+from letterloom.functions import text as T
+from letterloom.functions import values as V
+from letterloom.operators import fusion, ingest, instants, lexical, units, vectors
 from letterloom.session import table
+from letterloom.streaming import ingest as stream
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return units.foreign_units(table(spark, d, "table_rows"), table(spark, d, "quantity_units"))
+QUESTION = ["pump", "report"]
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return instants.wrong_instants(table(spark, d, "messages"), table(spark, d, "site_zones"))
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
 
 
+@query()
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return units.foreign_units(table(spark, d, "table_rows"), table(spark, d, "quantity_units"))
+
+
+@query()
 def p1_values(spark: SparkSession, d: str) -> DataFrame:
     return units.convert_quantities(table(spark, d, "table_rows"), table(spark, d, "quantity_units"))
 
 
+@query()
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return instants.wrong_instants(table(spark, d, "messages"), table(spark, d, "site_zones"))
+
+
+@query()
 def p2_instants(spark: SparkSession, d: str) -> DataFrame:
     return instants.sending_instants(table(spark, d, "messages"), table(spark, d, "site_zones")).select("id", "date_ts", "sent_ts")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p1_values, p2_instants)}
-ORACLES: dict[str, str] = {}
+_TERMS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}\p{{Co}}._@\-]+')"
+
+
+@query(f"SELECT term, count(*) AS docs, sum(tf)::BIGINT AS occurrences FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS.format('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
+def tokenize_terms(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.postings(table(spark, d, "documents"), "doc_id", ["text"]).groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("occurrences"))
+
+
+@query(r"""SELECT id, coalesce(array_to_string(list_filter(regexp_extract_all(lower(subject), '[\p{L}\p{N}_@.\-]+'), lambda t: length(t) >= 2), ' AND '), '') AS expression FROM messages""")
+def fts_query_build(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "messages").select("id", T.match_expression(F.col("subject")).alias("expression"))
+
+
+@query(f"SELECT doc_id FROM (SELECT doc_id, {_TERMS.format('text')} AS ts FROM documents) WHERE list_contains(ts, 'pump') AND list_contains(ts, 'report')")
+def fts_match_and(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.search(table(spark, d, "documents"), "doc_id", ["text"], QUESTION).select("doc_id")
+
+
+_BM25 = """
+    SELECT {key}, round(-(sum(w)), 9) AS score FROM (
+      SELECT {key}, dl, term, tf, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END
+        * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS w
+      FROM (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM (SELECT {key}, dl, term, count(*) AS tf FROM (SELECT {key}, len(ts) AS dl, unnest(ts) AS term FROM {docs}) WHERE term IN ('pump', 'report') GROUP BY ALL)),
+           (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM {docs}))
+    GROUP BY {key} HAVING count(*) = 2"""
+_DOC_TERMS = f"(SELECT doc_id, {_TERMS.format('text')} AS ts FROM documents)"
+_CHUNK_TERMS = f"(SELECT id, coalesce({_TERMS.format('text')}, []) AS ts FROM chunks)"
+
+
+@query(f"SELECT *, row_number() OVER (ORDER BY score, doc_id)::INT AS rank FROM ({_BM25.format(key='doc_id', docs=_DOC_TERMS)}) ORDER BY score, doc_id LIMIT 20")
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    scored = lexical.search(table(spark, d, "documents"), "doc_id", ["text"], QUESTION)
+    return lexical.top(scored.withColumn("score", F.round("score", 9)), "doc_id", 20)
+
+
+@query(f"""SELECT * FROM (SELECT 'document' AS source, doc_id AS id, score FROM ({_BM25.format(key='doc_id', docs=_DOC_TERMS)})
+    UNION ALL SELECT 'chunk', id, score FROM ({_BM25.format(key='id', docs=_CHUNK_TERMS)})) ORDER BY score, source DESC, id LIMIT 20""")
+def lexical_union(spark: SparkSession, d: str) -> DataFrame:
+    docs = lexical.search(table(spark, d, "documents"), "doc_id", ["text"], QUESTION).select(F.lit("document").alias("source"), F.col("doc_id").alias("id"), F.round("score", 9).alias("score"))
+    chunks = lexical.search(table(spark, d, "chunks"), "id", ["text"], QUESTION).select(F.lit("chunk").alias("source"), "id", F.round("score", 9).alias("score"))
+    return docs.unionByName(chunks).orderBy("score", F.desc("source"), "id").limit(20)
+
+
+_L2 = "round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))), 9)"
+_KNN = f"SELECT q.vec_id AS query_id, v.vec_id, {_L2} AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_L2}, v.vec_id)::INT AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 QUALIFY rank <= 10"
+
+
+def _knn(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return vectors.nearest(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select("vec_id", F.col("embedding").alias("v")), 10)
+
+
+@query(f"SELECT query_id, vec_id, round(distance, 6) AS distance, rank FROM ({_KNN})")
+def knn_l2_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _knn(spark, d).withColumn("distance", F.round("distance", 6))
+
+
+@query(f"SELECT vec_id, round(min(distance), 6) AS distance, min(rank) AS rank, count(*) AS queries FROM ({_KNN}) GROUP BY vec_id")
+def knn_multi_query_best(spark: SparkSession, d: str) -> DataFrame:
+    return _knn(spark, d).groupBy("vec_id").agg(F.round(F.min("distance"), 6).alias("distance"), F.min("rank").alias("rank"), F.count("*").alias("queries"))
+
+
+_LEX = f"(SELECT doc_id, row_number() OVER (ORDER BY score, doc_id) AS rank FROM ({_BM25.format(key='doc_id', docs=_DOC_TERMS)}) ORDER BY score, doc_id LIMIT 50)"
+_VEC = f"(SELECT v.vec_id AS doc_id, row_number() OVER (ORDER BY {_L2}, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id = 0 ORDER BY {_L2}, v.vec_id LIMIT 100)"
+_FUSED = f"SELECT doc_id, a.rank::INT AS lexical_rank, b.rank::INT AS vector_rank, coalesce(1 / (60 + a.rank), 0) + coalesce(1 / (60 + b.rank), 0) AS score FROM {_LEX} a FULL JOIN {_VEC} b USING (doc_id)"
+
+
+def _fused(spark: SparkSession, d: str) -> DataFrame:
+    """Documents stand for messages; the vector with a document's number is its embedding."""
+    scored = lexical.search(table(spark, d, "documents"), "doc_id", ["text"], QUESTION)
+    words = lexical.top(scored.withColumn("score", F.round("score", 9)), "doc_id", 50)
+    e = table(spark, d, "embeddings")
+    near = vectors.nearest(e.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select("vec_id", F.col("embedding").alias("v")), 100)
+    return fusion.fuse(words.select("doc_id", "rank"), near.select(F.col("vec_id").alias("doc_id"), "rank"), "doc_id")
+
+
+@query(f"SELECT doc_id, lexical_rank, vector_rank, round(score, 9) AS score FROM ({_FUSED})")
+def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
+    return _fused(spark, d).withColumn("score", F.round("score", 9))
+
+
+_BOOST = """CASE WHEN day IS NULL THEN 0 WHEN day BETWEEN DATE '2023-01-01' AND DATE '2023-12-31' THEN 0.8
+    ELSE 0.8 * pow(2.71828, -(least(abs(date_diff('day', DATE '2023-01-01', day)), abs(date_diff('day', DATE '2023-12-31', day))) / 30.0) / 2.0) END"""
+
+
+@query(f"""SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank FROM (
+    SELECT f.doc_id, round(f.score + {_BOOST} + CASE WHEN lower(folder) LIKE '%inbox' THEN 0.05 ELSE 0 END + CASE WHEN contains(lower(from_email), 'norhaven') THEN 0.05 ELSE 0 END, 9) AS score
+    FROM ({_FUSED}) f JOIN (SELECT *, created_at::DATE AS day FROM documents) d ON d.doc_id = f.doc_id) ORDER BY score DESC, doc_id LIMIT 20""")
+def hybrid_boosted(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "folder", "from_email", F.to_date("created_at").alias("at"))
+    boost = V.time_boost(F.col("at"), F.lit("2023-01-01").cast("date"), F.lit("2023-12-31").cast("date"), 0.8)
+    soft = F.when(F.lower("folder").endswith("inbox"), 0.05).otherwise(0.0) + F.when(F.lower("from_email").contains("norhaven"), 0.05).otherwise(0.0)
+    scored = _fused(spark, d).join(docs, "doc_id").select("doc_id", F.round(F.col("score") + boost + soft, 9).alias("score"))
+    return scored.orderBy(F.desc("score"), "doc_id").limit(20).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
+
+
+@query("SELECT id, folder, from_email FROM messages WHERE lower(folder) LIKE '%inbox' AND contains(lower(from_email), 'norhaven') AND id IN (SELECT message_id FROM attachments)")
+def hard_filters(spark: SparkSession, d: str) -> DataFrame:
+    kept = fusion.hard_filter(table(spark, d, "messages"), "inbox", "norhaven")
+    return kept.join(table(spark, d, "attachments").select(F.col("message_id").alias("id")), "id", "left_semi").select("id", "folder", "from_email")
+
+
+@query(f"SELECT o_orderkey, round({_BOOST}, 9) AS boost FROM (SELECT o_orderkey, o_orderdate::DATE AS day FROM orders)")
+def temporal_boost(spark: SparkSession, d: str) -> DataFrame:
+    boost = V.time_boost(F.to_date("o_orderdate"), F.lit("2023-01-01").cast("date"), F.lit("2023-12-31").cast("date"), 0.8)
+    return table(spark, d, "orders").select("o_orderkey", F.round(boost, 9).alias("boost"))
+
+
+@query(r"""WITH RECURSIVE p AS (SELECT parse_id, pos, trim(p, E' \t\r\n\f') AS p FROM (SELECT parse_id, unnest(regexp_split_to_array(body, '\n{2,}')) AS p, generate_subscripts(regexp_split_to_array(body, '\n{2,}'), 1) AS pos FROM parsed_messages WHERE body IS NOT NULL)),
+    q AS (SELECT parse_id, row_number() OVER (PARTITION BY parse_id ORDER BY pos) AS i, p FROM p WHERE p <> ''),
+    f AS (SELECT parse_id, i, 1 AS chunk_no, length(p) + 2 AS size FROM q WHERE i = 1
+      UNION ALL SELECT q.parse_id, q.i, CASE WHEN f.size + length(q.p) > 800 THEN f.chunk_no + 1 ELSE f.chunk_no END, CASE WHEN f.size + length(q.p) > 800 THEN 0 ELSE f.size END + length(q.p) + 2
+      FROM f JOIN q ON q.parse_id = f.parse_id AND q.i = f.i + 1)
+    SELECT parse_id, chunk_no::INT AS chunk_no, string_agg(q.p, E'\n\n' ORDER BY i) AS text FROM f JOIN q USING (parse_id, i) GROUP BY parse_id, chunk_no""")
+def chunk_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    cut = table(spark, d, "parsed_messages").select("parse_id", F.posexplode(T.chunks(F.col("body"))).alias("n", "text"))
+    return cut.select("parse_id", (F.col("n") + 1).alias("chunk_no"), "text")
+
+
+@query("SELECT parse_id, k::INT AS piece_no, substr(body, 800 * (k - 1) + 1, 800) AS text FROM parsed_messages, unnest(range(1, (length(body) + 799) // 800 + 1)) AS t(k) WHERE length(body) > 0")
+def chunk_hard_split(spark: SparkSession, d: str) -> DataFrame:
+    long = table(spark, d, "parsed_messages").where("length(body) > 0")
+    return long.select("parse_id", "body", F.explode(F.sequence(F.lit(1), F.ceil(F.length("body") / 800).cast("int"))).alias("piece_no")).select("parse_id", "piece_no", F.expr("substring(body, 800 * (piece_no - 1) + 1, 800)").alias("text"))
+
+
+_ENTITY_SQL = "{}"
+for _name, _char in T.ENTITIES.items():
+    _ENTITY_SQL = f"replace({_ENTITY_SQL}, '{_name.replace(chr(39), chr(39) * 2)}', '{_char.replace(chr(39), chr(39) * 2)}')"
+_TAGS = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?i)<br\s*/?>', E'\n', 'g'), '(?i)</p\s*>', E'\n\n', 'g'), '<[^>]+>', ' ', 'g')"
+
+
+@query(f"SELECT doc_id, trim(regexp_replace({_ENTITY_SQL.format(_TAGS)}, '[ \\t\\r\\n\\f\\x0b\\x{{a0}}]+', ' ', 'g')) AS plain FROM documents")
+def html_to_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.html_to_text(F.col("text")).alias("plain"))
+
+
+@query("""SELECT m.id, concat('SUBJECT: ', coalesce(subject, ''), E'\\nFROM: ', coalesce(from_email, ''), E'\\nTO: ', coalesce(to_emails, ''), E'\\nCC: ', coalesce(cc_emails, ''), E'\\nFOLDER: ', coalesce(folder, ''), E'\\nATTACHMENTS: ', coalesce(names, ''),
+    CASE WHEN body <> '' THEN concat(E'\\nBODY: ', substr(body, 1, 500)) ELSE '' END) AS text FROM messages m
+    LEFT JOIN (SELECT message_id, string_agg(filename, ', ' ORDER BY id) AS names FROM attachments WHERE filename IS NOT NULL GROUP BY message_id) a ON a.message_id = m.id
+    LEFT JOIN (SELECT message_id, arg_min(body, parse_id) AS body FROM (SELECT * FROM parsed_messages WHERE body IS NOT NULL) GROUP BY message_id) p ON p.message_id = m.message_id""")
+def meta_chunk(spark: SparkSession, d: str) -> DataFrame:
+    names = table(spark, d, "attachments").where("filename IS NOT NULL").groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct("id", "filename"))).alias("a")).select(F.col("message_id").alias("id"), F.array_join(F.transform("a", lambda x: x["filename"]), ", ").alias("names"))
+    bodies = table(spark, d, "parsed_messages").where("body IS NOT NULL").groupBy("message_id").agg(F.min_by(F.substring("body", 1, 500), "parse_id").alias("body"))
+    m = table(spark, d, "messages").join(names, "id", "left").join(bodies, "message_id", "left")
+    lines = [F.concat(F.lit(f"{label}: "), F.coalesce(c, F.lit(""))) for label, c in (("SUBJECT", "subject"), ("FROM", "from_email"), ("TO", "to_emails"), ("CC", "cc_emails"), ("FOLDER", "folder"), ("ATTACHMENTS", "names"))]
+    return m.select("id", F.concat_ws("\n", *lines, F.when(F.col("body") != "", F.concat(F.lit("BODY: "), "body"))).alias("text"))
+
+
+@query("SELECT id, (unicode(c)::BIGINT * 1315423911 + (i - 1) * 2654435761) % 64 AS cell, count(*) AS n FROM (SELECT id, unnest(string_split(subject, '')) AS c, generate_subscripts(string_split(subject, ''), 1) AS i FROM messages WHERE length(subject) > 0) GROUP BY ALL")
+def hash_embed(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.hash_cells(table(spark, d, "messages"), "id", "subject", 64)
+
+
+@query("SELECT sha256, min(id) AS first_id, count(*) AS copies, count(DISTINCT message_id) AS messages FROM attachments WHERE sha256 IS NOT NULL GROUP BY sha256")
+def content_hash_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "attachments").where("sha256 IS NOT NULL").groupBy("sha256").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.countDistinct("message_id").alias("messages"))
+
+
+@query("SELECT parse_id, message_id, path FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY scanned_at NULLS FIRST, path NULLS FIRST, parse_id) AS n FROM parsed_messages WHERE message_id IS NOT NULL) p WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM (SELECT in_reply_to FROM messages) m WHERE m.in_reply_to = p.message_id)")
+def insert_or_ignore(spark: SparkSession, d: str) -> DataFrame:
+    """Arriving mails, first copy each, that the table of answered mails does not hold."""
+    answered = table(spark, d, "messages").select(F.col("in_reply_to").alias("message_id"))
+    return ingest.insert_or_ignore(table(spark, d, "parsed_messages"), answered, "message_id", ["scanned_at", "path", "parse_id"]).select("parse_id", "message_id", "path")
+
+
+@query("SELECT parse_id, concat('synthetic-', sha256(concat(coalesce(folder, ''), '|', coalesce(account, ''), '|', coalesce(path, ''), '|', sha256(coalesce(body, ''))))) AS synthetic_id FROM parsed_messages")
+def synthetic_ids(spark: SparkSession, d: str) -> DataFrame:
+    of = lambda c: F.coalesce(c, F.lit(""))
+    return table(spark, d, "parsed_messages").select("parse_id", F.concat(F.lit("synthetic-"), F.sha2(F.concat_ws("|", of("folder"), of("account"), of("path"), F.sha2(of("body"), 256)), 256)).alias("synthetic_id"))
+
+
+@query("SELECT id FROM chunks WHERE id NOT IN (SELECT vec_id FROM embeddings)")
+def embed_backlog(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.backlog(table(spark, d, "chunks"), "id", table(spark, d, "embeddings"), "vec_id").select("id")
+
+
+@query("SELECT path, arg_max(parse_id, (scanned_at, parse_id)) AS parse_id, max(scanned_at) AS scanned_at FROM parsed_messages WHERE path IS NOT NULL GROUP BY path")
+def seen_files_upsert(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.latest_scan(table(spark, d, "parsed_messages").select("path", "parse_id", "scanned_at"), "path", "scanned_at", "parse_id")
+
+
+@query("SELECT parse_id, path FROM (SELECT parse_id, path, sha256(coalesce(body, '')) AS h, lag(sha256(coalesce(body, ''))) OVER (PARTITION BY path ORDER BY scanned_at, parse_id) AS b FROM parsed_messages WHERE path IS NOT NULL) WHERE b <> h")
+def changed_files(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.changed(table(spark, d, "parsed_messages").select("parse_id", "path", "scanned_at", "body"), "path", "scanned_at", "parse_id", "body").select("parse_id", "path")
+
+
+@query("SELECT id, path_text FROM attachments a WHERE path_text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM chunks c WHERE c.attachment_id = a.id) ORDER BY id LIMIT 50")
+def job_claim(spark: SparkSession, d: str) -> DataFrame:
+    done = table(spark, d, "chunks").where("attachment_id IS NOT NULL")
+    return ingest.backlog(table(spark, d, "attachments").where("path_text IS NOT NULL"), "id", done, "attachment_id").orderBy("id").limit(50).select("id", "path_text")
+
+
+@query("""SELECT CASE WHEN path_text IS NULL THEN 'error' WHEN id IN (SELECT attachment_id FROM chunks WHERE attachment_id IS NOT NULL) THEN 'done' ELSE 'pending' END AS status, count(*) AS jobs FROM attachments GROUP BY 1""")
+def job_status_counts(spark: SparkSession, d: str) -> DataFrame:
+    done = table(spark, d, "chunks").where("attachment_id IS NOT NULL").select(F.col("attachment_id").alias("id"), F.lit(True).alias("done")).distinct()
+    jobs = table(spark, d, "attachments").join(done, "id", "left")
+    return jobs.groupBy(F.when(F.col("path_text").isNull(), "error").when(F.col("done"), "done").otherwise("pending").alias("status")).agg(F.count("*").alias("jobs"))
+
+
+@query("SELECT label, len(embedding)::INT AS dim, count(*) AS n FROM embeddings GROUP BY ALL ORDER BY n DESC, label, dim LIMIT 1")
+def dominant_model(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").groupBy("label", F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label", "dim").limit(1)
+
+
+@query("SELECT m.id, coalesce(attachments, 0) AS attachments, coalesce(pdfs, 0) AS pdfs FROM messages m LEFT JOIN (SELECT message_id, count(*) AS attachments, count(*) FILTER (coalesce(mime ILIKE 'application/pdf%', false) OR coalesce(path_original ILIKE '%.pdf', false)) AS pdfs FROM attachments GROUP BY 1) a ON a.message_id = m.id")
+def attachment_counts(spark: SparkSession, d: str) -> DataFrame:
+    counts = fusion.attachment_counts(table(spark, d, "attachments")).withColumnRenamed("message_id", "id")
+    return table(spark, d, "messages").select("id").join(counts, "id", "left").fillna(0)
+
+
+@query("SELECT id, filename FROM attachments WHERE mime ILIKE 'application/pdf%' OR path_original ILIKE '%.pdf'")
+def pdf_filter(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "attachments").where(fusion.is_pdf()).select("id", "filename")
+
+
+_CELLS = "(SELECT row_id, year, e.key AS name, e.value AS cell FROM (SELECT row_id, year, unnest(map_entries(data)) AS e FROM table_rows))"
+_NUMBER = r"""CASE WHEN regexp_full_match(s, '-?\d{1,3}(\.\d{3})+,\d+') THEN replace(replace(s, '.', ''), ',', '.')::DOUBLE WHEN regexp_full_match(s, '-?\d{1,3}(,\d{3})+') THEN replace(s, ',', '')::DOUBLE
+    WHEN regexp_full_match(s, '-?\d{1,3},\d{1,2}') THEN replace(s, ',', '.')::DOUBLE WHEN regexp_full_match(s, '-?\d+(\.\d+)?') THEN s::DOUBLE END"""
+_NUMBERS = f"(SELECT *, {_NUMBER} AS value FROM (SELECT *, regexp_replace(cell, '[€$£\\s\\x{{a0}}]', '', 'g') AS s FROM {_CELLS}))"
+
+
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "table_rows").select("row_id", "year", "data", F.explode("data").alias("name", "cell"))
+
+
+@query(f"SELECT row_id, name, value FROM {_NUMBERS} WHERE value IS NOT NULL")
+def numeric_cells(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(spark, d).select("row_id", "name", V.cell_number(F.col("cell")).alias("value")).where("value IS NOT NULL")
+
+
+@query(r"""SELECT row_id, trim(regexp_replace(trim(name), '\s+', ' ', 'g'), ' :;,.|-') AS header, coalesce(cell, '') AS cell, min(row_id) OVER (PARTITION BY attachment_path, table_index, page, r) AS first_row
+    FROM (SELECT row_id, attachment_path, table_index, page, array_to_string(list_sort(list_transform(map_entries(data), lambda e: concat(e.key, '=', coalesce(e.value, '')))), '|') AS r, unnest(map_entries(data)).key AS name, unnest(map_entries(data)).value AS cell FROM table_rows)""")
+def flatten_cells(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "table_rows").withColumn("r", F.array_join(F.array_sort(F.transform(F.map_entries("data"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))))), "|"))
+    first = F.min("row_id").over(Window.partitionBy("attachment_path", "table_index", "page", "r"))
+    return rows.withColumn("first_row", first).select("row_id", "first_row", F.explode("data").alias("name", "cell")).select("row_id", T.normal_header(F.col("name")).alias("header"), F.coalesce("cell", F.lit("")).alias("cell"), "first_row")
+
+
+@query(f"""SELECT year, metric, round(sum(value), 4) AS total, count(*) AS cells FROM (SELECT year, value, unnest(list_filter(['price', 'qty', 'weight'], lambda m: contains(lower(name), m))) AS metric FROM {_NUMBERS} WHERE value IS NOT NULL AND year >= 2019) GROUP BY ALL""")
+def year_metric_totals(spark: SparkSession, d: str) -> DataFrame:
+    cells = _cells(spark, d).select("year", F.lower("name").alias("name"), V.cell_number(F.col("cell")).alias("value")).where("value IS NOT NULL AND year >= 2019")
+    metrics = F.filter(F.array(*map(F.lit, ("price", "qty", "weight"))), lambda m: F.col("name").contains(m))
+    return cells.select("year", "value", F.explode(metrics).alias("metric")).groupBy("year", "metric").agg(F.round(F.sum("value"), 4).alias("total"), F.count("*").alias("cells"))
+
+
+@query("""SELECT message_id, CASE WHEN length(t) > 1800 THEN concat(substr(t, 1, 1800), '…') ELSE t END AS context FROM (SELECT message_id, string_agg(text, E'\\n\\n' ORDER BY id) AS t FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY id) AS n FROM chunks WHERE text IS NOT NULL) WHERE n <= 5 GROUP BY message_id)""")
+def context_docs(spark: SparkSession, d: str) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("message_id").orderBy("id"))
+    first = table(spark, d, "chunks").where("text IS NOT NULL").withColumn("n", rank).where("n <= 5")
+    joined = first.groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct("id", "text"))).alias("c"))
+    return joined.select("message_id", T.shortened(F.array_join(F.transform("c", lambda x: x["text"]), "\n\n"), 1800).alias("context"))
+
+
+_SUMMARY = r"""SELECT doc_id, pos, line, substr(regexp_replace(lower(line), '[^a-z0-9_]+', ' ', 'g'), 1, 120) AS k FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' -') AS line, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
+    WHERE raw LIKE '-%' OR raw LIKE '%.' OR length(raw) > 60"""
+
+
+@query(f"SELECT doc_id, string_agg(concat('- ', line), chr(10) ORDER BY pos) AS summary FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY pos) AS n FROM ({_SUMMARY})) WHERE n = 1) WHERE r <= 12 GROUP BY doc_id")
+def extractive_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The first twelve telling lines of each document, each once: bullets, sentences, long lines."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("raw"), F.btrim(x, F.lit(" -")).alias("line"))), lambda x: x["raw"].startswith("-") | x["raw"].endswith(".") | (F.length(x["raw"]) > 60))
+    keyed = F.transform(lines, lambda x: F.struct(F.substring(F.regexp_replace(F.lower(x["line"]), "[^a-z0-9_]+", " "), 1, 120).alias("k"), x["pos"].alias("pos"), x["line"].alias("line")))
+    told = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.explode(keyed).alias("x")).groupBy("doc_id", "x.k").agg(F.min(F.struct("x.pos", "x.line")).alias("f"))
+    each = told.groupBy("doc_id").agg(F.array_sort(F.collect_list("f")).alias("fs"))
+    return each.select("doc_id", F.array_join(F.transform(F.slice("fs", 1, 12), lambda f: F.concat(F.lit("- "), f["line"])), "\n").alias("summary"))
+
+
+@query("SELECT id, printf('[%d] %s — %s (%s)', id, coalesce(subject, ''), coalesce(from_email, ''), CASE WHEN date_ts BETWEEN 1 AND 4102444800 THEN strftime(to_timestamp(date_ts) AT TIME ZONE 'UTC', '%Y-%m-%d') ELSE '' END) AS citation FROM messages")
+def source_citations(spark: SparkSession, d: str) -> DataFrame:
+    day = F.when(F.col("date_ts").between(1, 4102444800), F.date_format(F.timestamp_seconds("date_ts"), "yyyy-MM-dd")).otherwise("")
+    return table(spark, d, "messages").select("id", F.format_string("[%d] %s — %s (%s)", "id", F.coalesce("subject", F.lit("")), F.coalesce("from_email", F.lit("")), day).alias("citation"))
+
+
+@query("SELECT id, CASE WHEN length(text) > 200 THEN concat(substr(text, 1, 200), '…') ELSE text END AS snippet FROM chunks")
+def snippet_prefix(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").select("id", T.shortened(F.col("text"), 200).alias("snippet"))
+
+
+@query(r"""SELECT event_id, event_type, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value, len(json_keys(props))::INT AS n_keys FROM events""")
+def props_json(spark: SparkSession, d: str) -> DataFrame:
+    entries = F.map_entries(F.from_json("props", "map<string,string>"))
+    return table(spark, d, "events").select("event_id", "event_type", F.get(entries, 0)["value"].alias("first_value"), F.size(entries).alias("n_keys"))
+
+
+@query(r"SELECT parse_id, unnest(list_distinct(regexp_extract_all(body, '\d{4}-\d{2}-\d{2}'))) AS day FROM parsed_messages")
+def iso_dates(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "parsed_messages").select("parse_id", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"\d{4}-\d{2}-\d{2}"), 0))).alias("day"))
+
+
+@query("SELECT o_orderkey, date_trunc('month', o_orderdate)::DATE::VARCHAR AS month_start, last_day(o_orderdate::DATE)::VARCHAR AS month_end, date_trunc('year', o_orderdate)::DATE::VARCHAR AS year_start FROM orders")
+def date_ranges(spark: SparkSession, d: str) -> DataFrame:
+    day = F.to_date("o_orderdate")
+    return table(spark, d, "orders").select("o_orderkey", *(c.cast("string").alias(n) for c, n in ((F.trunc(day, "month"), "month_start"), (F.last_day(day), "month_end"), (F.trunc(day, "year"), "year_start"))))
+
+
+@query("SELECT path_text, CASE WHEN pages > 0 THEN length(text) / pages < 120 ELSE length(text) < 240 END AS needs_ocr FROM attachment_text")
+def ocr_decision(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "attachment_text").select("path_text", V.needs_ocr(F.length("text"), F.col("pages")).alias("needs_ocr"))
+
+
+@query("SELECT lower(from_email) AS sender, count(*) AS mails, count(DISTINCT folder) AS folders FROM messages WHERE from_email IS NOT NULL GROUP BY 1")
+def sender_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "messages").where("from_email IS NOT NULL").groupBy(F.lower("from_email").alias("sender")).agg(F.count("*").alias("mails"), F.countDistinct("folder").alias("folders"))
+
+
+@query("SELECT c.id, t.text FROM attachments c JOIN attachment_text t ON t.path_text = c.path_text")
+def attachment_texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "attachments").select("id", "path_text").join(table(spark, d, "attachment_text").select("path_text", "text"), "path_text").select("id", "text")
+
+
+@query("SELECT message_id FROM parsed_messages WHERE message_id IS NOT NULL GROUP BY message_id")
+def stream_ingest_available_now(spark: SparkSession, d: str) -> DataFrame:
+    out = stream.shared_folder(spark, "ingest")
+    source = stream.parquet_stream(spark, f"{d}/parsed_messages.parquet")
+    stream.ingest(spark, source, f"{out}/table", f"{out}/state", "message_id", ["scanned_at", "path", "parse_id"]).awaitTermination()
+    return spark.read.parquet(f"{out}/table").select("message_id")
