@@ -194,7 +194,7 @@ def _choose(measured: DataFrame) -> DataFrame:
     df = df.join(certain, "base", "left").withColumn("scored", F.array_sort(F.transform("readings", lambda v: F.struct(F.abs(level_of(v) - F.col("level")).alias("residual"), v.alias("v")))))
     best, second = F.get("scored", 0), F.get("scored", 1)
     is_common = F.col("recorded").isNotNull() & (F.col("unit.factor") * F.col("power") == 1.0) & (F.col("unit.offset") == 0)
-    unique = (F.size("readings") == 1) | (second["residual"] - best["residual"] > 0.3)
+    unique = (F.size("readings") == 1) | (second["residual"] - best["residual"] > 0.5)
     return df.select("row_id", "column_name", "quantity", best["v"].alias("value"), "recorded", is_common.alias("is_common"), F.coalesce(unique, F.lit(False)).alias("unique"), best["residual"].alias("residual"))
 
 
