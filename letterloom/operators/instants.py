@@ -62,7 +62,7 @@ _EPOCH = r"^\d{10}(?:\d{3}|\d{6}|\d{9})?$"
 
 def _local(at: Column) -> Column:
     """struct(local: seconds as if UTC, zone) of the parts of a canonical date; null where it is none."""
-    months = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
+    months = F.expr("map(" + ", ".join(f"'{k}', {v}" for k, v in MONTHS.items()) + ")")
     year, hour, half = at[0].cast("int"), at[3].cast("int"), F.lower(at[6])
     year = F.when(F.length(at[0]) == 2, year + F.when(year < 70, 2000).otherwise(1900)).otherwise(year)
     month = F.coalesce(F.try_element_at(months, F.lower(at[1])), at[1].try_cast("int"))
@@ -79,7 +79,7 @@ def _offset_seconds(zone: Column) -> Column:
     minutes = F.when(
         zone.rlike(r"^[+-]\d{1,2}:?\d{2}$"),
         F.when(zone.startswith("-"), -1).otherwise(1) * (F.floor(digits / 100) * 60 + digits % 100),
-    ).otherwise(F.try_element_at(F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv]), F.lower(zone)))
+    ).otherwise(F.try_element_at(F.expr("map(" + ", ".join(f"'{k}', {v}" for k, v in ABBREVIATIONS.items()) + ")"), F.lower(zone)))
     return (minutes * 60).cast("bigint")
 
 

@@ -69,10 +69,23 @@ _SCALE = r"(?:(?:x ?|[×*] ?)(10+)|(tsd|mio|mill|mil|mn|thousands?|tausend|milli
 _HEADER_UNIT = rf"(?iu)^(.+?)(?: in | en |, ?| / | ?\(| ?\[| )(?:in |en )?(?:{_SCALE})?({_UNIT})[)\]]?$"
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _lookup() -> Column:
+    """Map from spelling to struct(quantity, factor, offset), written as one expression."""
     entries = [(name, q, f, o) for q, units in UNITS.items() for names, f, o in units for name in names.split(",")]
-    pairs = [x for name, q, f, o in entries for x in (F.lit(name), F.struct(F.lit(q).alias("quantity"), F.lit(float(f)).alias("factor"), F.lit(float(o)).alias("offset")))]
-    return F.create_map(*pairs)
+    return F.expr("map(" + ", ".join(f"{_text(name)}, named_struct('quantity', {_text(q)}, 'factor', {float(f)!r}D, 'offset', {float(o)!r}D)" for name, q, f, o in entries) + ")")
+
+
+def _scale_map() -> Column:
+    return F.expr("map(" + ", ".join(f"{_text(k)}, {v!r}D" for k, v in SCALES.items()) + ")")
+
+
+def _factor_map(options: Mapping[str, Sequence[tuple[float, float]]]) -> Column:
+    """Map from a key to its array of struct(factor, offset)."""
+    return F.expr("map(" + ", ".join(f"{_text(k)}, array(" + ", ".join(f"named_struct('factor', {float(f)!r}D, 'offset', {float(o)!r}D)" for f, o in fs) + ")" for k, fs in options.items()) + ")")
 
 
 def spelling(unit: Column) -> Column:
@@ -109,22 +122,21 @@ TABLE = ["message_id", "attachment_path", "table_index"]
 def read_cells(rows: DataFrame) -> DataFrame:
     """One row per cell with a number or a unit: row_id, table key, column_name, base, sign, number, cell/header units, bare unit, note."""
     cells = rows.select("row_id", F.coalesce("message_id", F.lit("")).alias("message_id"), F.coalesce("attachment_path", F.lit("")).alias("attachment_path"), F.coalesce("table_index", F.lit(-1)).alias("table_index"), F.explode("data").alias("column_name", "value"))
-    tail = F.regexp_replace(F.regexp_extract("value", _CELL, 3), _ASIDE, "")
-    cells = cells.withColumn("tail", tail).withColumn("digits", F.regexp_extract("value", _CELL, 2))
-    cells = cells.withColumn("cell_unit", unit_of(F.col("tail")))
-    header_unit = unit_of(F.regexp_extract("column_name", _HEADER_UNIT, 4))
-    cells = cells.withColumn("header_unit", header_unit)
-    power = F.coalesce(F.regexp_extract("column_name", _HEADER_UNIT, 2).try_cast("double"), F.try_element_at(F.create_map(*[F.lit(x) for kv in SCALES.items() for x in kv]), F.lower(F.regexp_extract("column_name", _HEADER_UNIT, 3))), F.lit(1.0))
-    base = F.when(F.col("header_unit").isNotNull(), F.regexp_extract("column_name", _HEADER_UNIT, 1)).otherwise(F.col("column_name"))
-    return cells.select(
-        "row_id", *TABLE, "column_name", "value",
-        F.lower(F.trim(base)).alias("base"),
-        F.when((F.col("tail") == "") | F.col("cell_unit").isNotNull(), F.when(F.col("digits") != "", F.col("digits"))).alias("digits"),
+    # Headers recur in every row of a table: each is read once and joined back.
+    power = F.coalesce(F.regexp_extract("column_name", _HEADER_UNIT, 2).try_cast("double"), F.try_element_at(_scale_map(), F.lower(F.regexp_extract("column_name", _HEADER_UNIT, 3))), F.lit(1.0))
+    known = F.col("header_unit").isNotNull()
+    headers = cells.select("column_name").distinct().withColumn("__u", F.regexp_extract("column_name", _HEADER_UNIT, 4)).withColumn("header_unit", unit_of(F.col("__u")))
+    headers = headers.select(
+        "column_name", "header_unit", F.when(known, power).otherwise(1.0).alias("header_power"), spelling(F.col("__u")).alias("header_spelling"),
+        F.lower(F.trim(F.when(known, F.regexp_extract("column_name", _HEADER_UNIT, 1)).otherwise(F.col("column_name")))).alias("base"),
+    )
+    cells = cells.withColumn("tail", F.regexp_replace(F.regexp_extract("value", _CELL, 3), _ASIDE, "")).withColumn("found", F.regexp_extract("value", _CELL, 2))
+    cells = cells.withColumn("cell_spelling", spelling(F.col("tail"))).withColumn("bare_spelling", spelling(F.col("value")))
+    cells = cells.withColumn("cell_unit", F.try_element_at(_lookup(), F.col("cell_spelling"))).withColumn("bare_unit", F.try_element_at(_lookup(), F.col("bare_spelling")))
+    return cells.join(headers, "column_name").select(
+        "row_id", *TABLE, "column_name", "value", "base", "cell_unit", "cell_spelling", "header_unit", "header_power", "header_spelling", "bare_unit", "bare_spelling",
+        F.when((F.col("tail") == "") | F.col("cell_unit").isNotNull(), F.when(F.col("found") != "", F.col("found"))).alias("digits"),
         F.regexp_extract("value", _CELL, 1).isin("-", "−").alias("negative"),
-        "cell_unit", spelling("tail").alias("cell_spelling"), F.col("value").rlike(r"#").alias("hash"),
-        "header_unit", F.when(F.col("header_unit").isNotNull(), power).otherwise(1.0).alias("header_power"),
-        spelling(F.regexp_extract("column_name", _HEADER_UNIT, 4)).alias("header_spelling"),
-        unit_of(F.col("value")).alias("bare_unit"), spelling("value").alias("bare_spelling"),
     )
 
 
@@ -176,8 +188,8 @@ def convert_quantities(rows: DataFrame, quantity_units: DataFrame) -> DataFrame:
 
 def _choose(measured: DataFrame) -> DataFrame:
     """Scores every reading (decimal mark x unit) by its log residual from the level of its base name."""
-    every = F.create_map(*[x for q, units in UNITS.items() for x in (F.lit(q), F.array(*(F.struct(F.lit(float(f)).alias("factor"), F.lit(float(o)).alias("offset")) for f, o in dict.fromkeys((f, o) for _, f, o in units))))])
-    others = F.create_map(*[x for name, fs in ALTERNATIVES.items() for x in (F.lit(name), F.array(*(F.struct(F.lit(f).alias("factor"), F.lit(0.0).alias("offset")) for f in fs)))])
+    every = _factor_map({q: list(dict.fromkeys((float(f), float(o)) for _, f, o in units)) for q, units in UNITS.items()})
+    others = _factor_map({name: [(f, 0.0) for f in fs] for name, fs in ALTERNATIVES.items()})
     written = F.array(F.struct((F.col("unit.factor") * F.col("power")).alias("factor"), F.col("unit.offset").alias("offset")))
     none = F.array().cast("array<struct<factor:double,offset:double>>")
     units = F.when(F.col("unit").isNotNull(), F.concat(written, F.coalesce(F.try_element_at(others, F.col("spelled")), none))).otherwise(F.try_element_at(every, F.col("quantity")))

@@ -60,5 +60,6 @@ def test_identity(spark):
     df = spark.createDataFrame(rows, "g string, mass double, density double, volume double")
     out = units.solve_identity(df, ["g"], "mass", ["density", "volume"], {"mass": {"kg": 1, "g": 1e-3}, "density": {"kg/l": 1}, "volume": {"l": 1, "ml": 1e-3}}).collect()
     assert [(r["g"], r["unit_mass"], r["unit_volume"], r["unique"], r["rows"]) for r in out] == [("a", "g", "l", True, 3)]
-    same = units.solve_identity(df, ["g"], "mass", ["density", "volume"], {"mass": {"kg": 1e3, "g": 1}, "density": {"kg/l": 1}, "volume": {"l": 1e3, "ml": 1}}).collect()
+    even = spark.createDataFrame([("a", 2.0 * v, 2.0, v) for v in (1.0, 3.0)], df.schema)
+    same = units.solve_identity(even, ["g"], "mass", ["density", "volume"], {"mass": {"kg": 1e3, "g": 1}, "density": {"kg/l": 1}, "volume": {"l": 1e3, "ml": 1}}).collect()
     assert not same[0]["unique"]  # kg with l holds as well as g with ml
