@@ -20,9 +20,11 @@ import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from letterloom.session import cut
+
 #: quantity -> (spellings separated by commas, factor to the common unit, offset added first)
 UNITS: dict[str, list[tuple[str, float, float]]] = {
     "mass": [
@@ -121,7 +123,7 @@ TABLE = ["message_id", "attachment_path", "table_index"]
 
 def read_cells(rows: DataFrame) -> DataFrame:
     """One row per cell with a number or a unit: row_id, table key, column_name, base, sign, number, cell/header units, bare unit, note."""
-    cells = rows.select("row_id", F.coalesce("message_id", F.lit("")).alias("message_id"), F.coalesce("attachment_path", F.lit("")).alias("attachment_path"), F.coalesce("table_index", F.lit(-1)).alias("table_index"), F.explode("data").alias("column_name", "value"))
+    cells = rows.select("row_id", F.coalesce("message_id", F.lit("")).alias("message_id"), F.coalesce("attachment_path", F.lit("")).alias("attachment_path"), F.coalesce("table_index", F.lit(-1)).alias("table_index"), F.explode("data").alias("column_name", "value")).where(F.trim("value") != "")
     # Headers recur in every row of a table: each is read once and joined back.
     power = F.coalesce(F.regexp_extract("column_name", _HEADER_UNIT, 2).try_cast("double"), F.try_element_at(_scale_map(), F.lower(F.regexp_extract("column_name", _HEADER_UNIT, 3))), F.lit(1.0))
     known = F.col("header_unit").isNotNull()
@@ -162,7 +164,7 @@ def convert_quantities(rows: DataFrame, quantity_units: DataFrame) -> DataFrame:
     keys are keys of their own; repeated rows give the same result each. Nothing depends on columns
     beyond row_id, message_id, attachment_path, table_index and data.
     """
-    cells = read_cells(rows)
+    cells = cut(read_cells(rows))
     votes = cells.select("base", F.coalesce("cell_unit.quantity", "header_unit.quantity").alias("quantity"), F.col("digits").isNotNull().alias("n")).where("quantity IS NOT NULL AND n")
     learned = votes.groupBy("base", "quantity").count().groupBy("base").agg(F.max_by("quantity", F.struct("count", "quantity")).alias("learned"))
     bare = cells.where("bare_unit IS NOT NULL AND digits IS NULL")
