@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from letterloom.llm.encoding import _candidates
 from letterloom.session import cut
 
 BUCKETS = 1 << 22
@@ -154,7 +155,7 @@ def number_shapes(texts: DataFrame) -> dict[str, str]:
         seen: Counter[tuple[str, str]] = Counter()
         for rows in batches:
             for text in rows["text"]:
-                for m in (m for d in _DIGITS.finditer(text or "") for m in _NUMBER.finditer(text, max(0, d.start() - 5), d.end() + 14)):
+                for m in (m for d in _DIGITS.finditer(text or "") for m in _NUMBER.finditer(text, max(0, d.start() - 5), d.end() + 14) if m.end() < d.end() + 14):
                     if m.end() - m.start() >= 7 and sum(map(str.isdigit, m.group())) >= 6:
                         words = text[max(0, m.start() - 48) : m.start()].split()[-4:]
                         form = shape(m.group())
@@ -201,6 +202,8 @@ class Finder:
                 f = int(self.table[bucket(word.capitalize())]) & ~CLEAR
             if word.lower() in _EVERYDAY:
                 f &= ~CLEAR
+            if not f & (FIRST | LAST) and not word.isascii():  # a name decoded with the wrong encoding is one still
+                f = next((g for _, _, w in _candidates(word) if (g := int(self.table[bucket(w)])) & (FIRST | LAST)), f)
             self.known[word] = f
         return f
 
