@@ -137,7 +137,7 @@ def read_cells(rows: DataFrame) -> DataFrame:
     cells = cells.withColumn("cell_unit", F.try_element_at(_lookup(), F.col("cell_spelling"))).withColumn("bare_unit", F.try_element_at(_lookup(), F.col("bare_spelling")))
     return cells.join(headers, "column_name").select(
         "row_id", *TABLE, "column_name", "value", "base", "cell_unit", "cell_spelling", "header_unit", "header_power", "header_spelling", "bare_unit", "bare_spelling",
-        F.when((F.col("tail") == "") | F.col("cell_unit").isNotNull(), F.when(F.col("found") != "", F.col("found"))).alias("digits"),
+        F.when(F.col("bare_unit").isNull() & ((F.col("tail") == "") | F.col("cell_unit").isNotNull()), F.when(F.col("found") != "", F.col("found"))).alias("digits"),  # m2 is a unit, no number
         F.regexp_extract("value", _CELL, 1).isin("-", "−").alias("negative"),
     )
 

@@ -10,14 +10,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2048, row_blocks: int = 32) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2048, rows_per_block: int = 20_000) -> DataFrame:
     """(query_id, vec_id, distance): the k nearest vectors of each query by squared distance, ties by id.
 
     ``queries`` has query_id and q, ``vectors`` vec_id and v. Queries and vectors are dealt into
     blocks; each pair of blocks is one task's matrix product and gives k rows per query, which are
-    merged by rank. Exact for any number of queries; no pair of single rows is ever made.
+    merged by rank. Exact for any number of queries; no pair of single rows is ever made, and a block
+    is as large at any size of the table. Null vectors are left out.
     """
-    blocks = max(1, -(-queries.count() // block))
+    queries, vectors = queries.where("q IS NOT NULL"), vectors.where("v IS NOT NULL")
+    blocks, row_blocks = max(1, -(-queries.count() // block)), max(4, -(-vectors.count() // rows_per_block))
     q = queries.select("query_id", "q", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("qb")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
     v = vectors.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(row_blocks)).cast("int").alias("vb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 

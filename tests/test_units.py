@@ -27,7 +27,7 @@ def test_reading_cells(spark, quantities):
         [{"Masse": "27 lb 7 oz", "Qty": "3"}, {"Masse": "about 1 613,2 kilos", "Qty": "4"}, {"Masse": "n/a"}, {"Masse": None}],
         [{"Masse (x10 Kg)": "5,5"}, {"Masse (x10 Kg)": "3 kg"}],
         [{"Item": "All areas in hectares unless marked", "Area": ""}, {"Item": "x", "Area": "0,5"}, {"Item": "y", "Area": "20 m²"}],
-        [{"Area": "10", "Unit": "ft²"}, {"Area": "10", "Unit": "sqm"}, {"Area": "", "Unit": ""}],
+        [{"Area": "10", "Unit": "ft²"}, {"Area": "10", "Unit": "cm2"}, {"Area": "", "Unit": ""}],
         [{"Temp.": "285 Kelvin"}, {"Temp.": "50 °F"}, {"Temp.": "-3,5 °C net"}],
         [{"Masse": "12"}, {"Date": "2023-02-18"}],
         [{"Heat supplied kWh": "3"}, {"Heat supplied (kilowatt hours)": "4"}, {"Energy [in millions of kWh]": "0.002"}],
@@ -45,7 +45,7 @@ def test_reading_cells(spark, quantities):
     assert math.isclose(got[20, "Energy [in millions of kWh]"]["value"], 2000)
     assert not any(k[1] in ("Qty", "Date", "Unit", "Item") for k in got)
     found = {(r["row_id"], r["column_name"]) for r in units.foreign_units(df, quantities).collect()}
-    assert found == {(1, "Masse"), (5, "Masse (x10 Kg)"), (8, "Area"), (10, "Area"), (13, "Temp."), (14, "Temp."), (20, "Energy [in millions of kWh]")}
+    assert found == {(1, "Masse"), (5, "Masse (x10 Kg)"), (8, "Area"), (10, "Area"), (11, "Area"), (13, "Temp."), (14, "Temp."), (20, "Energy [in millions of kWh]")}
     assert units.foreign_units(df.limit(0), quantities).count() == 0
 
 
