@@ -70,3 +70,39 @@ def shortened(text: Column, limit: int) -> Column:
 def normal_header(name: Column) -> Column:
     """A table header without repeated white space or punctuation at its ends."""
     return F.btrim(F.regexp_replace(F.trim(name), r"\s+", " "), F.lit(" :;,.|-"))
+
+
+def addresses(header: Column) -> Column:
+    """Mail addresses in a header's text, in order."""
+    return F.coalesce(F.regexp_extract_all(header, F.lit(r'[^\s<>,;"]+@[^\s<>,;"]+'), F.lit(0)), F.array().cast("array<string>"))
+
+
+def snippet(text: Column, wanted: list[str], width: int = 8) -> Column:
+    """``width`` terms of a text from shortly before its first wanted one, matches in brackets.
+
+    A text without a match gives its first terms; terms left out at either end show as an ellipsis.
+    """
+    hit = F.array(*map(F.lit, wanted))
+    every = terms(text)
+    first = F.coalesce(F.get(F.filter(F.transform(every, lambda t, i: F.when(F.array_contains(hit, t), i)), lambda i: i.isNotNull()), 0), F.lit(0))
+    start = F.greatest(F.least(first - 2, F.size(every) - width), F.lit(0))
+    shown = F.transform(F.slice(every, start + 1, F.lit(width)), lambda t: F.when(F.array_contains(hit, t), F.concat(F.lit("["), t, F.lit("]"))).otherwise(t))
+    return F.concat(F.when(start > 0, "…").otherwise(""), F.array_join(shown, " "), F.when(F.size(every) > start + width, "…").otherwise(""))
+
+
+def hypotheses(json: Column) -> Column:
+    """Date hypotheses of a JSON text: array of struct(from, to, weight).
+
+    The text may hold other words around its object. Bounds may be named ``from`` or ``from_date``
+    and ``to`` or ``to_date``; both are required, times are cut off, the weight defaults to 1.
+    """
+    item = "struct<`from`:string,from_date:string,`to`:string,to_date:string,weight:double>"
+    body = F.regexp_extract(json, r"(?s)\{.*\}", 0)
+    read = F.from_json(body, f"struct<temporal_hypotheses:array<{item}>,`from`:string,from_date:string,`to`:string,to_date:string,weight:double>")
+    top = F.array(F.struct(*(read[c].alias(c) for c in ("from", "from_date", "to", "to_date", "weight"))))
+    day = lambda c: F.regexp_extract(c, r"(\d{4}-\d{2}-\d{2})", 1)
+    each = F.transform(
+        F.coalesce(read["temporal_hypotheses"], top),
+        lambda h: F.struct(day(F.coalesce(h["from"], h["from_date"])).alias("from"), day(F.coalesce(h["to"], h["to_date"])).alias("to"), F.coalesce(h["weight"], F.lit(1.0)).alias("weight")),
+    )
+    return F.filter(each, lambda h: (h["from"] != "") & (h["to"] != ""))

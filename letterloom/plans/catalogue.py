@@ -333,6 +333,26 @@ def props_json(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", "event_type", F.get(entries, 0)["value"].alias("first_value"), F.size(entries).alias("n_keys"))
 
 
+@query(r"""SELECT id, unnest(regexp_extract_all(to_emails, '[^\s<>,;"]+@[^\s<>,;"]+')) AS address FROM messages""")
+def address_list(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "messages").select("id", F.explode(T.addresses(F.col("to_emails"))).alias("address"))
+
+
+@query()
+def fts_snippet(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    hits = lexical.search(docs, "doc_id", ["text"], QUESTION)
+    return docs.join(hits, "doc_id").select("doc_id", T.snippet(F.col("text"), QUESTION).alias("snippet"))
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS from_day, strftime(o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d') AS to_day, 1.0::DOUBLE AS weight FROM orders""")
+def hypotheses_json(spark: SparkSession, d: str) -> DataFrame:
+    """Date hypotheses read back from the JSON that a planner would write about each order."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    said = F.concat(F.lit('Sure: {"temporal_hypotheses": [{"from_date": "'), day("o_orderdate"), F.lit('T00", "to": "'), day(F.date_add("o_orderdate", 30)), F.lit('"}]} ok'))
+    return table(spark, d, "orders").select("o_orderkey", F.explode(T.hypotheses(said)).alias("h")).select("o_orderkey", F.col("h.from").alias("from_day"), F.col("h.to").alias("to_day"), "h.weight")
+
+
 @query(r"SELECT parse_id, unnest(list_distinct(regexp_extract_all(body, '\d{4}-\d{2}-\d{2}'))) AS day FROM parsed_messages")
 def iso_dates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "parsed_messages").select("parse_id", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"\d{4}-\d{2}-\d{2}"), 0))).alias("day"))

@@ -1,5 +1,7 @@
 import sqlite3
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from letterloom.functions import text as T
@@ -59,3 +61,36 @@ def test_ingest_is_idempotent(spark):
     first = ingest.insert_or_ignore(df, df.limit(0), "k", ["at", "id"])
     assert sorted(r["id"] for r in first.collect()) == [2, 4]
     assert ingest.insert_or_ignore(df, first, "k", ["at", "id"]).count() == 0
+
+
+def test_snippet_addresses_hypotheses(spark):
+    assert one(spark, T.snippet(F.lit("a b c d the pump is here and more words follow it"), ["pump"], 4)) == "…d the [pump] is…"
+    assert one(spark, T.snippet(F.lit("no match"), ["pump"])) == "no match"
+    assert one(spark, T.addresses(F.lit('Ann <a@x.example>, "b" <b@x.example>'))) == ["a@x.example", "b@x.example"]
+    assert one(spark, T.addresses(F.lit(None).cast("string"))) == []
+    got = one(spark, T.hypotheses(F.lit('x {"temporal_hypotheses":[{"from_date":"2024-01-01T00","to":"2024-02-01"},{"from":"2024-01-01"}]} y')))
+    assert [tuple(h) for h in got] == [("2024-01-01", "2024-02-01", 1.0)]
+
+
+def test_sinks(spark, tmp_path):
+    from letterloom.sources import sinks
+
+    df = spark.createDataFrame([(1, "a"), (2, None)], "n int, t string")
+    sinks.write_csv(df, str(tmp_path / "c"), one_file=True)
+    assert spark.read.option("header", "true").csv(str(tmp_path / "c")).count() == 2
+    assert sorted(r["json"] for r in sinks.json_lines(df).collect()) == ['{"n":1,"t":"a"}', '{"n":2}']
+    seen, observation = sinks.counted(df)
+    seen.collect()
+    assert observation.get["rows"] == 2
+
+
+@pytest.mark.parametrize("name", ["p1_found", "p2_found", "bm25_topk", "chunk_paragraphs", "year_metric_totals"])
+def test_same_for_any_partitioning(spark, data, name):
+    from letterloom.plans import catalogue
+
+    got = []
+    for n in ("1", "13"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got.append(sorted(map(repr, catalogue.QUERIES[name](spark, data).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got[0] == got[1]
