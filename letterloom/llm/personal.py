@@ -39,15 +39,16 @@ CUES = {
 _EVERYDAY = frozenset("may mark will rose bill grace hope joy faith dawn june april august sue pat drew art frank rob jack ray guy lance chase miles summer amber ivy lily pearl ruby olive".split())
 _COMPANY = frozenset("ltd limited foods shipping pumps energi energy logistics group gmbh ag inc llc plc sa srl holding partners sons co corp company bank media systems works industries".split())
 _STREET = frozenset("street st road rd ave avenue lane ln court ct square sq drive dr way close place terrace boulevard blvd".split())
+_THINGS = _COMPANY | _STREET
 _TITLE = frozenset("mr mrs ms miss dr prof herr frau mme mlle sr sra señor señora senhor senhora monsieur madame г-н г-жа".split())
 
-_BREAK = re.compile(r"[ \t]*\r?\n(?:[ \t>»|:]|[A-Z]{1,3}>)*(?:\r?\n(?:[ \t>»|:]|[A-Z]{1,3}>)*)*")
+_BREAK = re.compile(r"\n(?:[ \t>»|:]|[A-Z]{1,3}>)*(?:\r?\n(?:[ \t>»|:]|[A-Z]{1,3}>)*)*")
 _S = r"[  \x02]"
-_EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]++@[\w-]+(?:\.[\w-]+)+")
+_LOCAL, _DOMAIN = re.compile(r"[\w.+%-]+$"), re.compile(r"[\w-]+(?:\.[\w-]+)+")
 _SPELLED = re.compile(r"[\w.+%-]+ ?[\[(](?:at|arroba|chez)[\])] ?[\w-]+(?: ?[\[(](?:dot|punto|punkt|ponto|point)[\])] ?[\w-]+|\.[\w-]+)+", re.I)
 _DIGITS = re.compile(r"\d[\d()  \x02./-]{4,}")
 _DATE = re.compile(r"(?:\d{4}-\d\d-\d\d|\d{1,2}[./]\d{1,2}[./](?:\d{4}|\d{2})(?!\d))")
-_POSTCODE = re.compile(r"\b(?:\d{5}|NH\d{1,2})\b")
+_POSTCODES = re.compile(r"\d{5}(?!\d)"), re.compile(r"NH\d{1,2}\b")
 _GROUP = rf"(?:\(\d{{1,5}}\)|\d+)"
 _NUMBER = re.compile(rf"(?<![\w@./:€£$#-])(?:\+\(?|[A-Z]{{2,3}}(?=\d)|)(?:{_GROUP}(?:(?:[.\-/]|{_S}{{1,6}}|(?<=\)))(?=[\d(])){{1}})*\d+(?:-?[A-Z](?![\w-])|)(?:{_S}(?:ext|x)\.?{_S}?\d{{1,5}})?(?![\w@])", re.ASCII)
 _TOWN = r"[^\W\d_a-zà-ÿ][\w'’\x80-ɏ-]*"
@@ -59,7 +60,8 @@ _ADDRESS = re.compile(
     rf"|(?:C/|Calle|Avda\.?|Avenida|Plaza|Rua|Travessa|ул\.|улица){_S}+(?:{_WORD}{_S}+){{0,3}}?{_WORD}{_S}*,?{_S}+\d{{1,4}}[a-z]?(?:,{_S}+\d{{1,2}}\S{{1,4}})?,{_S}+{_POST}{_S}+{_TOWN}"
     rf"|[^\W\d_a-zà-ÿ][\w-]*(?:str(?:\.|a\S{{1,4}}e)|weg|gasse|platz|allee|ring|damm|ufer){_S}+\d{{1,4}}{_S}?[a-z]?,{_S}+{_POST}{_S}+{_TOWN}"
 )
-_CAPITAL = re.compile(r"(?<![\w@.])[^\W\d_a-zà-ÿа-яё][^\W\d_](?:[^\s,.;:!?()<>|\"“”@\x01\x02]|\.(?=\w))*")
+#: Starts with a set of characters, which is searched for fast; what stands before is looked at afterwards.
+_CAPITAL = re.compile(r"[A-ZÀ-ÖØ-ÞŁŃŘŚŠŹŻŽĀČĐĒĘĚĞĢĪĮİĶĻŅŌŐŠŤŪŮŰŲΑ-ΩЀ-Я](?<![\w@.].)[^\W\d_](?:[^\s,.;:!?()<>|\"“”@\x01\x02]|\.(?=\w))*")
 _INITIAL_BEFORE = re.compile(rf"(?<!\w)([^\W\d_a-zà-ÿ]\.){_S}+$")
 _MIDDLE = re.compile(rf"{_S}{{1,4}}[^\W\d_a-zà-ÿ]\.{_S}{{1,4}}")
 _ADJACENT = re.compile(r"[  ]{1,2}|\x02[  ]{0,8}")
@@ -108,15 +110,18 @@ def name_graph(texts: DataFrame) -> DataFrame:
 def _mentions(text: str) -> Iterator[tuple[str, str]]:
     """(word before, capitalised word); ``<line>`` stands before the first word of a line."""
     for m in _CAPITAL.finditer(text):
-        a = m.start()
+        a, b = m.span()
+        following = text[b + 1 : b + 2]
+        if following == "&" or following.isupper():
+            after = text[b : b + 14].split()
+            if after and (after[0] == "&" or after[0].strip(".,").lower() in _THINGS):
+                yield "<thing>", m.group()
+                continue
         before = text[max(0, a - 24) : a].rstrip(" >|»*\t")
-        words, after = before.split(), text[m.end() : m.end() + 14].split()
-        if after and (after[0] == "&" or after[0].strip(".,").lower() in _COMPANY | _STREET):
-            yield "<thing>", m.group()
-        elif not words or before[-1] == "\n":
+        if not before or before[-1] == "\n":
             yield "<line>", m.group()
         else:
-            yield words[-1], m.group()
+            yield before.rsplit(None, 1)[-1], m.group()
 
 
 def score_names(graph: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -219,14 +224,19 @@ class Finder:
                 spans.append((a, b, kind))
 
         if "@" in flat:
-            for m in _EMAIL.finditer(flat):
-                add(m.start(), m.end() - (flat[m.end() - 1] in "-_"), "EMAIL")
+            i = flat.find("@")
+            while i >= 0:
+                local, domain = _LOCAL.search(flat, max(0, i - 80), i), _DOMAIN.match(flat, i + 1)
+                if local and domain:
+                    add(local.start(), domain.end() - (flat[domain.end() - 1] in "-_"), "EMAIL")
+                i = flat.find("@", i + 1)
         if "(at)" in flat or "[at]" in flat or "(AT)" in flat or "arroba" in flat:
             for m in _SPELLED.finditer(flat):
                 add(m.start(), m.end(), "EMAIL")
         at = 0
-        for p in _POSTCODE.finditer(flat):
-            if p.start() >= at and (m := _ADDRESS.search(flat, max(at, p.start() - 90), p.end() + 40)) and m.end() >= p.end():
+        posts = [*_POSTCODES[0].finditer(flat), *(_POSTCODES[1].finditer(flat) if "NH" in flat else ())]
+        for p in sorted(posts, key=lambda m: m.start()):
+            if p.start() >= at and (m := _ADDRESS.search(flat, max(at, p.start() - 90), p.end() + 40)) and p.end() <= m.end() < p.end() + 40:
                 add(m.start(), m.end(), "ADDRESS")
                 at = m.end()
         at = 0
@@ -258,7 +268,7 @@ class Finder:
                 i += 1
                 continue
             nxt = tokens[i + 1] if i + 1 < n else None
-            if nxt and nxt[2].lower() in _COMPANY | _STREET and _ADJACENT.fullmatch(flat[b : nxt[0]]):
+            if nxt and nxt[2].lower() in _THINGS and _ADJACENT.fullmatch(flat[b : nxt[0]]):
                 i += 2  # a company's or a street's name
                 continue
             if f & FIRST and nxt:
