@@ -118,10 +118,8 @@ def _mentions(text: str) -> Iterator[tuple[str, str]]:
                 yield "<thing>", m.group()
                 continue
         before = text[max(0, a - 24) : a].rstrip(" >|»*\t")
-        if not before or before[-1] == "\n":
-            yield "<line>", m.group()
-        else:
-            yield before.rsplit(None, 1)[-1], m.group()
+        words = before.rsplit(None, 1)
+        yield words[-1] if words and before[-1] != "\n" else "<line>", m.group()
 
 
 def score_names(graph: DataFrame, seeds: DataFrame) -> DataFrame:

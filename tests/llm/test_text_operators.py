@@ -237,6 +237,9 @@ def test_personal(spark):
     text = "Hi Anna,\nask Ivo Halmere (+1 555 804 0199, ivo@x.example), passport XK1234567, 12 Mill Lane, Belmoor 20433, about invoice no. 741-96499.\nMay was quiet. Bergholm, Anna knows."
     got = [(kind, text[a:b]) for a, b, kind in find.find(text)]
     assert got == [("NAME", "Anna"), ("NAME", "Ivo Halmere"), ("PHONE", "+1 555 804 0199"), ("EMAIL", "ivo@x.example"), ("ID_NUMBER", "XK1234567"), ("ADDRESS", "12 Mill Lane, Belmoor 20433"), ("NAME", "Bergholm, Anna")]
+    for odd in ("\x0c Anna", "\x0c\t\x0cAnna", "\xa0Anna", "@ @x x@ +1", "Anna " * 3000, "NH1 12345 " * 50):
+        find.find(odd)
+        assert list(personal._mentions(odd)) is not None
     clean = {r["rec_id"]: r["clean"] for r in personal.find_personal(texts, flags, shapes, replaced=True).collect()}
     assert clean[900] is None and clean[901] == "" and clean[0].startswith("Dear [NAME],\n\nYou can reach [NAME] at tel. [PHONE]. Mind [NAME], passport [ID_NUMBER]. Invoice no. 741-96400 was paid.")
 
