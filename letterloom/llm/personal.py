@@ -43,6 +43,7 @@ _THINGS = _COMPANY | _STREET
 _TITLE = frozenset("mr mrs ms miss dr prof herr frau mme mlle sr sra señor señora senhor senhora monsieur madame г-н г-жа".split())
 
 _BREAK = re.compile(r"\n(?:[ \t>»|:]|[A-Z]{1,3}>)*(?:\r?\n(?:[ \t>»|:]|[A-Z]{1,3}>)*)*")
+_MARKED = re.compile(r"\n(?:[ \t>»|:\r]|[A-Z]{1,3}>)")
 _S = r"[  \x02]"
 _LOCAL, _DOMAIN = re.compile(r"[\w.+%-]+$"), re.compile(r"[\w-]+(?:\.[\w-]+)+")
 _SPELLED = re.compile(r"[\w.+%-]+ ?[\[(](?:at|arroba|chez)[\])] ?[\w-]+(?: ?[\[(](?:dot|punto|punkt|ponto|point)[\])] ?[\w-]+|\.[\w-]+)+", re.I)
