@@ -125,9 +125,10 @@ def _fused(spark: SparkSession, d: str) -> DataFrame:
     return fusion.fuse(words.select("doc_id", "rank"), near.select(F.col("vec_id").alias("doc_id"), "rank"), "doc_id")
 
 
-@query(f"SELECT doc_id, lexical_rank, vector_rank, round(score, 9) AS score FROM ({_FUSED})")
+@query(f"SELECT doc_id, coalesce(lexical_rank, 0) AS lexical_rank, coalesce(vector_rank, 0) AS vector_rank, round(score, 9) AS score FROM ({_FUSED})")
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    return _fused(spark, d).withColumn("score", F.round("score", 9))
+    """Fused ranks; 0 stands for a list that lacks the document."""
+    return _fused(spark, d).fillna(0, ["lexical_rank", "vector_rank"]).withColumn("score", F.round("score", 9))
 
 
 _BOOST = """CASE WHEN day IS NULL THEN 0 WHEN day BETWEEN DATE '2023-01-01' AND DATE '2023-12-31' THEN 0.8
