@@ -17,6 +17,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,8 +29,12 @@ BUCKETS = 1 << 21
 #: Rows that the perceptrons are trained on at most (documented bound; counts cover everything).
 TRAINING_TEXTS, TRAINING_WORDS = 3000, 6000
 
-#: Share of a word's occurrences that one misreading of it makes up at most (two are always allowed).
-MISREAD = 1.5e-3
+#: A misread word is offered every repair that the archive has at least so many times as often.
+PLAUSIBLE = 25
+#: Word occurrences that the counts below are meant for; they grow and shrink with the archive.
+CORPUS = 2_200_000
+#: Share of the words an edit may lead to that it must be seen at, to teach it.
+PRODUCTIVE = 0.06
 
 HYPHENS = "-‐‑­¬"
 _EDGE = "\"'“”„«»‘’().,;:!?…[]{}*•"
@@ -42,8 +47,7 @@ _FORM = "\x0c"
 
 def bucket(word: str) -> int:
     """Spark's xxhash64 of the word, modulo the table size."""
-    h = xxhash.xxh64_intdigest(word.encode(), seed=42)
-    return (h - (1 << 64) if h >> 63 else h) % BUCKETS
+    return xxhash.xxh64_intdigest(word.encode(), 42) % BUCKETS  # a power of two: the sign plays no part
 
 
 def word_counts(texts: DataFrame, text: str) -> np.ndarray:
@@ -63,7 +67,7 @@ class Perceptron:
 
     def score(self, features: Iterable[str]) -> float:
         get = self.weights.get
-        return sum(get(f, 0.0) for f in features)
+        return sum([get(f, 0.0) for f in features])
 
     def train(self, examples: list[tuple[list[list[str]], int]], rounds: int = 4) -> Perceptron:
         w: dict[str, float] = defaultdict(float)
@@ -117,22 +121,33 @@ class Editor:
 
     def __init__(self, counts: np.ndarray, model: Perceptron):
         self.counts, self.model = counts, model
+        self.view = memoryview(counts)  # gives plain numbers, faster than the array does
+        self.share = max(1, int(counts.sum(dtype=np.int64))) / CORPUS
         self.fine: set[str] = set()
         self.bad: dict[str, str] = {}
 
     def count(self, word: str) -> int:
-        return int(self.counts[bucket(word)])
+        return self.view[xxhash.xxh64_intdigest(word.encode(), 42) % BUCKETS]
+
+    def at(self, n: float) -> float:
+        """The count that stands for ``n`` in ``CORPUS`` words, two at least."""
+        return max(2.0, n * self.share)
 
     def candidates(self, word: str) -> list[tuple[list[str], str]]:
-        """Keep first, then the edits that lead to words the archive has far more often."""
+        """Keep first, then the edits that lead to words the archive has far more often.
+
+        How much more often a word is than another, and how often in the archive, are features: what
+        is a misreading and what a rare word of its own is left to the weights at any size of archive.
+        """
         n = self.count(word) if word.replace("-", "").isalpha() else 0
-        out = [(["keep", f"keep:{_scale(n)}", f"keep:len{min(len(word), 9)}"], word)]
-        floor = max(12, 25 * n, (n - 2) / MISREAD)
+        was = _scale(n / self.share)
+        out = [(["keep", f"keep:{was}", f"keep:len{min(len(word), 9)}"], word)]
+        floor = max(self.at(12), PLAUSIBLE * n)
         for op, new, edit, i in _edits(word):
             if op == "part":
                 a, b = new.split(" ")
                 m = min(self.count(a), self.count(b))
-                if m < 2 * floor or min(len(a), len(b)) < 2:
+                if m < 2 * floor or min(len(a), len(b)) < (2 if len(word) > 5 else 3):
                     continue
             else:
                 m = self.count(new)
@@ -140,14 +155,15 @@ class Editor:
                     continue
             before = word[i - 1] if i else "^"
             after = word[i + 1] if i + 1 < len(word) else "$"
-            out.append(([op, f"{op}:{edit}", f"{op}:{edit}:{before}", f"{op}:{edit}:{after}", f"{op}:{_scale(m)}", f"{op}:was{_scale(n)}", f"{op}:len{min(len(word), 9)}"], new))
+            ratio = f"{op}:ratio{int(2 * math.log2(m / n))}" if n else f"{op}:no word"
+            out.append(([op, f"{op}:{edit}", f"{op}:{edit}:{before}", f"{op}:{edit}:{after}", f"{op}:{_scale(m / self.share)}", f"{op}:was{was}", f"{op}:len{min(len(word), 9)}", ratio, f"{ratio}:{edit}"], new))
         return out
 
     def correct(self, word: str) -> str:
         """The word as meant (with a space where it is two), itself if it is fine; lower case in and out."""
         ranked = self.candidates(word)
         best = max(ranked, key=lambda c: self.model.score(c[0]))[1] if len(ranked) > 1 else word
-        if best == word and len(word) >= 6 and word.isalpha() and self.count(word) <= 2:
+        if best == word and len(word) >= 6 and word.isalpha() and self.count(word) <= self.at(2):
             return self._twice(word) or self._parts(word) or word
         return best
 
@@ -159,7 +175,7 @@ class Editor:
             for op, new, edit, _ in _edits(once):
                 if op != "part" and new not in tried and self.model.weights.get(f"{op}:{edit}", 0.0) > 0:
                     tried.add(new)
-                    if self.count(new) >= 60:
+                    if self.count(new) >= self.at(60):
                         return new
         return None
 
@@ -169,7 +185,7 @@ class Editor:
         for end in range(2, len(word) + 1):
             for start in range(max(0, end - 16), end - 1):
                 head, part = best[start], word[start:end]
-                if head is not None and self.count(part) >= (150 if end - start > 2 else 1500) and (best[end] is None or len(head) + 1 < len(best[end])):
+                if head is not None and self.count(part) >= self.at(150 if end - start > 2 else 1500) and (best[end] is None or len(head) + 1 < len(best[end])):
                     best[end] = [*head, part]
         found = best[-1]
         return " ".join(found) if found and 2 <= len(found) <= max(2, len(word) // 4) else None
@@ -196,9 +212,9 @@ class Editor:
             return None
         if _JOINED.fullmatch(core):
             a, b = re.split(r"[.,;:?!]", core, maxsplit=1)
-            if min(self.count(a.lower()), self.count(b.lower())) >= 5 and not (core.islower() and "." in core and self.count(a.lower()) < 50):
+            if min(self.count(a.lower()), self.count(b.lower())) >= self.at(5) and not (core.islower() and "." in core and self.count(a.lower()) < self.at(50)):
                 return token.replace(core, core[: len(a) + 1] + " " + core[len(a) + 1 :])
-            core = a if self.count(a.lower()) < 5 else b
+            core = a if self.count(a.lower()) < self.at(5) else b
         letters = sum(c.isalpha() for c in core)
         digits = sum(c.isdigit() for c in core)
         if not _WORDLIKE.fullmatch(core) or letters < 2 or digits > 2 or digits and (core[0].isdigit() or core.isupper() or letters <= digits):
@@ -207,27 +223,27 @@ class Editor:
         contraction = re.fullmatch(r"(.+?)(?:n['’]t|['’](?:s|t|ll|re|ve|d|m))", low)
         if contraction:
             low = contraction.group(1)
-        if len(low) < 3 or core.isupper() and digits == 0 and len(core) < 4 or "-" in low and self.count(low) >= 5:
+        if len(low) < 3 or core.isupper() and digits == 0 and len(core) < 4 or "-" in low and self.count(low) >= self.at(5):
             return None
         if "'" in low or "’" in low:
             head, _, tail = low.replace("’", "'").partition("'")
-            if (len(head) == 1 or head == "qu") and self.count(tail) >= 5 or head in ("jusqu", "lorsqu", "aujourd"):
+            if (len(head) == 1 or head == "qu") and self.count(tail) >= self.at(5) or head in ("jusqu", "lorsqu", "aujourd"):
                 return None
         plain = re.sub("['’|!¡]", "", low).replace("ſ", "s")
         if plain != low and plain.isalpha():
             for new in (plain, re.sub("['’|!¡]", "i", low).replace("ſ", "s"), re.sub("['’|!¡]", "l", low).replace("ſ", "s"), self.correct(plain)):
-                if " " in new or self.count(new) >= 12:
+                if " " in new or self.count(new) >= self.at(12):
                     return token.lower().replace(low, new)
         for part in low.split("-") if "-" in low else [low]:
-            if len(part) < 3 or part.isalpha() and self.count(part) >= 400:
+            if len(part) < 3 or part.isalpha() and self.count(part) >= self.at(400):
                 continue
             new = self.correct(part)
-            if new != part and (core.islower() or " " in new or self.count(new) >= 60):  # else a rare name
+            if new != part and (core.islower() or " " in new or self.count(new) >= self.at(60)):  # else a rare name
                 return token.lower().replace(part, new)
         humps = re.search(r"[^\W\d_][a-zà-ÿа-я]([A-ZÀ-Þ][a-zà-ÿ]{2,})", core)
         if humps:
             a, b = core[: humps.start(1)].lower().split("-")[-1], humps.group(1).lower()
-            if self.count(a) >= 20 and self.count(b) >= 20 and self.count(low) < 5:
+            if self.count(a) >= self.at(20) and self.count(b) >= self.at(20) and self.count(low) < self.at(5):
                 return token.replace(humps.group(1), " " + humps.group(1))
         return None
 
@@ -235,26 +251,52 @@ class Editor:
 def train_editor(words: list[tuple[str, int]], counts: np.ndarray) -> Perceptron:
     """Learns which edits to make from (word, count) of a bounded sample of words.
 
-    A rare word with an edit to a far more frequent one is an example of that edit if the edit
-    itself is seen for several words; frequent words, and rare ones no such edit leads from, are
-    examples of keeping.
+    A word with an edit to a far more frequent one is an example of that edit if the edit is seen at
+    a good share of the words it may lead to and the word is about as rare beside its target as
+    misreadings are in this archive; all others, the frequent ones among them, are examples of keeping.
     """
     judge = Editor(counts, Perceptron())
     options = [(w, judge.candidates(w)) for w, _ in words if len(w) >= 3]
-    seen: Counter[str] = Counter()
-    for _, cands in options:
-        for edit in {f[1] for f, _ in cands[1:]}:
-            seen[edit] += 1
+    frequent = [w for w, _ in words if judge.count(w) >= judge.at(200)]
+    possible: dict[str, int] = {}
+
+    def reach(feature: str) -> int:
+        result = feature.split(">")[1]
+        if result not in possible:
+            possible[result] = max(1, sum(result in w for w in frequent))
+        return possible[result]
+
+    def seen_at(rate: float | None) -> dict[str, float]:
+        """Share of the words each edit may lead to that it is seen at, by three words or more."""
+        seen: Counter[str] = Counter()
+        for w, cands in options:
+            seen.update({f[1] for f, new in cands[1:] if rate is None or _expected(judge, w, new, rate)})
+        return {f: n / reach(f) for f, n in seen.items() if n > 2}
+
+    first = seen_at(None)
+    ratios = [judge.count(w) / judge.count(new) for w, cands in options for f, new in cands[1:] if w.isalpha() and f[0] != "part" and first.get(f[1], 0.0) >= 2 * PRODUCTIVE]
+    rate = float(np.median(ratios)) if ratios else 0.0
+    share = seen_at(rate)
     examples = []
-    for _, cands in options:
+    for w, cands in options:
         if len(cands) > 1:
-            def weight(i: int, cands=cands) -> float:
-                return math.log(judge.count(cands[i][1].split(" ")[0]) + 1) + 2.0 * math.log(seen[cands[i][0][1]])
+            def weight(i: int, w=w, cands=cands) -> float:
+                known = share.get(cands[i][0][1], 0.0) >= PRODUCTIVE and _expected(judge, w, cands[i][1], rate)
+                return math.log(judge.count(cands[i][1].split(" ")[0]) + 1) + 2.0 * math.log(share[cands[i][0][1]]) if known else -math.inf
             best = max(range(1, len(cands)), key=weight)
-            examples.append(([f for f, _ in cands], best if seen[cands[best][0][1]] >= 4 else 0))
+            examples.append(([f for f, _ in cands], best if weight(best) > -math.inf else 0))
     return Perceptron().train(examples)
 
 
+def _expected(judge: Editor, word: str, new: str, rate: float) -> bool:
+    """Whether ``word`` is as rare beside ``new`` as misreadings are: within five times the rate or four deviations."""
+    if not word.replace("-", "").isalpha() or " " in new:
+        return True
+    mean = rate * judge.count(new)
+    return judge.count(word) <= max(5 * mean, mean + 4 * math.sqrt(max(mean, 1.0)))
+
+
+@lru_cache(1 << 16)
 def _shape(line: str) -> str:
     return re.sub(r"[\W\d_]+", " ", line).strip().lower()
 
@@ -325,7 +367,7 @@ class Pages:
                 found.add(i)
             elif len(x.strip()) < 60 and x.rstrip()[-1] not in ".!?,;:" + HYPHENS:
                 f = line_features(lines, i)
-                if self.furniture.score("yes:" + k for k in f) > self.furniture.score("no:" + k for k in f):
+                if self.furniture.score(["yes:" + k for k in f]) > self.furniture.score(["no:" + k for k in f]):
                     found.add(i)
         return found, numbers
 
@@ -337,9 +379,9 @@ class Pages:
         tail = end.split()[-1]
         a = tail[:-1].lstrip(_EDGE).lower()
         sure = end[-1] in "­¬"
-        count = self.editor.count
+        count, at = self.editor.count, self.editor.at
         if after is None:
-            return (a, tail) if sure or count(a.split("-")[-1]) < 40 else None
+            return (a, tail) if sure or count(a.split("-")[-1]) < at(40) else None
         b = re.match(r"[^\W\d_]+(?:-[^\W\d_]+)*", after.lstrip(_FORM + " "))
         if not b:
             return (a, tail) if sure else None
@@ -349,7 +391,7 @@ class Pages:
         if "-" in a or "-" in b:
             compound += count(f"{a.split('-')[-1]}-{first}")
         if whole == compound == 0:
-            return (a + b, tail) if sure or min(count(a.split("-")[-1]), count(first)) < 60 else None
+            return (a + b, tail) if sure or min(count(a.split("-")[-1]), count(first)) < at(60) else None
         return (a + b, tail) if whole > compound else None
 
     def noise(self, text: str, known: frozenset[str] = frozenset()) -> list[tuple[int, str]]:
@@ -381,13 +423,13 @@ class Pages:
         return out
 
     def _torn(self, tokens: list[str]) -> bool:
-        count = self.editor.count
+        count, rare = self.editor.count, self.editor.at(400)
         for a, b in zip(tokens, tokens[1:], strict=False):
             if a.isalpha() and b[:1].islower():
                 x, y = a.lower(), b.strip(_EDGE).lower()
                 if y.isalpha() and len(x) + len(y) >= 5:
                     low = min(count(x) if len(x) > 1 else 0, count(y) if len(y) > 1 else 0)
-                    if low < 400 and count(x + y) > 40 * (low + 1):
+                    if low < rare and count(x + y) > 40 * (low + 1):
                         return True
         return False
 

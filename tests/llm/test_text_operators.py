@@ -226,6 +226,20 @@ def test_scanned_pages(spark):
     assert pages.noise("") == [] and pages.noise(" \n") == []
 
 
+def test_misreadings_are_offered_at_any_size():
+    words = "open sheet seven letter never green weekly meter budget second request archive review centre energy cement".split()
+    for size in (1, 10, 100):
+        table = {**dict.fromkeys(words, 12_000 * size), "ion": 20_000 * size, "on": 24_000 * size}
+        misread = {w.replace("e", "c", 1): w for w in words}
+        table |= dict.fromkeys(misread, 30 * size)
+        counts = np.zeros(scans.BUCKETS, dtype=np.int32)
+        for w, n in table.items():
+            counts[scans.bucket(w)] += n
+        editor = scans.Editor(counts, scans.train_editor(sorted(table.items(), key=lambda x: x[1]), counts))
+        assert {w: editor.token(w) for w in misread} == misread
+        assert all(editor.token(w) is None for w in [*words, "ion"])
+
+
 # --- personal information
 def test_personal(spark):
     people = [("Anna", "Bergholm"), ("Jonas", "Tarquist"), ("Petra", "Vosryn"), ("Ivo", "Halmere")]
