@@ -2,8 +2,8 @@
 
 Every statistic of a document is set against a mergeable quantile sketch of that statistic over all
 documents of its language, as a percentile position and a robust z-score. A document most of whose
-characters lie in lines shaped like a list, a table or junk is of that class if its statistics lie
-in the tails of its language; everything else is prose.
+characters lie in lines shaped like a list, a table or junk is of that class, whatever else its
+language holds; everything else is prose. The scores tell how far from its language's usual it lies.
 """
 
 from __future__ import annotations
@@ -190,13 +190,12 @@ def standardise(stats: DataFrame, sketches: DataFrame) -> DataFrame:
     return df.select(*stats.columns, *map(percentile, STATS), *map(z, STATS))
 
 
-def classify(scored: DataFrame, tail: float = 1.0) -> DataFrame:
-    """Adds text_class: ``list``, ``table`` or ``junk`` for documents in their language's tails, else ``prose``.
+def classify(scored: DataFrame) -> DataFrame:
+    """Adds text_class: ``list``, ``table`` or ``junk`` for documents most of whose characters are that, else ``prose``.
 
-    A document is in the tails if any statistic's |z| is ``tail`` or more and most of its characters
-    lie in non-prose lines; the class is that of the largest share.
+    The class is that of the largest share. It rests on the document's own text: the scores beside it
+    are relative to the language, where copies of one text may be the usual.
     """
-    tails = F.greatest(*(F.abs(F.col(f"z_{c}")) for c in STATS if c != "n_words"))
     kinds = F.array_sort(F.array(*(F.struct((-F.col(c)).alias("share"), F.lit(c).alias("kind")) for c in CLASSES)))
     other = F.col("list") + F.col("table") + F.col("junk") > 0.5
-    return scored.withColumn("text_class", F.when(other & (tails >= tail), F.get(kinds, 0)["kind"]).otherwise("prose"))
+    return scored.withColumn("text_class", F.when(other, F.get(kinds, 0)["kind"]).otherwise("prose"))

@@ -205,6 +205,15 @@ def test_scores(spark):
     assert out[99]["text_class"] == "list" and out[0]["text_class"] == out[100]["text_class"] == "prose"
 
 
+def test_copies_do_not_hide_a_class(spark):
+    prose = "The pump was checked against the plan, and it is fine for all of us now."
+    listing = "name | qty | price\npump | 3 | 4.50\nvalve | 7 | 1.25"
+    rows = [(i, listing, "de") for i in range(30)] + [(100 + i, f"{prose} {i}", "de") for i in range(20)] + [(200, "- a\n- b\n- c", "fr"), (201, prose, "es")]
+    stats = quality.document_statistics(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    out = {r["doc_id"]: r["text_class"] for r in quality.classify(quality.standardise(stats, quality.language_sketches(stats))).collect()}
+    assert out == {**dict.fromkeys(range(30), "table"), **dict.fromkeys(range(100, 120), "prose"), 200: "list", 201: "prose"}
+
+
 # --- scans
 def test_scanned_pages(spark):
     random.seed(2)
