@@ -77,12 +77,12 @@ def addresses(header: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(header, F.lit(r'[^\s<>,;"]+@[^\s<>,;"]+'), F.lit(0)), F.array().cast("array<string>"))
 
 
-def snippet(text: Column, wanted: list[str], width: int = 8) -> Column:
+def snippet(text: Column, wanted: list[str] | Column, width: int = 8) -> Column:
     """``width`` terms of a text from shortly before its first wanted one, matches in brackets.
 
     A text without a match gives its first terms; terms left out at either end show as an ellipsis.
     """
-    hit = F.array(*map(F.lit, wanted))
+    hit = wanted if isinstance(wanted, Column) else F.array(*map(F.lit, wanted))
     every = terms(text)
     first = F.coalesce(F.get(F.filter(F.transform(every, lambda t, i: F.when(F.array_contains(hit, t), i)), lambda i: i.isNotNull()), 0), F.lit(0))
     start = F.greatest(F.least(first - 2, F.size(every) - width), F.lit(0))

@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 RRF_K = 60
 
 
-def fuse(lexical: DataFrame, vector: DataFrame, key: str, k: int = RRF_K) -> DataFrame:
-    """(key, lexical_rank, vector_rank, score): reciprocal rank fusion of two lists of (key, rank)."""
-    a = lexical.groupBy(key).agg(F.min("rank").alias("lexical_rank"))
-    b = vector.groupBy(key).agg(F.min("rank").alias("vector_rank"))
+def fuse(lexical: DataFrame, vector: DataFrame, key: str | list[str], k: int = RRF_K) -> DataFrame:
+    """(key, lexical_rank, vector_rank, score): reciprocal rank fusion of two lists of (key, rank).
+
+    With query_id among the keys, the lists of every query are fused at once.
+    """
+    keys = [key] if isinstance(key, str) else key
+    a = lexical.groupBy(*keys).agg(F.min("rank").alias("lexical_rank"))
+    b = vector.groupBy(*keys).agg(F.min("rank").alias("vector_rank"))
     part = lambda c: F.coalesce(1.0 / (k + F.col(c)), F.lit(0.0))
-    return a.join(b, key, "full_outer").withColumn("score", part("lexical_rank") + part("vector_rank"))
+    return a.join(b, keys, "full_outer").withColumn("score", part("lexical_rank") + part("vector_rank"))
 
 
 def attachment_counts(attachments: DataFrame) -> DataFrame:

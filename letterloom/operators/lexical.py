@@ -41,6 +41,30 @@ def search(docs: DataFrame, key: str, texts: list[str], question: list[str]) ->
     return hits.select(key, score.alias("score"))
 
 
+def search_each(docs: DataFrame, key: str, texts: list[str], questions: DataFrame) -> DataFrame:
+    """(query_id, key, score) of :func:`search` for every question (query_id, terms) at once.
+
+    A question's rarest term names the documents that may hold all of it; only these are looked up
+    for its other terms, so frequent terms make no pairs of their own.
+    """
+    p = postings(docs, key, texts)
+    every = F.concat(*(T.terms(F.col(c)) for c in texts))
+    stats = docs.select(F.size(every).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    asked = questions.select("query_id", F.explode(F.array_distinct("terms")).alias("term")).join(p.groupBy("term").agg(F.count("*").alias("df")), "term", "left").fillna(0, ["df"])
+    rarest = asked.groupBy("query_id").agg(F.min(F.struct("df", "term"))["term"].alias("term"), F.count("*").alias("wanted"))
+    may = rarest.join(p.select(key, "term"), "term").drop("term")
+    found = may.join(asked, "query_id").join(p, [key, "term"]).crossJoin(F.broadcast(stats))
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.when(idf > 0, idf).otherwise(1e-6) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = found.groupBy("query_id", key, "wanted").agg(F.count("*").alias("held"), (-F.sum(weight)).alias("score"))
+    return scored.where("held = wanted").select("query_id", key, "score")
+
+
+def top_each(scored: DataFrame, order: list, k: int) -> DataFrame:
+    """The k first of each query_id in the given order, with their rank from 1."""
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
+
+
 def top(scored: DataFrame, key: str, k: int) -> DataFrame:
     """The k best by score, ties by key, with their rank from 1."""
     best = scored.orderBy("score", key).limit(k)

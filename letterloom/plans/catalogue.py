@@ -139,11 +139,72 @@ _BOOST = """CASE WHEN day IS NULL THEN 0 WHEN day BETWEEN DATE '2023-01-01' AND
     SELECT f.doc_id, round(f.score + {_BOOST} + CASE WHEN lower(folder) LIKE '%inbox' THEN 0.05 ELSE 0 END + CASE WHEN contains(lower(from_email), 'norhaven') THEN 0.05 ELSE 0 END, 9) AS score
     FROM ({_FUSED}) f JOIN (SELECT *, created_at::DATE AS day FROM documents) d ON d.doc_id = f.doc_id) ORDER BY score DESC, doc_id LIMIT 20""")
 def hybrid_boosted(spark: SparkSession, d: str) -> DataFrame:
+    scored = _boosted(_fused(spark, d), spark, d)
+    return scored.orderBy(F.desc("score"), "doc_id").limit(20).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
+
+
+def _boosted(fused: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    """Fused documents with their soft boosts added to the score, other ranks dropped."""
     docs = table(spark, d, "documents").select("doc_id", "folder", "from_email", F.to_date("created_at").alias("at"))
     boost = V.time_boost(F.col("at"), F.lit("2023-01-01").cast("date"), F.lit("2023-12-31").cast("date"), 0.8)
     soft = F.when(F.lower("folder").endswith("inbox"), 0.05).otherwise(0.0) + F.when(F.lower("from_email").contains("norhaven"), 0.05).otherwise(0.0)
-    scored = _fused(spark, d).join(docs, "doc_id").select("doc_id", F.round(F.col("score") + boost + soft, 9).alias("score"))
-    return scored.orderBy(F.desc("score"), "doc_id").limit(20).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
+    keys = [c for c in ("query_id", "doc_id") if c in fused.columns]
+    return fused.join(docs, "doc_id").select(*keys, F.round(F.col("score") + boost + soft, 9).alias("score"))
+
+
+# The searches above ask one fixed question; these ask every document whose id is divisible by 100, by its terms and its vector.
+_BM25_EACH = """
+    SELECT query_id, {key}, round(-(sum(w)), 9) AS score FROM (
+      SELECT query_id, {key}, wanted, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END
+        * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS w
+      FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS wanted FROM (SELECT DISTINCT doc_id AS query_id, unnest(ts) AS term FROM {asked} WHERE doc_id % 100 = 0)) q
+      JOIN (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM (SELECT {key}, dl, term, count(*) AS tf FROM (SELECT {key}, len(ts) AS dl, unnest(ts) AS term FROM {docs}) GROUP BY ALL)) p ON p.term = q.term,
+           (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM {docs}))
+    GROUP BY query_id, {key}, wanted HAVING count(*) = wanted"""
+_DOCS_EACH = _BM25_EACH.format(key="doc_id", docs=_DOC_TERMS, asked=_DOC_TERMS)
+_LEX_EACH = f"(SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id)::INT AS rank FROM ({_DOCS_EACH}) QUALIFY rank <= 50)"
+_VEC_EACH = f"(SELECT query_id, doc_id, n AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_L2}, v.vec_id)::INT AS n FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0) WHERE n <= 100)"
+_FUSED_EACH = f"SELECT query_id, doc_id, a.rank AS lexical_rank, b.rank AS vector_rank, coalesce(1 / (60 + a.rank), 0) + coalesce(1 / (60 + b.rank), 0) AS score FROM {_LEX_EACH} a FULL JOIN {_VEC_EACH} b USING (query_id, doc_id)"
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.array_distinct(T.terms(F.col("text"))).alias("terms"))
+
+
+def _search_each(spark: SparkSession, d: str, name: str, key: str) -> DataFrame:
+    return lexical.search_each(table(spark, d, name), key, ["text"], _asked(spark, d)).withColumn("score", F.round("score", 9))
+
+
+@query(f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id)::INT AS rank FROM ({_DOCS_EACH}) QUALIFY rank <= 20")
+def bm25_topk_each(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.top_each(_search_each(spark, d, "documents", "doc_id"), ["score", "doc_id"], 20)
+
+
+@query(f"""SELECT query_id, source, id, score FROM (SELECT query_id, 'document' AS source, doc_id AS id, score FROM ({_DOCS_EACH})
+    UNION ALL SELECT query_id, 'chunk', id, score FROM ({_BM25_EACH.format(key='id', docs=_CHUNK_TERMS, asked=_DOC_TERMS)})) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, source DESC, id) <= 20""")
+def lexical_union_each(spark: SparkSession, d: str) -> DataFrame:
+    docs = _search_each(spark, d, "documents", "doc_id").select("query_id", F.lit("document").alias("source"), F.col("doc_id").alias("id"), "score")
+    chunks = _search_each(spark, d, "chunks", "id").select("query_id", F.lit("chunk").alias("source"), "id", "score")
+    return lexical.top_each(docs.unionByName(chunks), ["score", F.desc("source"), "id"], 20).drop("rank")
+
+
+def _fused_each(spark: SparkSession, d: str) -> DataFrame:
+    words = lexical.top_each(_search_each(spark, d, "documents", "doc_id"), ["score", "doc_id"], 50)
+    e = table(spark, d, "embeddings")
+    near = vectors.nearest(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select("vec_id", F.col("embedding").alias("v")), 100)
+    return fusion.fuse(words, near.withColumnRenamed("vec_id", "doc_id"), ["query_id", "doc_id"])
+
+
+@query(f"SELECT query_id, doc_id, coalesce(lexical_rank, 0) AS lexical_rank, coalesce(vector_rank, 0) AS vector_rank, round(score, 9) AS score FROM ({_FUSED_EACH})")
+def rrf_fusion_each(spark: SparkSession, d: str) -> DataFrame:
+    return _fused_each(spark, d).fillna(0, ["lexical_rank", "vector_rank"]).withColumn("score", F.round("score", 9))
+
+
+@query(f"""SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM (
+    SELECT f.query_id, f.doc_id, round(f.score + {_BOOST} + CASE WHEN lower(folder) LIKE '%inbox' THEN 0.05 ELSE 0 END + CASE WHEN contains(lower(from_email), 'norhaven') THEN 0.05 ELSE 0 END, 9) AS score
+    FROM ({_FUSED_EACH}) f JOIN (SELECT *, created_at::DATE AS day FROM documents) d ON d.doc_id = f.doc_id) QUALIFY rank <= 20""")
+def hybrid_boosted_each(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.top_each(_boosted(_fused_each(spark, d), spark, d), [F.desc("score"), "doc_id"], 20)
 
 
 @query("SELECT id, folder, from_email FROM messages WHERE lower(folder) LIKE '%inbox' AND contains(lower(from_email), 'norhaven') AND id IN (SELECT message_id FROM attachments)")
@@ -346,6 +407,12 @@ def fts_snippet(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(hits, "doc_id").select("doc_id", T.snippet(F.col("text"), QUESTION).alias("snippet"))
 
 
+@query()
+def fts_snippet_each(spark: SparkSession, d: str) -> DataFrame:
+    hits = _search_each(spark, d, "documents", "doc_id").join(_asked(spark, d), "query_id")
+    return table(spark, d, "documents").join(hits, "doc_id").select("query_id", "doc_id", T.snippet(F.col("text"), F.col("terms")).alias("snippet"))
+
+
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS from_day, strftime(o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d') AS to_day, 1.0::DOUBLE AS weight FROM orders""")
 def hypotheses_json(spark: SparkSession, d: str) -> DataFrame:
     """Date hypotheses read back from the JSON that a planner would write about each order."""

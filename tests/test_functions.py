@@ -46,6 +46,21 @@ def test_bm25_equals_fts5(spark):
     assert lexical.search(df, "id", ["t"], []).count() == 0
 
 
+def test_every_question_is_asked(spark):
+    from letterloom.operators import fusion
+
+    df = spark.createDataFrame([(1, "pump report pump"), (2, "pump report of the valve"), (3, "the report"), (4, None), (5, "pump " * 9 + "report")], "id long, t string")
+    asked = {7: ["pump", "report"], 8: ["report"], 9: ["report", "nowhere"]}
+    questions = spark.createDataFrame(list(asked.items()), "query_id long, terms array<string>")
+    got = sorted((r["query_id"], r["id"], round(r["score"], 9)) for r in lexical.search_each(df, "id", ["t"], questions).collect())
+    want = sorted((k, r["id"], round(r["score"], 9)) for k, q in asked.items() for r in lexical.search(df, "id", ["t"], q).collect())
+    assert got == want and len(got) == 7
+    a = spark.createDataFrame([(7, 1, 1), (8, 1, 2)], "query_id long, id long, rank int")
+    b = spark.createDataFrame([(7, 2, 1), (8, 1, 1)], "query_id long, id long, rank int")
+    fused = {(r["query_id"], r["id"]): r["score"] for r in fusion.fuse(a, b, ["query_id", "id"]).collect()}
+    assert fused == {(7, 1): 1 / 61, (7, 2): 1 / 61, (8, 1): 1 / 62 + 1 / 61}
+
+
 def test_nearest_and_hash(spark):
     rows = [(i, [float(i), 0.0]) for i in range(20)]
     v = spark.createDataFrame(rows, "vec_id long, v array<float>")
