@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from letterloom.functions import text as T
@@ -47,17 +47,20 @@ def search_each(docs: DataFrame, key: str, texts: list[str], questions: DataFram
     A question's rarest term names the documents that may hold all of it; only these are looked up
     for its other terms, so frequent terms make no pairs of their own.
     """
-    p = postings(docs, key, texts)
-    every = F.concat(*(T.terms(F.col(c)) for c in texts))
-    stats = docs.select(F.size(every).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    asked = questions.select("query_id", F.explode(F.array_distinct("terms")).alias("term")).join(p.groupBy("term").agg(F.count("*").alias("df")), "term", "left").fillna(0, ["df"])
-    rarest = asked.groupBy("query_id").agg(F.min(F.struct("df", "term"))["term"].alias("term"), F.count("*").alias("wanted"))
-    may = rarest.join(p.select(key, "term"), "term").drop("term")
-    found = may.join(asked, "query_id").join(p, [key, "term"]).crossJoin(F.broadcast(stats))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.when(idf > 0, idf).otherwise(1e-6) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = found.groupBy("query_id", key, "wanted").agg(F.count("*").alias("held"), (-F.sum(weight)).alias("score"))
-    return scored.where("held = wanted").select("query_id", key, "score")
+    d = docs.select(key, F.concat(*(T.terms(F.col(c)) for c in texts)).alias("ts"))
+    stats = d.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avgdl"))
+    held = d.select(key, F.explode(F.array_distinct("ts")).alias("term"))
+    asked = questions.select("query_id", F.explode(F.array_distinct("terms")).alias("term")).join(held.groupBy("term").agg(F.count("*").alias("df")), "term", "left").fillna(0, ["df"])
+    whole = asked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("wanted")).withColumn("term", F.get("wanted", 0)["term"])
+    may = held.join(whole.select("query_id", "term"), "term").drop("term")
+    pairs = may.join(whole.select("query_id", "wanted"), "query_id").join(d, key).where(F.size(F.array_except("wanted.term", "ts")) == 0).crossJoin(F.broadcast(stats))
+
+    def weight(total: Column, x: Column) -> Column:
+        idf = F.log((F.col("n") - x["df"] + 0.5) / (x["df"] + 0.5))
+        tf = F.size("ts") - F.size(F.array_remove("ts", x["term"]))
+        return total - F.when(idf > 0, idf).otherwise(1e-6) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size("ts") / F.col("avgdl")))
+
+    return pairs.select("query_id", key, F.aggregate("wanted", F.lit(0.0), weight).alias("score"))
 
 
 def top_each(scored: DataFrame, order: list, k: int) -> DataFrame:
