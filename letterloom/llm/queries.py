@@ -68,14 +68,17 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _split(spark, d).select("field", "rec_id", "piece_no", "n_pieces", "piece")
 
 
-def _pages(spark: SparkSession, d: str, repaired: bool) -> DataFrame:
+def _pages(spark: SparkSession, d: str, repaired: bool, salt: int = 32) -> DataFrame:
     files = table(spark, d, "attachment_text").where("path_text IS NOT NULL").select(F.lit("attachment").alias("field"), F.col("path_text").alias("rec_key"), "text")
     pieces = table(spark, d, "chunks").where("kind = 'attachment'").select("id", "attachment_id", "text")
-    whole = scans.running_shapes(files)
-    origin = table(spark, d, "attachments").where("path_text IS NOT NULL").select(F.col("id").alias("attachment_id"), F.col("path_text").alias("rec_key")).join(whole, "rec_key").select("attachment_id", "shapes")
-    cut_pieces = pieces.join(origin, "attachment_id", "left").select(F.lit("chunk").alias("field"), F.col("id").cast("string").alias("rec_key"), "text", "shapes")
-    model = scans.train(files.select("text").unionByName(pieces.select("text")), "text")
-    return scans.clean_pages(files.withColumn("shapes", F.lit(None).cast("array<string>")).unionByName(cut_pieces), model, repaired)
+    model = scans.train(files.select("text"), files.select("text").unionByName(pieces.select("text")))
+    # One attachment may hold a third of all pieces: they meet its few running lines under salted keys.
+    shapes = scans.running_shapes(files, model).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    paths = table(spark, d, "attachments").where("path_text IS NOT NULL").select(F.col("id").alias("attachment_id"), F.col("path_text").alias("rec_key"))
+    origin = paths.join(shapes, "rec_key").select("attachment_id", "salt", "shapes")
+    keyed = pieces.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int"))
+    cut_pieces = keyed.join(origin, ["attachment_id", "salt"], "left").select(F.lit("chunk").alias("field"), F.col("id").cast("string").alias("rec_key"), "text", "shapes", F.lit(True).alias("piece"))
+    return scans.clean_pages(files.withColumn("shapes", F.lit(None).cast("array<string>")).withColumn("piece", F.lit(False)).unionByName(cut_pieces), model, repaired)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

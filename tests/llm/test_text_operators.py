@@ -215,38 +215,74 @@ def test_copies_do_not_hide_a_class(spark):
 
 
 # --- scans
-def test_scanned_pages(spark):
-    random.seed(2)
-    words = "the meeting report explains interim budget changes before holidays while northern harbour teams wait for training material".split()
-    clean = [" ".join(random.choices(words, k=60)) for _ in range(1500)]
+SCAN_WORDS = "the meeting report explains interim budget changes before holidays while northern harbour teams wait for training material open sheet seven letter never green weekly meter second request archive review centre energy cement".split()
+
+
+def scanned_corpus(seed=2, n=1500, rate=0.04):
+    rng = random.Random(seed)
+    clean = [" ".join(rng.choices(SCAN_WORDS, k=60)) for _ in range(n)]
     noisy = []
-    for t in clean[:60]:
+    for t in clean[: n // 3]:
         parts = t.split()
-        k = next(i for i, w in enumerate(parts) if "e" in w and random.random() < 0.3)
-        parts[k] = parts[k].replace("e", "c", 1)
+        for k, w in enumerate(parts):
+            if rng.random() < rate:
+                parts[k] = w.replace("e", "c", 1) if rng.random() < 0.5 else w.replace("m", "rn", 1) if "m" in w else w[:2] + "|" + w[2:]
         noisy.append(" ".join(parts))
-    df = spark.createDataFrame([(t,) for t in clean + noisy + [None, ""]], "text string")
-    counts, edit, furniture = scans.train(df, "text")
-    pages = scans.Pages(scans.Editor(counts, scans.Perceptron(edit)), scans.Perceptron(furniture))
-    text = "Harbour Weekly Report\nthe mecting report explains the inter-\nim budget changes before holidays\n– 3 –\n\x0cHarbour Weekly Report\nwhile the harbour teams wait for training"
-    noise = set(pages.noise(text))
+    pages = []
+    for k in range(60):
+        head = f"{rng.choice(SCAN_WORDS).title()} {rng.choice(SCAN_WORDS).title()} {rng.choice(SCAN_WORDS).title()}"
+        lines = []
+        for page in range(1, 4):
+            lines += [head, *(" ".join(rng.choices(SCAN_WORDS, k=8)) + rng.choice(["", "."]) for _ in range(9)), f"– {page + k % 7} –"]
+        pages.append("\n".join(lines))
+    return clean + noisy + pages
+
+
+@pytest.fixture(scope="module")
+def scan_model(spark):
+    df = spark.createDataFrame([(t,) for t in [*scanned_corpus(), None, ""]], "text string")
+    return scans.train(df, df)
+
+
+PAGE = "Harbour Weekly Report\nthe mecting report explains the inter-\nim budget changes before holidays\n– 3 –\n\x0cHarbour Weekly Report\nwhile the harbour teams wait for training"
+
+
+def test_scanned_pages(scan_model):
+    pages = scans.build(scan_model)
+    noise = set(pages.noise(PAGE))
     assert {(1, "header"), (5, "header"), (4, "pageno"), (2, "hyphen"), (2, "ocr")} <= noise and (3, "ocr") not in noise
-    assert "meeting report explains the interim budget" in pages.repaired(text) and "Harbour Weekly" not in pages.repaired(text)
+    assert "meeting report explains the interim budget" in pages.repaired(PAGE) and "Harbour Weekly" not in pages.repaired(PAGE)
     assert pages.noise("") == [] and pages.noise(" \n") == []
+    # The first and the last word, and very long words, lines and page numbers are looked at like all others.
+    assert pages.noise("mecting") == [(1, "ocr")] and pages.noise("the report of the mecting") == [(1, "ocr")]
+    long = " ".join(SCAN_WORDS * 200)
+    assert pages.noise(long) == [] and pages.noise(long + " wcekly") == [(1, "ocr")]
+    assert pages.noise("x" * 5000 + "\n" + "mecting " * 3) == [(2, "ocr")]
+    assert pages.noise("the trainingmaterial and the mate rial") == [(1, "ocr")] and pages.noise("the mate rial") == [(1, "ocr")]
+
+
+def test_scans_are_decided_by_the_trained_weights(scan_model):
+    counts, edits, _, furniture = scan_model
+    blank = scans.build((counts, edits, {}, {}))
+    assert blank.noise(PAGE) == [] and "inter- im" in blank.repaired(PAGE)
+    assert set(edits.get("c", [])) == {"e"} and edits.get("rn") == ["m"] and edits.get("|") == [""]
+
+
+def test_scans_on_held_out_noise(scan_model):
+    pages = scans.build(scan_model)
+    found = [any(x == "ocr" for _, x in pages.noise(t)) for t in scanned_corpus(seed=77, n=900)[:1200]]
+    assert sum(found[:900]) == 0 and sum(found[900:1200]) > 250  # some three hundred texts got noise, a few none
 
 
-def test_misreadings_are_offered_at_any_size():
-    words = "open sheet seven letter never green weekly meter budget second request archive review centre energy cement".split()
+def test_misreadings_are_learned_at_any_size():
     for size in (1, 10, 100):
-        table = {**dict.fromkeys(words, 12_000 * size), "ion": 20_000 * size, "on": 24_000 * size}
-        misread = {w.replace("e", "c", 1): w for w in words}
+        table = {**dict.fromkeys(SCAN_WORDS, 12_000 * size), "ion": 20_000 * size, "on": 24_000 * size}
+        misread = {w.replace("e", "c", 1): w for w in SCAN_WORDS if "e" in w and len(w) > 3}
         table |= dict.fromkeys(misread, 30 * size)
-        counts = np.zeros(scans.BUCKETS, dtype=np.int32)
-        for w, n in table.items():
-            counts[scans.bucket(w)] += n
-        editor = scans.Editor(counts, scans.train_editor(sorted(table.items(), key=lambda x: x[1]), counts))
+        lines = [" ".join(SCAN_WORDS), " ".join(misread), *(" ".join(random.Random(i).choices(SCAN_WORDS, k=9)) for i in range(200))]
+        editor = scans.train_editor({"": sum(table.values())} | table, lines)
         assert {w: editor.token(w) for w in misread} == misread
-        assert all(editor.token(w) is None for w in [*words, "ion"])
+        assert all(editor.token(w) is None for w in [*SCAN_WORDS, "ion"])
 
 
 # --- personal information
