@@ -44,10 +44,10 @@ PRODUCTIVE = 0.06
 HYPHENS = "-‐‑­¬"
 _EDGE = "\"'“”„«»‘’().,;:!?…[]{}*•"
 _FORM = "\x0c"
-_WORDS = r"(?<![\p{L}\p{N}@_])\p{L}+(?:[-'’]\p{L}+)*(?![\p{L}\p{N}@_])"
+_WORDS = r"(?<![\p{L}\p{N}@_])\p{L}++(?:[-'’]\p{L}++)*+(?![\p{L}\p{N}@_\x01])"
 _WORD = re.compile(r"(?<![^\W_])[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 #: A split word: its parts are no words of their own, so they are not counted.
-_SPLIT = r"[\p{L}\p{N}'’]+[-‐‑­¬][ \t\r]*\n\f?[ \t]*[\p{L}\p{N}'’]+"
+_SPLIT = r"[-‐‑­¬][ \t\r]*\n\f?[ \t]*[\p{L}\p{N}'’]*+"
 _HEADING = re.compile(r"^\s*\d+(?:\.\d+)*[.)] +\S")
 _ADDRESS = re.compile(r"@|://|/|\\|_|\.\w+\.")
 _INNER = re.compile(r"([^\W\d_]{2,}[.,;:?!])([^\W\d_]+)")
@@ -59,7 +59,7 @@ def word_counts(texts: DataFrame, text: str) -> dict[str, int]:
 
     Only words of at least ``FLOOR`` of all reach the driver, at most 1 / FLOOR of them.
     """
-    whole = F.regexp_replace(F.lower(F.col(text)), _SPLIT, " ")
+    whole = F.regexp_replace(F.lower(F.col(text)), _SPLIT, "\x01")
     counts = cut(texts.select(F.explode(F.regexp_extract_all(whole, F.lit(_WORDS), 0)).alias("w")).groupBy("w").count())
     total = counts.agg(F.sum("count")).first()[0] or 0
     return {"": total} | {r["w"]: r["count"] for r in counts.where(F.col("count") >= FLOOR * total).toLocalIterator()}
@@ -488,23 +488,34 @@ def _mask(bare: str) -> str:
     return "i" if _ROMAN.match(bare) else _DIGITS.sub("9", bare)
 
 
-@lru_cache(1 << 16)
-def _looks(line: str) -> tuple[str, ...]:
-    """Features of a line's looks alone."""
+def _alike(a: str, b: str) -> bool:
+    if abs(len(a) - len(b)) > 3:
+        return False
+    m = SequenceMatcher(None, a, b, False)
+    return m.quick_ratio() > 0.8 and m.ratio() > 0.8
+
+
+def _stop(bare: str) -> str:
+    end = bare[-1]
+    return "stop" if end in ".!?" else "comma" if end in ",;:" else "hyphen" if end in HYPHENS else "open"
+
+
+def _looks(line: str) -> tuple:
+    """A line's looks alone: title, stop, size, words, few letters, heading, gap before a number, form, first, last, numbers."""
     bare = line.strip(_FORM + " \t\r")
     words = bare.split()
-    letters = [w for w in words if w[0].isalpha()]
-    capital = sum(1 for w in letters if w[0].isupper())
-    title = "none" if not letters else "upper" if bare.isupper() else "title" if capital >= 0.75 * len(letters) else "some"
-    stop = "stop" if bare[-1] in ".!?" else "comma" if bare[-1] in ",;:" else "hyphen" if bare[-1] in HYPHENS else "open"
-    size, n = min(len(bare) // 12, 6), min(len(words), 8)
-    few = sum(map(str.isalpha, bare))
-    heading, gap = bool(_HEADING.match(bare)), bool(_GAP_NUMBER.match(bare))
-    form = _mask(bare) if few <= 8 and any(map(str.isdigit, bare)) or len(bare) < 6 else ""
-    return (
-        f"size:{size}", f"words:{n}", f"title:{title}", f"stop:{stop}", f"few:{min(few, 9)}", f"heading:{heading}", f"gap:{gap}", f"form:{form}", f"first:{_mask(words[0])}:{_mask(words[1]) if len(words) > 1 else ''}" if len(letters) < len(words) else "first:",
-        f"last:{words[-1].lower()}:{words[-2] if not words[-2:-1] or not words[-2].isalnum() else ''}" if len(words) > 2 and not words[-2].isalnum() else "last:", f"{title}:{stop}:{size}", f"{title}:{heading}:{n}", f"{title}:{stop}:{heading}:{gap}", f"digits:{min(3, len(_DIGITS.findall(bare)))}:{min(few, 9)}:{n}",
-    )
+    letters = [w[0].isupper() for w in words if w[0].isalpha()]
+    title = "none" if not letters else "upper" if bare.isupper() else "title" if sum(letters) >= 0.75 * len(letters) else "some"
+    few = sum(map(str.isalpha, bare[:24]))
+    if few < 9:
+        few = min(9, sum(map(str.isalpha, bare)))
+    heading = bare[0].isdigit() and bool(_HEADING.match(bare))
+    gap = ("   " in bare or bare[0].isdigit()) and bool(_GAP_NUMBER.match(bare))
+    numbers = len(_DIGITS.findall(bare))
+    form = _mask(bare) if few <= 8 and numbers or len(bare) < 6 else ""
+    first = f"{_mask(words[0])}:{_mask(words[1]) if len(words) > 1 else ''}" if len(letters) < len(words) and len(words) < 9 else ""
+    last = f"{words[-1].lower()}:{words[-2]}" if 2 < len(words) < 9 and not words[-2].isalnum() else ""
+    return title, _stop(bare), min(len(bare) // 12, 6), min(len(words), 8), few, heading, gap, form, first, last, min(3, numbers)
 
 
 def _places(lines: list[str]) -> dict[int, str]:
@@ -547,20 +558,23 @@ class Furniture:
 
     def __init__(self, weights: dict[str, tuple[float, float, float]]):
         self.weights = weights
-        self.cache: dict[tuple[str, str, str], str] = {}
+        self.cache: dict[tuple[tuple, str, str], str] = {}
 
-    def features(self, line: str, place: str, again: str) -> list[str]:
-        looks = _looks(line)
-        return [*looks, f"place:{place}", f"again:{again}", f"{looks[2]}:{place}", f"{looks[2]}:{looks[3]}:{again}", f"{looks[4]}:{place.split(':')[0]}", f"{looks[5]}:{again}"]
+    def features(self, looks: tuple, place: str, again: str) -> list[str]:
+        title, stop, size, n, few, heading, gap, form, first, last, numbers = looks
+        return [
+            f"size:{size}", f"words:{n}", f"title:{title}", f"stop:{stop}", f"few:{few}", f"heading:{heading}", f"gap:{gap}", f"form:{form}", f"first:{first}", f"last:{last}", f"{title}:{stop}:{size}", f"{title}:{heading}:{n}",
+            f"{title}:{stop}:{heading}:{gap}", f"numbers:{numbers}:{few}:{n}", f"place:{place}", f"again:{again}", f"{title}:{place}", f"{title}:{stop}:again{again}", f"few:{few}:{place.split(':')[0]}", f"heading:{heading}:{again}",
+        ]
 
-    def kind(self, line: str, place: str, again: str) -> str:
-        key = (line, place, again)
+    def kind(self, looks: tuple, place: str, again: str) -> str:
+        key = (looks, place, again)
         found = self.cache.get(key)
         if found is None:
             if len(self.cache) > 200_000:
                 self.cache.clear()
             get, a, b, c = self.weights.get, 0.0, 0.0, 0.0
-            for f in self.features(line, place, again):
+            for f in self.features(looks, place, again):
                 w = get(f)
                 if w:
                     a, b, c = a + w[0], b + w[1], c + w[2]
@@ -575,17 +589,18 @@ class Furniture:
         for i, place in _places(lines).items():
             s = _shape(lines[i])
             mark = "known" if s in known else str(min(again.get(s, 1), 3)) if s in again else "no"
-            kind = self.kind(lines[i], place, mark)
-            if mark == "no" and firm and len(s) > 3 and kind == "text" and self.kind(lines[i], place, "near") != "text" and any(abs(len(s) - len(f)) <= 3 and SequenceMatcher(None, s, f).ratio() > 0.8 for f in firm):
-                kind = self.kind(lines[i], place, "near")
+            looks = _looks(lines[i])
+            kind = self.kind(looks, place, mark)
+            if mark == "no" and firm and len(s) > 3 and kind == "text" and self.kind(looks, place, "near") != "text" and any(_alike(s, f) for f in firm):
+                kind = self.kind(looks, place, "near")
             if kind != "text":
                 out[i] = kind
         return out
 
 
 def _look(line: str) -> tuple[str, ...]:
-    looks = _looks(line)
-    return looks[2], looks[3], looks[5], looks[8]
+    title, stop, _, _, _, heading, _, _, first, *_ = _looks(line)
+    return title, stop, heading, first
 
 
 def train_furniture(texts: list[str]) -> Furniture:
@@ -618,7 +633,7 @@ def train_furniture(texts: list[str]) -> Furniture:
                 gold = 0
                 if rng.random() < 0.7 and not _HEADING.match(lines[i]):
                     continue
-            looks = plain.features(lines[i], place, mark)
+            looks = plain.features(_looks(lines[i]), place, mark)
             examples.append(([[f"{c}|{f}" for f in looks] for c in CLASSES], gold))
     rng.shuffle(examples)
     w = Perceptron().train(examples[: 12 * TRAINING_EXAMPLES]).weights
