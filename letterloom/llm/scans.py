@@ -506,7 +506,7 @@ def _looks(line: str) -> tuple:
     words = bare.split()
     letters = [w[0].isupper() for w in words if w[0].isalpha()]
     title = "none" if not letters else "upper" if bare.isupper() else "title" if sum(letters) >= 0.75 * len(letters) else "some"
-    few = sum(map(str.isalpha, bare[:24]))
+    few = min(9, sum(map(str.isalpha, bare[:24])))
     if few < 9:
         few = min(9, sum(map(str.isalpha, bare)))
     heading = bare[0].isdigit() and bool(_HEADING.match(bare))
