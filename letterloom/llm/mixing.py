@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,8 +55,9 @@ def mix(df: DataFrame, doc_id: str, source: str, size: str, targets: Mapping[str
     """The documents of the mixture with how often each is taken: source, doc_id, size, copies.
 
     ``targets`` maps a source to (target share, most repeats). The mixture is as large as the caps
-    allow at the target shares. ``block_tokens`` defaults to the size that gives the scarcest source
-    at least 200 blocks. Documents of no target source (null included) and those with no tokens
+    allow at the target shares. ``block_tokens`` defaults to the size that gives every source at least
+    200 blocks and its shards at least 50 each, so blocks stay small beside shards at any size of
+    corpus. Documents of no target source (null included) and those with no tokens
     take no part and give no row; documents not chosen have copies 0. Repeated ids are dealt out
     each. An empty table, or a target source without documents, leaves the others' shares in
     proportion. ``df`` is read twice (totals per source, selection).
@@ -68,28 +70,37 @@ def mix(df: DataFrame, doc_id: str, source: str, size: str, targets: Mapping[str
         return df.sparkSession.createDataFrame([], schema)
     whole = sum(w for w, _ in have.values())
     mixture = min(totals[s][1] * cap / (w / whole) for s, (w, cap) in have.items())
-    block = block_tokens or max(1, int(min(totals[s][1] for s in have) // 200))
     shards = {s: max(1, -(-totals[s][0] // docs_per_shard)) for s in have}
+    block = block_tokens or max(1, int(min(min(totals[s][1] // 200, totals[s][1] // shards[s] // 50) for s in have)))
     count = F.create_map(*[F.lit(x) for kv in shards.items() for x in kv])
     items = items.where(F.col("source").isin(*have)).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), count[F.col("source")]).cast("int"))
 
     blocks = items.groupBy("source", "shard").agg(F.sum("size").alias("tokens")).withColumn("blocks", F.greatest(F.round(F.col("tokens") / block), F.lit(1)).cast("long"))
     available = {r["source"]: r["n"] for r in blocks.groupBy("source").agg(F.sum("blocks").alias("n")).collect()}
     quotas = sainte_lague({s: w for s, (w, _) in have.items()}, int(mixture // block), {s: available[s] * have[s][1] for s in have})
-    # Within a source shards weigh what they hold: cumulative rounding to odd halves gives each its quotient share.
-    share = F.create_map(*[F.lit(x) for s in have for x in (s, quotas[s] / available[s])])
-    upto = F.floor(F.sum("blocks").over(Window.partitionBy("source").orderBy("shard")) * share[F.col("source")] + 0.5)
-    cap = F.create_map(*[F.lit(x) for s in have for x in (s, have[s][1])])
-    by_shard = blocks.withColumn("upto", upto).withColumn("before", F.coalesce(F.lag("upto").over(Window.partitionBy("source").orderBy("shard")), F.lit(0))).select("source", "shard", (F.col("upto") - F.col("before")).cast("long").alias("quota"), "blocks", cap[F.col("source")].alias("cap"))
+    # Within a source the same: seats a shard has for certain, then the highest quotients of its next ones.
+    of = lambda values: F.create_map(*[F.lit(x) for s in have for x in (s, values[s])])[F.col("source")]
+    cap = F.col("blocks") * of({s: have[s][1] for s in have})
+    sure = F.greatest(F.floor(F.col("blocks") * of({s: quotas[s] / available[s] for s in have})) - 1, F.lit(0)).cast("long")
+    seats = blocks.withColumn("cap", cap).withColumn("sure", sure).withColumn("open", of(quotas) - F.sum("sure").over(Window.partitionBy("source")))
+    nexts = seats.select("source", "shard", "blocks", "open", F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.col("sure") + i)).alias("k"), "cap").where("k < cap")
+    won = nexts.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(F.desc(F.col("blocks") / (2 * F.col("k") + 1)), "shard", "k"))).where("place <= open").groupBy("source", "shard").agg(F.count("*").alias("won"))
+    by_shard = seats.join(won, ["source", "shard"], "left").select("source", "shard", (F.col("sure") + F.coalesce("won", F.lit(0))).alias("quota"), "blocks")
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        quota, n, most = int(rows["quota"].iloc[0]), int(rows["blocks"].iloc[0]), int(rows["cap"].iloc[0])
-        rows = rows.sort_values(["order", "doc_id"], kind="stable")
-        at = rows["size"].cumsum() - rows["size"] // 2  # a document lies where its middle lies
-        tokens = int(rows["size"].sum())
-        block_no = (at * n // max(1, tokens)).clip(upper=n - 1)  # n equal blocks of the shard's string
-        copies = (quota // n + (block_no < quota % n)).clip(upper=most)
-        return rows.assign(copies=copies.astype("int32"))[["source", "doc_id", "size", "copies"]]
+        quota, n = int(rows["quota"].iloc[0]), int(rows["blocks"].iloc[0])
+        rows = rows.sort_values(["order", "doc_id"], kind="stable").reset_index(drop=True)
+        size = rows["size"].to_numpy()
+        want = size.sum() * (quota % n) / n  # beyond whole rounds, the blocks at the beginning of the seeded string
+        taken = size.cumsum() - size / 2 < want  # a document lies where its middle lies
+        gap = want - size[taken].sum()
+        while len(swap := np.flatnonzero(taken == (gap < 0))):  # the documents that bring the shard nearest to its quota
+            best = swap[np.argmin(np.abs(size[swap] - abs(gap)))]
+            if abs(size[best] - abs(gap)) >= abs(gap):
+                break
+            taken[best] = not taken[best]
+            gap = want - size[taken].sum()
+        return rows.assign(copies=(quota // n + taken).astype("int32"))[["source", "doc_id", "size", "copies"]]
 
     dealt = items.withColumn("order", F.xxhash64(F.lit(seed), "doc_id", F.lit("order"))).join(by_shard, ["source", "shard"])
     return dealt.groupBy("source", "shard").applyInPandas(choose, schema)

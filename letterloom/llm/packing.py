@@ -1,7 +1,7 @@
 """Filling fixed-capacity containers: best-fit decreasing with a segment tree over remaining room.
 
-Documents are dealt to shards of some thousand containers by a hash of their id; each shard is
-packed on its own, so no task sees more than its shard. A shard wastes at most about one container,
+Documents are dealt to shards of some thousand containers; each shard is packed on its own, so no
+task sees more than its shard. A shard wastes at most about one container,
 a small share of the thousands it fills.
 """
 
@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from letterloom.session import cut
+
 
 class RoomTree:
     """Segment tree over remaining capacities 0..capacity: finds the tightest room in log time."""
@@ -66,28 +68,27 @@ def pack(df: DataFrame, doc_id: str, size: str, capacities: dict[str, int], bins
     """Lays the documents into containers of each kind: container, shard, bin_no, doc_id, piece_no, first, size.
 
     A document within the capacity stays whole; a larger one is cut into full containers of its own
-    and a remainder that is packed like any item (``first`` is its first token). Null and negative
-    sizes count as 0; empty documents lie in any container. Ids may repeat and each row is laid out;
-    ties are broken by id. An empty table gives no rows. ``df`` is read twice (totals, packing).
+    (shard below 0, never packed by anyone) and a remainder that is packed like any item (``first`` is
+    its first token). Null and negative sizes count as 0; empty documents lie in any container. Ids may
+    repeat: each row is laid out and dealt to a shard on its own, so neither a very long document nor
+    the copies of one id meet in one task. An empty table gives no rows. ``df`` is computed once.
     """
-    items = df.select(F.col(doc_id).alias("doc_id"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("size"))
-    docs, total = items.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    kinds = F.array(*(F.struct(F.lit(k).alias("container"), F.lit(c).alias("capacity"), F.lit(int(max(1, min(-(-total // (c * bins_per_shard)), 2**31 - 1), -(-docs // docs_per_shard)))).alias("shards")) for k, c in capacities.items()))
-    items = items.select("doc_id", "size", F.explode(kinds).alias("k")).select("k.*", "doc_id", "size")
-    full = F.floor(F.col("size") / F.col("capacity")).cast("int")
-    cut = F.when(F.col("size") <= F.col("capacity"), F.array(F.struct(F.lit(1).alias("piece_no"), F.lit(0).cast("long").alias("first"), F.col("size").alias("size")))).otherwise(
-        F.filter(
-            F.transform(F.sequence(F.lit(0), full), lambda i: F.struct((i + 1).alias("piece_no"), (i.cast("long") * F.col("capacity")).alias("first"), F.least(F.col("size") - i.cast("long") * F.col("capacity"), F.col("capacity").cast("long")).alias("size"))),
-            lambda p: p["size"] > 0,
-        )
-    )
-    pieces = items.select("container", "capacity", "shards", "doc_id", F.explode(cut).alias("p")).select("container", "capacity", F.pmod(F.xxhash64("doc_id"), F.col("shards")).cast("int").alias("shard"), "doc_id", "p.*")
+    items = cut(df.select(F.col(doc_id).alias("doc_id"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("size"), F.monotonically_increasing_id().alias("row")))
+    left = lambda c: F.when(F.col("size") <= c, F.col("size")).otherwise(F.col("size") % c)
+    totals = items.agg(F.count("*").alias("docs"), *(F.coalesce(F.sum(left(c)), F.lit(0)).alias(f"c{i}") for i, c in enumerate(capacities.values()))).first()
+    shards = [int(max(1, min(-(-totals[f"c{i}"] // (c * bins_per_shard)), 2**31 - 1), -(-totals["docs"] // docs_per_shard))) for i, c in enumerate(capacities.values())]
+    kinds = F.array(*(F.struct(F.lit(k).alias("container"), F.lit(c).alias("capacity"), F.lit(n).alias("shards")) for (k, c), n in zip(capacities.items(), shards, strict=True)))
+    each = items.select("doc_id", "size", "row", F.explode(kinds).alias("k")).select("k.*", "doc_id", "size", "row").withColumn("full", F.when(F.col("size") > F.col("capacity"), F.floor(F.col("size") / F.col("capacity"))).otherwise(0).cast("int"))
+    alone = each.where("full > 0").select("container", "capacity", "doc_id", "row", F.explode(F.sequence(F.lit(1), F.col("full"))).alias("piece_no"))
+    alone = alone.select("container", (-F.col("piece_no")).alias("shard"), F.col("row").alias("bin_no"), "doc_id", "piece_no", ((F.col("piece_no") - 1).cast("long") * F.col("capacity")).alias("first"), F.col("capacity").cast("long").alias("size"))
+    rest = each.withColumn("first", F.col("full").cast("long") * F.col("capacity")).withColumn("size", F.col("size") - F.col("first")).where("full = 0 OR size > 0")
+    rest = rest.select("container", "capacity", F.pmod(F.xxhash64("doc_id", "row"), F.col("shards")).cast("int").alias("shard"), "doc_id", (F.col("full") + 1).alias("piece_no"), "first", "size")
 
     def lay(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "piece_no"], kind="stable")
         return rows.assign(bin_no=best_fit_decreasing(rows["size"].to_numpy(), int(rows["capacity"].iloc[0])))[["container", "shard", "bin_no", "doc_id", "piece_no", "first", "size"]]
 
-    return pieces.groupBy("container", "shard").applyInPandas(lay, "container string, shard int, bin_no long, doc_id long, piece_no int, first long, size long")
+    return rest.groupBy("container", "shard").applyInPandas(lay, "container string, shard int, bin_no long, doc_id long, piece_no int, first long, size long").unionByName(alone)
 
 
 def fill_report(packed: DataFrame, capacities: dict[str, int]) -> DataFrame:

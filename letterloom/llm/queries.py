@@ -65,7 +65,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return _split(spark, d).select("field", "rec_id", "piece_no", "n_pieces", "piece")
+    return _split(spark, d).select("field", "rec_id", "piece_no", "n_pieces", "shared", "piece")
 
 
 def _pages(spark: SparkSession, d: str, repaired: bool, salt: int = 32) -> DataFrame:

@@ -43,6 +43,11 @@ def cut_points(text: str, unit: str, max_size: int, overlap: int) -> list[tuple[
     (for bytes, the most whole characters within that many). An overlap of half the limit or more
     counts as just under half. A run without any boundary is cut at the limit.
     """
+    return [(a, b) for a, b, _ in _cut(text, unit, max_size, overlap)]
+
+
+def _cut(text: str, unit: str, max_size: int, overlap: int) -> list[tuple[int, int, int]]:
+    """:func:`cut_points` with how many units each piece shares with the one before."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     n = len(codes)
     white = np.isin(codes, _WHITE)
@@ -56,7 +61,7 @@ def cut_points(text: str, unit: str, max_size: int, overlap: int) -> list[tuple[
         units = np.concatenate([[0], np.cumsum(begins)])
     total = int(units[n])
     if total <= max_size:
-        return [(0, n)]
+        return [(0, n, 0)]
     overlap = max(0, min(overlap, (max_size - 1) // 2))
     room = max_size - overlap
     least = max(1, room // 3)
@@ -67,11 +72,11 @@ def cut_points(text: str, unit: str, max_size: int, overlap: int) -> list[tuple[
     ends = np.isin(near[:, 1], _STOPS) | (near[:, 0] == 10)
     ranks = [starts[blank], starts[ends | blank], starts]
     marks = _landmarks(codes, max(2, room // 3 if unit != "words" else room * 2))
-    pieces, start, cut = [], 0, 0
+    pieces, start, cut, shared = [], 0, 0, 0
     while total - units[start] > max_size:
         base = int(units[cut])
         budget = max_size if cut == 0 else room
-        low = int(np.searchsorted(units, base + least, "left"))
+        low = int(np.searchsorted(units, base + (least if cut else max(least, overlap + 1)), "left"))  # the first piece must hold the whole overlap
         high = int(np.searchsorted(units, base + budget, "right")) - 1
         if unit == "words":  # a cut before the next word, so that the piece ends with its white space
             high = int(starts[np.searchsorted(units[starts], base + budget, "right") - 1]) if len(starts) else high
@@ -85,41 +90,42 @@ def cut_points(text: str, unit: str, max_size: int, overlap: int) -> list[tuple[
                 end = int(inside[np.argmin(np.abs(inside - target))])
                 break
         end = end or max(high, cut + 1)
-        pieces.append((start, end))
+        pieces.append((start, end, shared))
         cut = end
         if unit == "words":
             at = int(units[cut]) - overlap
             start = int(np.searchsorted(units, at, "right")) - 1
         else:
             start = int(np.searchsorted(units, units[cut] - overlap, "left"))
-    pieces.append((start, n))
+        shared = int(units[cut] - units[start])
+    pieces.append((start, n, shared))
     return pieces
 
 
 def split_oversized(df: DataFrame, text: str, unit: str, max_size: str, overlap: str) -> DataFrame:
-    """The pieces of each row's text: all columns but the text, then piece_no (from 1), n_pieces, piece.
+    """The pieces of each row's text: all columns but the text, then piece_no (from 1), n_pieces, shared, piece.
 
-    ``unit``, ``max_size`` and ``overlap`` name columns. Texts within the limit, and rows whose limit
-    is null or below 1, come out whole as one piece without passing through Python; null texts give
-    one null piece. Repeated rows give repeated pieces. Columns named piece_no, n_pieces or piece
-    are replaced. No shuffle: rows are cut where they are read.
+    ``unit``, ``max_size`` and ``overlap`` name columns. ``shared`` is how many units a piece really
+    has in common with the one before. Texts within the limit, and rows whose limit is null or below
+    1, come out whole as one piece and never pass through Python; null texts give one null piece.
+    Repeated rows give repeated pieces. Columns named piece_no, n_pieces, shared or piece are
+    replaced. No shuffle and a single scan: rows are marked and cut where they are read.
     """
-    rest = [f for f in df.drop("piece_no", "n_pieces", "piece").schema if f.name != text]
-    names = [f.name for f in rest]
+    added = ("piece_no", "n_pieces", "shared", "piece")
+    names = [c for c in df.columns if c != text and c not in added]
     over = F.coalesce((size_in(F.col(text), F.col(unit)) > F.col(max_size)) & (F.col(max_size) > 0), F.lit(False))
-    df = df.select(*names, text)
-    whole = df.where(~over).select(*names, F.lit(1).alias("piece_no"), F.lit(1).alias("n_pieces"), F.col(text).alias("piece"))
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            row, no, of, piece = [], [], [], []
-            for i, (t, u, m, o) in enumerate(zip(rows[text], rows[unit], rows[max_size], rows[overlap], strict=True)):
-                spans = cut_points(t, u, int(m), 0 if pd.isna(o) else int(o))
-                row += [i] * len(spans)
-                no += range(1, len(spans) + 1)
-                of += [len(spans)] * len(spans)
-                piece += [t[a:b] for a, b in spans]
-            yield rows[names].iloc[row].reset_index(drop=True).assign(piece_no=no, n_pieces=of, piece=piece)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", piece_no int, n_pieces int, piece string"
-    return whole.unionByName(df.where(over).mapInPandas(cut, schema))
+
+    @F.pandas_udf("pieces array<string>, shared array<int>")
+    def cut(texts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for ts, us, ms, os in texts:
+            pieces, shared = [], []
+            for t, u, m, o in zip(ts, us, ms, os, strict=True):
+                spans = _cut(t, u, int(m), 0 if pd.isna(o) else int(o)) if t is not None else None
+                pieces.append([t[a:b] for a, b, _ in spans] if spans else None)
+                shared.append([c for _, _, c in spans] if spans else None)
+            yield pd.DataFrame({"pieces": pieces, "shared": shared})
+
+    done = df.select(*names, text, cut(F.when(over, F.col(text)), F.col(unit), F.col(max_size), F.col(overlap)).alias("__cut"))
+    pieces = F.coalesce(F.arrays_zip("__cut.pieces", "__cut.shared"), F.array(F.struct(F.col(text).alias("pieces"), F.lit(0).alias("shared"))))
+    each = done.withColumn("__p", pieces).select(*names, F.size("__p").alias("n_pieces"), F.posexplode("__p").alias("__i", "__x"))
+    return each.select(*names, (F.col("__i") + 1).alias("piece_no"), "n_pieces", F.col("__x.shared").alias("shared"), F.col("__x.pieces").alias("piece"))

@@ -159,6 +159,16 @@ def test_pack_table(spark):
     assert packing.pack(df.limit(0), "doc_id", "n", {"c": 10}).count() == 0
 
 
+def test_copies_and_giants_are_dealt_out(spark):
+    df = spark.createDataFrame([(7, 4)] * 600 + [(8, 100_003)], "doc_id long, n int")
+    out = packing.pack(df, "doc_id", "n", {"c": 10}, bins_per_shard=20).collect()
+    assert sum(r["size"] for r in out) == 600 * 4 + 100_003 and len(out) == 600 + 10_001
+    shards = {}
+    for r in out:
+        shards[r["shard"]] = shards.get(r["shard"], 0) + 1
+    assert max(shards.values()) < 150 and len({(r["shard"], r["bin_no"]) for r in out if r["doc_id"] == 8}) == 10_001
+
+
 # --- mixing
 @settings(max_examples=80, deadline=None)
 @given(st.dictionaries(st.sampled_from("abcdef"), st.integers(1, 50), min_size=1), st.integers(0, 300), st.integers(1, 120))
@@ -182,6 +192,18 @@ def test_mix_table(spark):
     assert mixing.mix(df.limit(0), "doc_id", "source", "n", targets).count() == 0
 
 
+@pytest.mark.parametrize("per_shard", [5, 500, 20_000])
+def test_shares_at_any_number_of_shards(spark, data, per_shard):
+    docs = Q._doc_tokens(spark, data.replace("sf0.001", "sf0.01"))
+    targets = Q._targets(spark, data)
+    report = mixing.share_report(mixing.mix(docs, "doc_id", "source", "tokens", targets, docs_per_shard=per_shard), targets).collect()
+    assert max(abs(r["actual_share"] - r["target_share"]) for r in report) < 0.005
+    whole = {r["source"]: r["n"] for r in docs.groupBy("source").sum("tokens").withColumnRenamed("sum(tokens)", "n").collect()}
+    mixture = min(whole[s] * cap / w for s, (w, cap) in targets.items())
+    assert abs(sum(r["tokens"] for r in report) / mixture - 1) < 0.02
+    assert all(r["most_copies"] <= targets[r["source"]][1] for r in report)
+
+
 # --- quality
 def test_text_classes():
     def kind(text):
