@@ -12,6 +12,9 @@ from letterloom.llm import encoding, mixing, packing, personal, quality, replies
 from letterloom.llm import queries as Q
 
 
+SCAN_WORDS = "the meeting report explains interim budget changes before holidays while northern harbour teams wait for training material open sheet seven letter never green weekly meter second request archive review centre energy cement".split()
+
+
 # --- wrong encodings
 WORDS = "révisé délai supplémentaire für März Größe Übergabe manutenção não versão decisión técnica список грузов уже готов протокол собрания naïve – “ok” €".split()
 
@@ -50,45 +53,72 @@ def test_repair_table(spark, repairer):
 
 
 # --- replies
-BODY = """[EXTERNAL] This mail came from outside.
-
-Hi Ann,
-
-The pump is fine. Best, of course, would be a new one.
--- the second option is cheaper, though
-
-Kind regards,
-Bob Miller
-
---
-Bob Miller
-Sales | Acme
-
-On Tue, 19 Dec 2023 at 16:57, Ann Lee
-<ann@x.example> wrote:
-> Is the pump
-> fine? I have read that the pump makes noises at
-night
-> and in the morning.
-> """
-
-
-def test_older_lines():
-    lines = BODY.split("\n")
-    new = [x for k, x in enumerate(lines, 1) if x.strip() and k not in replies.older_lines(BODY, None, frozenset(), frozenset({"bob", "miller"}))]
-    assert new == ["Hi Ann,", "The pump is fine. Best, of course, would be a new one.", "-- the second option is cheaper, though"]
-
-
-def test_unmarked_quote_is_found_in_the_parent():
+NOTICE = "The contents of this mail are meant only for the addressee. If it reached you by mistake, please delete it and tell the sender."
+BANNER = "NOTE: this came from outside. Do not open links unless you know the sender."
+
+
+def mail_corpus(n=400, seed=11):
+    """(parsed, messages, new lines by parse_id) of senders with closings of their own and a shared notice and banner."""
+    rng, parsed, messages, want = random.Random(seed), [], [], {}
+    senders = [(f"Ann{k} Lee{k}", f"ann{k}@x.example") for k in range(12)]
+    for i in range(n):
+        name, address = senders[i % len(senders)]
+        new = [f"{rng.choice(['Hi', 'Hello', 'Dear'])} {rng.choice(['all', 'team', 'colleagues'])},", ""]
+        for _ in range(rng.randint(1, 3)):
+            new += [" ".join(rng.choices(SCAN_WORDS, k=rng.randint(8, 30))) + ".", ""]
+        close = rng.choice([["Kind regards,", name.split()[0]], ["Best,", name], ["Cheers", name.split()[0], "", "--", name, "Records Team | Acme", f"Tel. {rng.randint(10000, 99999)}"]])
+        close += ["", *([NOTICE] if i % 3 else [NOTICE[:60].rsplit(" ", 1)[0], NOTICE[len(NOTICE[:60].rsplit(" ", 1)[0]) + 1 :]])] if i % 2 else []
+        head = [BANNER, ""] if i % 5 == 0 else []
+        want[i] = {len(head) + k + 1 for k, x in enumerate(new) if x}
+        parsed.append((i, f"m{i}", None, "\n".join(head + new + close), 0))
+        messages.append((f"m{i}", address, f'{{"From": "{name} <{address}>"}}', None, None))
+    return parsed, messages, want
+
+
+PARSED = "parse_id long, message_id string, in_reply_to string, body string, closings int"
+MESSAGES = "message_id string, from_email string, headers_json string, in_reply_to string, thread_id string"
+
+
+@pytest.mark.parametrize("limit", [24_000_000, 0])
+def test_closings_and_banners_are_found_by_the_dictionaries(spark, limit):
+    rows, heads, want = mail_corpus()
+    found = replies.find_older_lines(spark.createDataFrame(rows, PARSED), spark.createDataFrame(heads, MESSAGES), broadcast_bytes=limit).collect()
+    old = {}
+    for r in found:
+        old.setdefault(r["parse_id"], set()).add(r["line_no"])
+    missed = wrong = total = 0
+    for i, _, _, body, _ in rows:
+        lines = {k for k, x in enumerate(body.split("\n"), 1) if x.strip()}
+        total += len(lines - want[i])
+        missed += len(lines - want[i] - old.get(i, set()))
+        wrong += len(old.get(i, set()) & want[i])
+    assert missed <= 0.02 * total and wrong <= 0.01 * total
+
+
+def test_without_dictionaries_no_unmarked_line_is_older():
+    empty = replies.Closings({}, frozenset(), frozenset())
+    for _, _, _, body, _ in mail_corpus(60)[0]:
+        assert replies.older_lines(body, frozenset(), empty) == []
+
+
+def test_marked_quotes():
+    body = "Hi Ann,\n\nThe pump is fine.\n-- the second option is cheaper, though\n\nOn Tue, 19 Dec 2023 at 16:57, Ann Lee\n<ann@x.example> wrote:\n> Is the pump\n> fine? I have read that the pump makes noises at\nnight\n> and in the morning.\n> "
+    empty = replies.Closings({}, frozenset(), frozenset())
+    assert replies.older_lines(body, frozenset(), empty) == list(range(6, 13))
+
+
+def test_unmarked_quotes_are_found_in_any_ancestor(spark):
     old = "We will mark the quarterly parking permit as read before the holidays, and then the printed one."
-    body = f"Hello,\n\n{old}\n\nThis is all new and nobody wrote it before in any mail of the thread."
-    assert replies.older_lines(body, f"Hi\n\n{old}\n", frozenset(), frozenset()) == [3]
-    assert replies.older_lines(body, None, frozenset(), frozenset()) == []
+    new = "This is all new and nobody wrote it before in any mail of the thread."
+    rows = [(1, "a", None, f"Hello,\n\n{old}\n\nmore words of mail one", 0), (2, "b", "a", "Hello,\n\nsecond mail here with its own words", 0), (3, "c", "b", f"Hello,\n\n{new}\n\n{old}", 0), (4, "d", None, f"{old}", 0), (5, "a", None, f"Hello,\n\n{old}\n\nmore words of mail one", 0), (6, "e", "gone", f"> {old}\n\nyes", 0), (7, "f", "e", f"{old[:50]}\n{old[51:]}\n\nanother one of all my words", 0)]
+    heads = [("a", None, None, None, None), ("b", None, None, "a", None), ("c", None, None, "b", ""), ("d", None, None, None, None), ("e", None, None, "gone", None), ("f", None, None, "e", None)]
+    out = replies.find_older_lines(spark.createDataFrame(rows, PARSED), spark.createDataFrame(heads, MESSAGES)).collect()
+    assert sorted((r["parse_id"], r["line_no"]) for r in out) == [(3, 5), (6, 1), (7, 1), (7, 2)] or old[50] != " "
 
 
 def test_replies_table(spark, data):
-    parsed = spark.createDataFrame([(1, "a", None, None, 0), (2, "b", "a", "", 0), (3, None, "zz", "> x\ny", 0), (3, None, "zz", "> x\ny", 0)], "parse_id long, message_id string, in_reply_to string, body string, closings int")
-    messages = spark.createDataFrame([("a", None, None)], "message_id string, from_email string, headers_json string")
+    parsed = spark.createDataFrame([(1, "a", None, None, 0), (2, "b", "a", "", 0), (3, None, "zz", "> x\ny", 0), (3, None, "zz", "> x\ny", 0), (4, "a", "a", "y " * 40_000 + "\n\n" + "z", 0)], PARSED)
+    messages = spark.createDataFrame([("a", None, None, "a", "a")], MESSAGES)
     assert sorted((r["parse_id"], r["line_no"]) for r in replies.find_older_lines(parsed, messages).collect()) == [(3, 1), (3, 1)]
     assert replies.find_older_lines(parsed.limit(0), messages).count() == 0
 
@@ -237,7 +267,6 @@ def test_copies_do_not_hide_a_class(spark):
 
 
 # --- scans
-SCAN_WORDS = "the meeting report explains interim budget changes before holidays while northern harbour teams wait for training material open sheet seven letter never green weekly meter second request archive review centre energy cement".split()
 
 
 def scanned_corpus(seed=2, n=1500, rate=0.04):
