@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,14 +14,28 @@ QUERY_TERM = r"[\p{L}\p{N}_@.-]+"
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&middot;": "·", "&copy;": "©", "&amp;": "&"}
 
 
+def _marked() -> tuple[str, str]:
+    """Letters with diacritics, by their Unicode decomposition, and the letters without."""
+    folded = {c: base[0] for c in map(chr, (*range(0xC0, 0x530), *range(0x1E00, 0x2000))) if c.islower() and len(base := unicodedata.normalize("NFD", c)) > 1 and all(unicodedata.category(x) == "Mn" for x in base[1:])}
+    return "".join(folded), "".join(folded.values())
+
+
+_MARKED = _marked()
+
+
+def folded(text: Column) -> Column:
+    """Lower case without diacritics."""
+    return F.translate(F.lower(text), *_MARKED)
+
+
 def terms(text: Column) -> Column:
-    """Lower-cased terms of a text in order; null text has none."""
-    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), F.array().cast("array<string>"))
+    """Lower-cased terms of a text in order, without diacritics; null text has none."""
+    return F.coalesce(F.regexp_extract_all(folded(text), F.lit(TERM), F.lit(0)), F.array().cast("array<string>"))
 
 
 def query_terms(question: Column) -> Column:
     """Terms of a question that full-text search requires: lower case, two characters or more."""
-    return F.filter(F.coalesce(F.regexp_extract_all(F.lower(question), F.lit(QUERY_TERM), F.lit(0)), F.array().cast("array<string>")), lambda t: F.length(t) >= 2)
+    return F.filter(F.coalesce(F.regexp_extract_all(folded(question), F.lit(QUERY_TERM), F.lit(0)), F.array().cast("array<string>")), lambda t: F.length(t) >= 2)
 
 
 def match_expression(question: Column) -> Column:
@@ -72,6 +88,12 @@ def normal_header(name: Column) -> Column:
     return F.btrim(F.regexp_replace(F.trim(name), r"\s+", " "), F.lit(" :;,.|-"))
 
 
+def meta_text(names: Column, body: Column) -> Column:
+    """What a message is about on a few lines: its headers, the names of its attachments, the beginning of its body."""
+    lines = [F.concat(F.lit(f"{label}: "), F.coalesce(c, F.lit(""))) for label, c in (("SUBJECT", F.col("subject")), ("FROM", F.col("from_email")), ("TO", F.col("to_emails")), ("CC", F.col("cc_emails")), ("FOLDER", F.col("folder")), ("ATTACHMENTS", names))]
+    return F.concat_ws("\n", *lines, F.when(body != "", F.concat(F.lit("BODY: "), F.substring(body, 1, 500))))
+
+
 def addresses(header: Column) -> Column:
     """Mail addresses in a header's text, in order."""
     return F.coalesce(F.regexp_extract_all(header, F.lit(r'[^\s<>,;"]+@[^\s<>,;"]+'), F.lit(0)), F.array().cast("array<string>"))

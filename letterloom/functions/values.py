@@ -37,6 +37,22 @@ def time_boost(at: Column, start: Column, end: Column, weight: float, softness:
     return F.when(at.isNull(), 0.0).when((at >= start) & (at <= end), weight).otherwise(weight * decay)
 
 
+def best_time_boost(at: Column, hypotheses: Column, softness: float = 1.0, most: int = 3) -> Column:
+    """Highest boost over the first ``most`` hypotheses, an array of struct(from, to, weight) with ISO days; 0 for none."""
+    each = F.transform(F.slice(hypotheses, 1, most), lambda h: time_boost(at, F.to_date(h["from"]), F.to_date(h["to"]), h["weight"], softness))
+    return F.coalesce(F.array_max(each), F.lit(0.0))
+
+
+def generic_headers(row: Column) -> Column:
+    """The cells of a table's first row as column names; ``col_1``, ``col_2``, ... if all are empty."""
+    return F.when(F.forall(row, lambda c: F.coalesce(F.trim(c), F.lit("")) == ""), F.transform(row, lambda _, i: F.concat(F.lit("col_"), (i + 1).cast("string")))).otherwise(F.transform(row, lambda c: F.coalesce(c, F.lit(""))))
+
+
+def fitted(row: Column, width: Column) -> Column:
+    """A row's cells, filled up with empty ones or cut to ``width``."""
+    return F.slice(F.concat(row, F.array_repeat(F.lit(""), width)), F.lit(1), width)
+
+
 def needs_ocr(length: Column, pages: Column, per_page: int = 120) -> Column:
     """Whether a file's text is too sparse to be its own: by page where pages are known, else in all."""
     return F.when(pages > 0, length / pages < per_page).otherwise(length < 2 * per_page)

@@ -29,8 +29,10 @@ def is_pdf() -> Column:
     return F.coalesce(F.col("mime").ilike("application/pdf%"), F.lit(False)) | F.coalesce(F.col("path_original").ilike("%.pdf"), F.lit(False))
 
 
-def hard_filter(messages: DataFrame, folder: str | None = None, sender: str | None = None) -> DataFrame:
-    """Messages whose folder ends with ``folder`` and whose sender holds ``sender``, without case."""
+def hard_filter(messages: DataFrame, folder: str | None = None, sender: str | None = None, senders: list[str] | None = None) -> DataFrame:
+    """Messages whose folder ends with ``folder``, whose sender holds ``sender`` and is one of ``senders``, without case."""
+    if senders:
+        messages = messages.where(F.lower("from_email").isin([s.lower() for s in senders]))
     if folder:
         messages = messages.where(F.lower("folder").endswith(folder.lower()))
     if sender:

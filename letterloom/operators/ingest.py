@@ -27,7 +27,8 @@ def latest_scan(scans: DataFrame, path: str, at: str, tie: str) -> DataFrame:
     return scans.where(F.col(path).isNotNull()).groupBy(path).agg(F.max_by(F.struct(*[c for c in scans.columns if c != path]), F.struct(at, tie)).alias("r")).select(path, "r.*")
 
 
-def changed(scans: DataFrame, path: str, at: str, tie: str, content: str) -> DataFrame:
-    """Rows whose content differs from the same path's scan before."""
-    before = F.lag(F.sha2(F.coalesce(content, F.lit("")), 256)).over(Window.partitionBy(path).orderBy(at, tie))
-    return scans.where(F.col(path).isNotNull()).withColumn("__before", before).where(F.col("__before").isNotNull() & (F.col("__before") != F.sha2(F.coalesce(content, F.lit("")), 256))).drop("__before")
+def changed(scans: DataFrame, path: str, at: str, tie: str, looked_at: list[str]) -> DataFrame:
+    """Rows in whose ``looked_at`` columns the same path's scan before differs; first scans are none."""
+    w = Window.partitionBy(path).orderBy(at, tie)
+    before = F.lag(F.struct(*looked_at)).over(w)
+    return scans.where(F.col(path).isNotNull()).withColumn("__before", before).where(F.col("__before").isNotNull() & ~F.col("__before").eqNullSafe(F.struct(*looked_at))).drop("__before")

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from letterloom.functions import text as T
 from letterloom.functions import values as V
-from letterloom.operators import fusion, ingest, instants, lexical, units, vectors
-from letterloom.session import table
+from letterloom.operators import fusion, ingest, instants, lexical, search, units, vectors
+from letterloom.sources import archive
+from letterloom.session import shared_folder, table
 from letterloom.streaming import ingest as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,7 +50,7 @@ def p2_instants(spark: SparkSession, d: str) -> DataFrame:
     return instants.sending_instants(table(spark, d, "messages"), table(spark, d, "site_zones")).select("id", "date_ts", "sent_ts")
 
 
-_TERMS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}\p{{Co}}._@\-]+')"
+_TERMS = r"regexp_extract_all(strip_accents(lower({})), '[\p{{L}}\p{{N}}\p{{Co}}._@\-]+')"
 
 
 @query(f"SELECT term, count(*) AS docs, sum(tf)::BIGINT AS occurrences FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS.format('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
@@ -57,14 +58,22 @@ def tokenize_terms(spark: SparkSession, d: str) -> DataFrame:
     return lexical.postings(table(spark, d, "documents"), "doc_id", ["text"]).groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("occurrences"))
 
 
-@query(r"""SELECT id, coalesce(array_to_string(list_filter(regexp_extract_all(lower(subject), '[\p{L}\p{N}_@.\-]+'), lambda t: length(t) >= 2), ' AND '), '') AS expression FROM messages""")
+@query(r"""SELECT id, coalesce(array_to_string(list_filter(regexp_extract_all(strip_accents(lower(subject)), '[\p{L}\p{N}_@.\-]+'), lambda t: length(t) >= 2), ' AND '), '') AS expression FROM messages""")
 def fts_query_build(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "messages").select("id", T.match_expression(F.col("subject")).alias("expression"))
 
 
 @query(f"SELECT doc_id FROM (SELECT doc_id, {_TERMS.format('text')} AS ts FROM documents) WHERE list_contains(ts, 'pump') AND list_contains(ts, 'report')")
 def fts_match_and(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.search(table(spark, d, "documents"), "doc_id", ["text"], QUESTION).select("doc_id")
+    return _documents(spark, d).search(QUESTION).select("doc_id")
+
+
+def _documents(spark: SparkSession, d: str) -> lexical.Index:
+    return lexical.index_of(spark, "documents", table(spark, d, "documents"), "doc_id", ["text"])
+
+
+def _chunks(spark: SparkSession, d: str) -> lexical.Index:
+    return lexical.index_of(spark, "chunks", table(spark, d, "chunks").select("id", "text"), "id", ["text"])
 
 
 _BM25 = """
@@ -80,15 +89,15 @@ _CHUNK_TERMS = f"(SELECT id, coalesce({_TERMS.format('text')}, []) AS ts FROM ch
 
 @query(f"SELECT *, row_number() OVER (ORDER BY score, doc_id)::INT AS rank FROM ({_BM25.format(key='doc_id', docs=_DOC_TERMS)}) ORDER BY score, doc_id LIMIT 20")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    scored = lexical.search(table(spark, d, "documents"), "doc_id", ["text"], QUESTION)
+    scored = _documents(spark, d).search(QUESTION)
     return lexical.top(scored.withColumn("score", F.round("score", 9)), "doc_id", 20)
 
 
 @query(f"""SELECT * FROM (SELECT 'document' AS source, doc_id AS id, score FROM ({_BM25.format(key='doc_id', docs=_DOC_TERMS)})
     UNION ALL SELECT 'chunk', id, score FROM ({_BM25.format(key='id', docs=_CHUNK_TERMS)})) ORDER BY score, source DESC, id LIMIT 20""")
 def lexical_union(spark: SparkSession, d: str) -> DataFrame:
-    docs = lexical.search(table(spark, d, "documents"), "doc_id", ["text"], QUESTION).select(F.lit("document").alias("source"), F.col("doc_id").alias("id"), F.round("score", 9).alias("score"))
-    chunks = lexical.search(table(spark, d, "chunks"), "id", ["text"], QUESTION).select(F.lit("chunk").alias("source"), "id", F.round("score", 9).alias("score"))
+    docs = _documents(spark, d).search(QUESTION).select(F.lit("document").alias("source"), F.col("doc_id").alias("id"), F.round("score", 9).alias("score"))
+    chunks = _chunks(spark, d).search(QUESTION).select(F.lit("chunk").alias("source"), "id", F.round("score", 9).alias("score"))
     return docs.unionByName(chunks).orderBy("score", F.desc("source"), "id").limit(20)
 
 
@@ -118,7 +127,7 @@ _FUSED = f"SELECT doc_id, a.rank::INT AS lexical_rank, b.rank::INT AS vector_ran
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
     """Documents stand for messages; the vector with a document's number is its embedding."""
-    scored = lexical.search(table(spark, d, "documents"), "doc_id", ["text"], QUESTION)
+    scored = _documents(spark, d).search(QUESTION)
     words = lexical.top(scored.withColumn("score", F.round("score", 9)), "doc_id", 50)
     e = table(spark, d, "embeddings")
     near = vectors.nearest(e.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select("vec_id", F.col("embedding").alias("v")), 100)
@@ -207,6 +216,101 @@ def hybrid_boosted_each(spark: SparkSession, d: str) -> DataFrame:
     return lexical.top_each(_boosted(_fused_each(spark, d), spark, d), [F.desc("score"), "doc_id"], 20)
 
 
+# Mail search: messages and chunks by their words, chunks by their vectors (a vector has its chunk's number).
+_BODIES = "(SELECT message_id, arg_min(body, parse_id) AS body FROM parsed_messages WHERE body IS NOT NULL AND message_id IS NOT NULL GROUP BY message_id)"
+_MAIL_TERMS = f"(SELECT id, list_concat(coalesce({_TERMS.format('subject')}, []), coalesce({_TERMS.format('body')}, [])) AS ts FROM messages LEFT JOIN {_BODIES} USING (message_id))"
+_SHORT = "coalesce(CASE WHEN length({0}) > 160 THEN concat(substr({0}, 1, 160), '…') ELSE {0} END, '')"
+_HITS = f"""(SELECT h.*, m.subject, m.from_email, m.to_emails, m.date_ts, m.folder, m.account, {_SHORT.format('coalesce(c.text, b.body)')} AS snippet FROM (SELECT *, row_number() OVER (ORDER BY score, type DESC, ref)::INT AS rank FROM
+    (SELECT 'message' AS type, id, NULL::BIGINT AS chunk_id, id AS ref, score FROM ({_BM25.format(key='id', docs=_MAIL_TERMS)}) UNION ALL SELECT 'chunk', c.message_id, c.id, c.id, score FROM ({_BM25.format(key='id', docs=_CHUNK_TERMS)}) s JOIN chunks c ON c.id = s.id WHERE c.message_id IN (SELECT id FROM messages)) QUALIFY rank <= 50) h
+    JOIN messages m ON m.id = h.id LEFT JOIN {_BODIES} b ON b.message_id = m.message_id LEFT JOIN chunks c ON c.id = h.chunk_id)"""
+_NEAR = f"(SELECT c.message_id AS id, c.id AS chunk_id, v.rank::INT AS rank, {_SHORT.format('c.text')} AS snippet FROM {_VEC} v JOIN chunks c ON c.id = v.doc_id WHERE c.message_id IN (SELECT id FROM messages))"
+_MAIL_FUSED = f"""(SELECT * FROM (SELECT id, a.rank AS lexical_rank, b.rank AS vector_rank, coalesce(1 / (60 + a.rank), 0) + coalesce(1 / (60 + b.rank), 0) AS score FROM (SELECT id, min(rank) AS rank FROM {_HITS} GROUP BY id) a FULL JOIN (SELECT id, min(rank) AS rank FROM {_NEAR} GROUP BY id) b USING (id))
+    JOIN (SELECT id, type, chunk_id, snippet FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY way, rank) AS n FROM (SELECT id, 0 AS way, rank, type, chunk_id, snippet FROM {_HITS} UNION ALL SELECT id, 1, rank, 'chunk', chunk_id, snippet FROM {_NEAR})) WHERE n = 1) USING (id))"""
+
+
+def _mail(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, d, "messages"), table(spark, d, "chunks"), search.first_bodies(table(spark, d, "parsed_messages"))
+
+
+def _mail_index(spark: SparkSession, d: str) -> lexical.Index:
+    messages, _, bodies = _mail(spark, d)
+    return lexical.index_of(spark, "mails", messages.select("id", "message_id", "subject").join(bodies, "message_id", "left"), "id", ["subject", "body"])
+
+
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    messages, chunks, bodies = _mail(spark, d)
+    return search.lexical_hits(_mail_index(spark, d), _chunks(spark, d), chunks, messages, bodies, QUESTION)
+
+
+def _near(spark: SparkSession, d: str) -> DataFrame:
+    messages, chunks, _ = _mail(spark, d)
+    e = table(spark, d, "embeddings")
+    near = vectors.nearest(e.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select("vec_id", F.col("embedding").alias("v")), 100)
+    return search.vector_hits(near, chunks, messages)
+
+
+@query(f"SELECT type, id, coalesce(chunk_id, -1) AS chunk_id, score, rank, snippet, subject, from_email, to_emails, date_ts, folder, account FROM {_HITS}")
+def mail_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Messages and chunks that hold the question's words, with their messages."""
+    return _words(spark, d).fillna(-1, ["chunk_id"])
+
+
+@query(f"SELECT id, chunk_id, rank, snippet FROM {_NEAR}")
+def vector_hit_messages(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d)
+
+
+@query(f"SELECT id, coalesce(lexical_rank, 0) AS lexical_rank, coalesce(vector_rank, 0) AS vector_rank, round(score, 9) AS score, type, coalesce(chunk_id, -1) AS chunk_id, snippet FROM {_MAIL_FUSED}")
+def mail_fused(spark: SparkSession, d: str) -> DataFrame:
+    """One row per message found either way, with the hit that stands for it."""
+    fused = search.fused_hits(_words(spark, d), _near(spark, d))
+    return fused.fillna(0, ["lexical_rank", "vector_rank"]).fillna(-1, ["chunk_id"]).withColumn("score", F.round("score", 9))
+
+
+_TIMES = [("2023-01-01", "2023-12-31", 0.8), ("2021-06-01", "2021-06-30", 0.5), ("2024-03-01", "2024-05-31", 0.9)]
+_BEST = "greatest(" + ", ".join(f"CASE WHEN day BETWEEN DATE '{a}' AND DATE '{b}' THEN {w} ELSE {w} * pow(2.71828, -(least(abs(date_diff('day', DATE '{a}', day)), abs(date_diff('day', DATE '{b}', day))) / 30.0) / 2.0) END" for a, b, w in _TIMES) + ")"
+
+
+@query(f"""SELECT id, score, row_number() OVER (ORDER BY score DESC, id)::INT AS rank, type, coalesce(chunk_id, -1) AS chunk_id, subject, from_email, snippet FROM (
+    SELECT *, round(fused + CASE WHEN day IS NULL THEN 0 ELSE {_BEST} END + CASE WHEN attachments > 0 THEN 0.1 ELSE 0 END + CASE WHEN pdfs > 0 THEN 0.05 ELSE 0 END + CASE WHEN lower(folder) LIKE '%inbox' THEN 0.05 ELSE 0 END + CASE WHEN contains(lower(from_email), 'norhaven') THEN 0.05 ELSE 0 END, 9) AS score FROM (
+    SELECT f.id, f.score AS fused, f.type, f.chunk_id, f.snippet, m.subject, m.from_email, m.folder, CASE WHEN m.date_ts BETWEEN 1 AND 4102444800 THEN (to_timestamp(m.date_ts) AT TIME ZONE 'UTC')::DATE END AS day, coalesce(attachments, 0) AS attachments, coalesce(pdfs, 0) AS pdfs FROM {_MAIL_FUSED} f JOIN messages m ON m.id = f.id
+    LEFT JOIN (SELECT message_id, count(*) AS attachments, count(*) FILTER (coalesce(mime ILIKE 'application/pdf%', false) OR coalesce(path_original ILIKE '%.pdf', false)) AS pdfs FROM attachments GROUP BY 1) a ON a.message_id = m.id
+    WHERE coalesce(m.from_email IS NULL OR lower(m.from_email) NOT LIKE '%freemailbox%', true))) ORDER BY score DESC, id LIMIT 20""")
+def mail_search(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship: both ways of retrieval fused per message, boosted by times, attachments, folder and sender, filtered."""
+    messages = table(spark, d, "messages")
+    times = F.array(*(F.struct(F.lit(a).alias("from"), F.lit(b).alias("to"), F.lit(w).alias("weight")) for a, b, w in _TIMES))
+    fused = search.fused_hits(_words(spark, d), _near(spark, d))
+    scored = search.boosted(fused, messages, fusion.attachment_counts(table(spark, d, "attachments")), times, folder="inbox", sender="norhaven", attachment=0.1, pdf=0.05)
+    checked = messages.select("id", (~F.lower("from_email").contains("freemailbox")).alias("ok")).where("ok IS NOT NULL")
+    best = search.allowed(scored, checked).orderBy(F.desc("score"), "id").limit(20)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).fillna(-1, ["chunk_id"]).select("id", "score", "rank", "type", "chunk_id", "subject", "from_email", "snippet")
+
+
+@query(f"SELECT DISTINCT a.id, a.message_id, a.filename, a.path_original FROM attachments a WHERE (mime ILIKE 'application/pdf%' OR path_original ILIKE '%.pdf') AND message_id IN (SELECT id FROM {_HITS})")
+def hit_pdfs(spark: SparkSession, d: str) -> DataFrame:
+    """PDFs of the messages that a search found."""
+    hits = _words(spark, d).select(F.col("id").alias("message_id")).distinct()
+    return table(spark, d, "attachments").where(fusion.is_pdf()).join(F.broadcast(hits), "message_id", "left_semi").select("id", "message_id", "filename", "path_original")
+
+
+@query(f"SELECT id FROM {_MAIL_FUSED} WHERE id NOT IN (SELECT id FROM messages WHERE date_ts > 0 AND date_ts < 1672531200)")
+def unknown_kept(spark: SparkSession, d: str) -> DataFrame:
+    """A hard filter by time keeps messages whose time is unknown."""
+    fused = search.fused_hits(_words(spark, d), _near(spark, d))
+    checked = table(spark, d, "messages").where("date_ts > 0").select("id", (F.col("date_ts") >= 1672531200).alias("ok"))
+    return search.allowed(fused, checked).select("id")
+
+
+@query("SELECT list_sort(list_distinct([lower(subject) FOR subject IN list(subject)]))[1] AS first_query, count(DISTINCT lower(trim(subject))) AS queries FROM (SELECT subject FROM messages WHERE trim(subject) <> '' UNION ALL SELECT text FROM (SELECT substr(text, 1, 40) AS text FROM documents) WHERE trim(text) <> '')")
+def query_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Query texts from two sources, each once."""
+    subjects = table(spark, d, "messages").where("trim(subject) <> ''").select(F.col("subject").alias("q"))
+    heads = table(spark, d, "documents").select(F.substring("text", 1, 40).alias("q")).where("trim(q) <> ''")
+    every = subjects.unionByName(heads)
+    return every.agg(F.min(F.lower("q")).alias("first_query"), F.countDistinct(F.lower(F.trim("q"))).alias("queries"))
+
+
 @query("SELECT id, folder, from_email FROM messages WHERE lower(folder) LIKE '%inbox' AND contains(lower(from_email), 'norhaven') AND id IN (SELECT message_id FROM attachments)")
 def hard_filters(spark: SparkSession, d: str) -> DataFrame:
     kept = fusion.hard_filter(table(spark, d, "messages"), "inbox", "norhaven")
@@ -255,13 +359,23 @@ def meta_chunk(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "attachments").where("filename IS NOT NULL").groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct("id", "filename"))).alias("a")).select(F.col("message_id").alias("id"), F.array_join(F.transform("a", lambda x: x["filename"]), ", ").alias("names"))
     bodies = table(spark, d, "parsed_messages").where("body IS NOT NULL").groupBy("message_id").agg(F.min_by(F.substring("body", 1, 500), "parse_id").alias("body"))
     m = table(spark, d, "messages").join(names, "id", "left").join(bodies, "message_id", "left")
-    lines = [F.concat(F.lit(f"{label}: "), F.coalesce(c, F.lit(""))) for label, c in (("SUBJECT", "subject"), ("FROM", "from_email"), ("TO", "to_emails"), ("CC", "cc_emails"), ("FOLDER", "folder"), ("ATTACHMENTS", "names"))]
-    return m.select("id", F.concat_ws("\n", *lines, F.when(F.col("body") != "", F.concat(F.lit("BODY: "), "body"))).alias("text"))
+    return m.select("id", T.meta_text(F.col("names"), F.col("body")).alias("text"))
+
+
+_CELLS_OF = "(SELECT id, (unicode(c)::BIGINT * 1315423911 + (i - 1) * 2654435761) % 64 AS cell, count(*) AS n FROM (SELECT id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM chunks WHERE length(text) > 0) GROUP BY ALL)"
 
 
-@query("SELECT id, (unicode(c)::BIGINT * 1315423911 + (i - 1) * 2654435761) % 64 AS cell, count(*) AS n FROM (SELECT id, unnest(string_split(subject, '')) AS c, generate_subscripts(string_split(subject, ''), 1) AS i FROM messages WHERE length(subject) > 0) GROUP BY ALL")
+@query(f"SELECT id, cell, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 9) AS weight FROM {_CELLS_OF}")
 def hash_embed(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.hash_cells(table(spark, d, "messages"), "id", "subject", 64)
+    """The cells of each chunk's unit vector that are not zero."""
+    v = vectors.hash_vectors(table(spark, d, "chunks"), "id", "text", 64)
+    return v.select("id", F.posexplode("embedding").alias("cell", "weight")).where("weight > 0").select("id", F.col("cell").cast("long").alias("cell"), F.round("weight", 9).alias("weight"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(h, lambda x: x / n)), 6) AS total, round(list_max(h) / n, 6) AS largest FROM (SELECT vec_id, h, sqrt(list_sum(list_transform(h, lambda x: x * x))) AS n FROM (SELECT vec_id, list_transform(embedding[1:32], lambda x: x::DOUBLE) AS h FROM embeddings))")
+def truncate_vectors(spark: SparkSession, d: str) -> DataFrame:
+    half = table(spark, d, "embeddings").select("vec_id", vectors.truncated(F.col("embedding"), 32).alias("h"))
+    return half.select("vec_id", F.round(F.aggregate("h", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.array_max("h"), 6).alias("largest"))
 
 
 @query("SELECT sha256, min(id) AS first_id, count(*) AS copies, count(DISTINCT message_id) AS messages FROM attachments WHERE sha256 IS NOT NULL GROUP BY sha256")
@@ -276,10 +390,17 @@ def insert_or_ignore(spark: SparkSession, d: str) -> DataFrame:
     return ingest.insert_or_ignore(table(spark, d, "parsed_messages"), answered, "message_id", ["scanned_at", "path", "parse_id"]).select("parse_id", "message_id", "path")
 
 
-@query("SELECT parse_id, concat('synthetic-', sha256(concat(coalesce(folder, ''), '|', coalesce(account, ''), '|', coalesce(path, ''), '|', sha256(coalesce(body, ''))))) AS synthetic_id FROM parsed_messages")
+@query("SELECT parse_id, concat('synthetic-', sha256(concat(coalesce(subject, ''), '|', coalesce(from_email, ''), '|', coalesce(to_emails, ''), '|', date_ts, '|', sha256(coalesce(body, ''))))) AS synthetic_id FROM parsed_messages JOIN messages USING (message_id)")
 def synthetic_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The id that the parser gives a message without one, from what it says."""
     of = lambda c: F.coalesce(c, F.lit(""))
-    return table(spark, d, "parsed_messages").select("parse_id", F.concat(F.lit("synthetic-"), F.sha2(F.concat_ws("|", of("folder"), of("account"), of("path"), F.sha2(of("body"), 256)), 256)).alias("synthetic_id"))
+    m = table(spark, d, "parsed_messages").select("parse_id", "message_id", "body").join(table(spark, d, "messages").select("message_id", "subject", "from_email", "to_emails", "date_ts"), "message_id")
+    return m.select("parse_id", F.concat(F.lit("synthetic-"), F.sha2(F.concat_ws("|", of("subject"), of("from_email"), of("to_emails"), F.col("date_ts").cast("string"), F.sha2(of("body"), 256)), 256)).alias("synthetic_id"))
+
+
+@query(r"SELECT id, CASE WHEN b IS NULL OR b IN ('', '.', '..') THEN 'attachment' ELSE b END AS safe FROM (SELECT id, regexp_replace(list_extract(string_split(replace(filename, '\\', '/'), '/'), -1), '[\x00-\x1f:]', '', 'g') AS b FROM attachments)")
+def safe_basenames(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "attachments").select("id", archive.safe_name(F.col("filename")).alias("safe"))
 
 
 @query("SELECT id FROM chunks WHERE id NOT IN (SELECT vec_id FROM embeddings)")
@@ -292,9 +413,11 @@ def seen_files_upsert(spark: SparkSession, d: str) -> DataFrame:
     return ingest.latest_scan(table(spark, d, "parsed_messages").select("path", "parse_id", "scanned_at"), "path", "scanned_at", "parse_id")
 
 
-@query("SELECT parse_id, path FROM (SELECT parse_id, path, sha256(coalesce(body, '')) AS h, lag(sha256(coalesce(body, ''))) OVER (PARTITION BY path ORDER BY scanned_at, parse_id) AS b FROM parsed_messages WHERE path IS NOT NULL) WHERE b <> h")
+@query("SELECT parse_id, path FROM (SELECT parse_id, path, coalesce(length(body), 0) AS size, scanned_at, count(*) OVER w AS earlier, lag(coalesce(length(body), 0)) OVER w AS b, lag(scanned_at) OVER w AS t FROM parsed_messages WHERE path IS NOT NULL WINDOW w AS (PARTITION BY path ORDER BY scanned_at NULLS FIRST, parse_id)) WHERE earlier > 1 AND (b <> size OR t IS DISTINCT FROM scanned_at)")
 def changed_files(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.changed(table(spark, d, "parsed_messages").select("parse_id", "path", "scanned_at", "body"), "path", "scanned_at", "parse_id", "body").select("parse_id", "path")
+    """Scans of a path seen before whose size or time differs from the scan before."""
+    scans = table(spark, d, "parsed_messages").select("parse_id", "path", "scanned_at", F.coalesce(F.length("body"), F.lit(0)).alias("size"))
+    return ingest.changed(scans, "path", "scanned_at", "parse_id", ["size", "scanned_at"]).select("parse_id", "path")
 
 
 @query("SELECT id, path_text FROM attachments a WHERE path_text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM chunks c WHERE c.attachment_id = a.id) ORDER BY id LIMIT 50")
@@ -349,13 +472,45 @@ def flatten_cells(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("first_row", first).select("row_id", "first_row", F.explode("data").alias("name", "cell")).select("row_id", T.normal_header(F.col("name")).alias("header"), F.coalesce("cell", F.lit("")).alias("cell"), "first_row")
 
 
-@query(f"""SELECT year, metric, round(sum(value), 4) AS total, count(*) AS cells FROM (SELECT year, value, unnest(list_filter(['price', 'qty', 'weight'], lambda m: contains(lower(name), m))) AS metric FROM {_NUMBERS} WHERE value IS NOT NULL AND year >= 2019) GROUP BY ALL""")
+_YEAR = r"""coalesce(nullif(regexp_extract(list_filter(map_entries(data), lambda e: regexp_matches(lower(e.key), 'year|år|ano'))[1].value, '(\d{4})', 1), '')::INT,
+    nullif(regexp_extract(array_to_string(list_filter(map_values(data), lambda v: v IS NOT NULL), ' '), '((?:19|20)\d{2})', 1), '')::INT, year)"""
+
+
+def _dated_cells(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "table_rows").withColumn("year", V.row_year(F.col("data"), F.col("year")))
+    return rows.select("message_id", "attachment_path", "page", "table_index", "row_index", "row_id", "year", F.explode("data").alias("name", "cell")).withColumn("value", V.cell_number(F.col("cell"))).where("value IS NOT NULL")
+
+
+@query(f"SELECT row_id, year, trim(regexp_replace(trim(name), '\\s+', ' ', 'g'), ' :;,.|-') AS column_name, value FROM (SELECT row_id, year, name, {_NUMBER} AS value FROM (SELECT *, regexp_replace(cell, '[€$£\\s\\x{{a0}}]', '', 'g') AS s FROM (SELECT row_id, year, e.key AS name, e.value AS cell FROM (SELECT row_id, {_YEAR} AS year, unnest(map_entries(data)) AS e FROM table_rows)))) WHERE value IS NOT NULL")
+def year_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Numeric cells with the year of their row, as the CSV of cells has them."""
+    return _dated_cells(spark, d).select("row_id", "year", T.normal_header(F.col("name")).alias("column_name"), "value")
+
+
+@query(f"""SELECT year, metric, round(sum(value), 4) AS total, count(*) AS cells FROM (SELECT year, value, unnest(list_filter(['price', 'qty', 'weight'], lambda m: contains(lower(name), m))) AS metric FROM
+    (SELECT year, name, {_NUMBER} AS value FROM (SELECT *, regexp_replace(cell, '[€$£\\s\\x{{a0}}]', '', 'g') AS s FROM (SELECT year, e.key AS name, e.value AS cell FROM (SELECT {_YEAR} AS year, unnest(map_entries(data)) AS e FROM table_rows)))) WHERE value IS NOT NULL AND (year IS NULL OR year >= 2019)) GROUP BY ALL""")
 def year_metric_totals(spark: SparkSession, d: str) -> DataFrame:
-    cells = _cells(spark, d).select("year", F.lower("name").alias("name"), V.cell_number(F.col("cell")).alias("value")).where("value IS NOT NULL AND year >= 2019")
+    """Totals per year of the row and metric since 2019; cells of unknown year are kept under no year."""
+    cells = _dated_cells(spark, d).where("year IS NULL OR year >= 2019").select("year", F.lower("name").alias("name"), "value")
     metrics = F.filter(F.array(*map(F.lit, ("price", "qty", "weight"))), lambda m: F.col("name").contains(m))
     return cells.select("year", "value", F.explode(metrics).alias("metric")).groupBy("year", "metric").agg(F.round(F.sum("value"), 4).alias("total"), F.count("*").alias("cells"))
 
 
+_GRID = "(SELECT row_id, row_index, coalesce(message_id, '') AS m, coalesce(attachment_path, '') AS a, coalesce(table_index, -1) AS t, list_transform(map_values(data), lambda c: coalesce(c, '')) AS cells FROM table_rows)"
+
+
+@query(f"""SELECT row_id, i::INT AS position, CASE WHEN empty THEN concat('col_', i) ELSE head[i] END AS header, coalesce(cells[i], '') AS cell FROM
+    (SELECT *, len(list_filter(head, lambda c: trim(c) <> '')) = 0 AS empty, unnest(range(1, len(head) + 1)) AS i FROM (SELECT *, first_value(cells) OVER (PARTITION BY m, a, t ORDER BY row_index NULLS FIRST, row_id) AS head FROM {_GRID}))""")
+def table_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Rows read as bare cells under the first row of their table: headers, generic ones where it is empty, rows cut or filled up to it."""
+    cells = F.transform(F.map_values("data"), lambda c: F.coalesce(c, F.lit("")))
+    rows = table(spark, d, "table_rows").select("row_id", "row_index", F.coalesce("message_id", F.lit("")).alias("m"), F.coalesce("attachment_path", F.lit("")).alias("a"), F.coalesce("table_index", F.lit(-1)).alias("t"), cells.alias("cells"))
+    head = rows.groupBy("m", "a", "t").agg(F.min_by("cells", F.struct("row_index", "row_id")).alias("head"))
+    met = rows.join(head, ["m", "a", "t"])
+    zipped = F.arrays_zip(V.generic_headers(F.col("head")).alias("header"), V.fitted(F.col("cells"), F.size("head")).alias("cell"))
+    return met.select("row_id", F.posexplode(zipped).alias("i", "x")).select("row_id", (F.col("i") + 1).alias("position"), F.col("x.header").alias("header"), F.col("x.cell").alias("cell"))
+
+
 @query("""SELECT message_id, CASE WHEN length(t) > 1800 THEN concat(substr(t, 1, 1800), '…') ELSE t END AS context FROM (SELECT message_id, string_agg(text, E'\\n\\n' ORDER BY id) AS t FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY id) AS n FROM chunks WHERE text IS NOT NULL) WHERE n <= 5 GROUP BY message_id)""")
 def context_docs(spark: SparkSession, d: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("message_id").orderBy("id"))
@@ -400,10 +555,11 @@ def address_list(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "messages").select("id", F.explode(T.addresses(F.col("to_emails"))).alias("address"))
 
 
-@query()
+@query(f"""SELECT doc_id, concat(CASE WHEN s > 0 THEN '…' ELSE '' END, array_to_string(list_transform(ts[s + 1:s + 8], lambda x: CASE WHEN x IN ('pump', 'report') THEN concat('[', x, ']') ELSE x END), ' '), CASE WHEN len(ts) > s + 8 THEN '…' ELSE '' END) AS snippet
+    FROM (SELECT *, greatest(least(least(list_position(ts, 'pump'), list_position(ts, 'report')) - 3, len(ts) - 8), 0) AS s FROM {_DOC_TERMS} WHERE list_contains(ts, 'pump') AND list_contains(ts, 'report'))""")
 def fts_snippet(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    hits = lexical.search(docs, "doc_id", ["text"], QUESTION)
+    hits = _documents(spark, d).search(QUESTION)
     return docs.join(hits, "doc_id").select("doc_id", T.snippet(F.col("text"), QUESTION).alias("snippet"))
 
 
@@ -413,12 +569,14 @@ def fts_snippet_each(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").join(hits, "doc_id").select("query_id", "doc_id", T.snippet(F.col("text"), F.col("terms")).alias("snippet"))
 
 
-@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS from_day, strftime(o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d') AS to_day, 1.0::DOUBLE AS weight FROM orders""")
+@query(r"""SELECT id, d[1] AS from_day, d[2] AS to_day, 1.0::DOUBLE AS weight FROM (SELECT id, regexp_extract_all(headers_json, '\d{4}-\d{2}-\d{2}') AS d FROM messages) WHERE len(d) >= 2""")
 def hypotheses_json(spark: SparkSession, d: str) -> DataFrame:
-    """Date hypotheses read back from the JSON that a planner would write about each order."""
-    day = lambda c: F.date_format(c, "yyyy-MM-dd")
-    said = F.concat(F.lit('Sure: {"temporal_hypotheses": [{"from_date": "'), day("o_orderdate"), F.lit('T00", "to": "'), day(F.date_add("o_orderdate", 30)), F.lit('"}]} ok'))
-    return table(spark, d, "orders").select("o_orderkey", F.explode(T.hypotheses(said)).alias("h")).select("o_orderkey", F.col("h.from").alias("from_day"), F.col("h.to").alias("to_day"), "h.weight")
+    """Date hypotheses read from JSON texts that name the days found in each message's headers."""
+    days = F.regexp_extract_all("headers_json", F.lit(r"\d{4}-\d{2}-\d{2}"), 0)
+    said = table(spark, d, "messages").select("id", days.alias("d")).where("size(d) >= 2")
+    json = F.to_json(F.struct(F.array(F.struct(F.concat(F.get("d", 0), F.lit("T00:00")).alias("from_date"), F.get("d", 1).alias("to"))).alias("temporal_hypotheses")))
+    read = said.select("id", F.explode(T.hypotheses(F.concat(F.lit("Sure: "), json, F.lit(" ok")))).alias("h"))
+    return read.select("id", F.col("h.from").alias("from_day"), F.col("h.to").alias("to_day"), "h.weight")
 
 
 @query(r"SELECT parse_id, unnest(list_distinct(regexp_extract_all(body, '\d{4}-\d{2}-\d{2}'))) AS day FROM parsed_messages")
@@ -449,7 +607,7 @@ def attachment_texts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT message_id FROM parsed_messages WHERE message_id IS NOT NULL GROUP BY message_id")
 def stream_ingest_available_now(spark: SparkSession, d: str) -> DataFrame:
-    out = stream.shared_folder(spark, "ingest")
+    out = shared_folder(spark, "ingest")
     source = stream.parquet_stream(spark, f"{d}/parsed_messages.parquet")
     stream.ingest(spark, source, f"{out}/table", f"{out}/state", "message_id", ["scanned_at", "path", "parse_id"]).awaitTermination()
     return spark.read.parquet(f"{out}/table").select("message_id")

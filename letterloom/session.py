@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,15 +18,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the reliable checkpoint folder.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a session without
-    one (a test, a laptop) gets a temporary folder.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_base(spark: SparkSession) -> str:
+    """The folder all executors share; a temporary one only for a local session that names none (a test, a laptop)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    return base
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 _shipped: set[str] = set()
 
 

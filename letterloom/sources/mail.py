@@ -14,6 +14,7 @@ from datetime import UTC
 from email import message_from_bytes, policy
 from email.message import EmailMessage
 from email.utils import getaddresses, parsedate_to_datetime
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,10 @@ MESSAGE = (
 )
 
 
+#: Kinds of files by their extension (fixed values).
+MIME = {"pdf": "application/pdf", "txt": "text/plain", "html": "text/html", "csv": "text/csv", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "doc": "application/msword", "xls": "application/vnd.ms-excel", "zip": "application/zip"}
+
+
 def _addresses(message: EmailMessage, name: str) -> str:
     return ", ".join(a for _, a in getaddresses([str(v) for v in message.get_all(name, [])]) if a)
 
@@ -113,12 +118,16 @@ def read_maildir(spark: SparkSession, root: str, account: str = "") -> DataFrame
 def read_mbox(spark: SparkSession, path: str, account: str = "", folder: str | None = None) -> DataFrame:
     """Messages of mbox files, cut at their ``From `` lines by Spark's own splitting of large files.
 
-    The text source keeps a record's bytes as they are, whatever their encoding.
+    A record's bytes are kept as they are, whatever their encoding; only its first line is dropped.
     """
     lines = spark.read.option("lineSep", "\nFrom ").text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"))
-    whole = F.regexp_replace(F.col("value"), r"^(?:From )?[^\n]*\n", "")
-    raw = lines.where(F.length(F.trim("value")) > 0).select("path", F.lit(account).alias("account"), F.coalesce(F.lit(folder), F.concat(F.lit("mbox/"), F.regexp_replace("name", r"\.[^.]*$", ""))).alias("folder"), whole.cast("binary").alias("raw"))
-    return parsed(raw)
+    raw = lines.where(F.length(F.trim("value")) > 0).select("path", F.lit(account).alias("account"), F.coalesce(F.lit(folder), F.concat(F.lit("mbox/"), F.regexp_replace("name", r"\.[^.]*$", ""))).alias("folder"), F.col("value").cast("binary").alias("raw"))
+
+    def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield rows.assign(raw=[bytes(c).partition(b"\n")[2] for c in rows["raw"]])
+
+    return parsed(raw.mapInPandas(body, "path string, account string, folder string, raw binary"))
 
 
 def emlx_bytes(content: bytes) -> bytes:
@@ -127,6 +136,30 @@ def emlx_bytes(content: bytes) -> bytes:
     return rest[: int(first)] if first.strip().isdigit() else content
 
 
+def sidecar_files(spark: SparkSession, root: str) -> DataFrame:
+    """(mailbox, stem, filename, mime, sha256, bytes, content) of files kept beside .emlx messages under ``Attachments/<stem>/``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("path").rlike(r"/Attachments/[^/]+/") & (F.col("length") > 0))
+    parts = F.regexp_extract("path", r"^(.*?)(?:/Messages)?/Attachments/([^/]+)/(?:.*/)?([^/]+)$", F.lit(1))
+    kind = F.element_at(F.split(F.lower("path"), r"\."), -1)
+    mime = reduce(lambda c, kv: c.when(kind == kv[0], kv[1]), MIME.items(), F.when(F.lit(False), "")).otherwise("application/octet-stream")
+    return files.select(parts.alias("mailbox"), F.regexp_extract("path", r"/Attachments/([^/]+)/", 1).alias("stem"), F.element_at(F.split("path", "/"), -1).alias("filename"), mime.alias("mime"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), "content")
+
+
+def with_sidecars(messages: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """``messages`` of .emlx files with the files kept beside them added to their attachments, each content once.
+
+    The join is by mailbox folder and the number that message and folder are named after; contents are
+    gathered per message only, as many as one mail has.
+    """
+    own = messages.withColumn("mailbox", F.regexp_replace("path", r"(?:/Messages)?/[^/]+$", "")).withColumn("stem", F.regexp_extract("path", r"/([^/.]+)[^/]*$", 1))
+    beside = sidecars.groupBy("mailbox", "stem").agg(F.array_sort(F.collect_list(F.struct("filename", "mime", "sha256", "bytes", "content"))).alias("beside"))
+    met = own.join(beside, ["mailbox", "stem"], "left")
+    every = F.concat(F.coalesce("attachments", F.array().cast(messages.schema["attachments"].dataType)), F.coalesce("beside", F.array().cast(messages.schema["attachments"].dataType)))
+    first = F.filter(F.transform(every, lambda a, i: F.struct(a.alias("a"), (F.array_position(F.transform(every, lambda x: x["sha256"]), a["sha256"]) == i + 1).alias("first"))), lambda x: x["first"])
+    kept = F.transform(first, lambda x: x["a"])
+    return met.withColumn("attachments", kept).withColumn("has_attachments", F.size(kept) > 0).select(*messages.columns)
+
+
 def read_emlx(spark: SparkSession, root: str, account: str = "", folder_filter: str | None = None) -> DataFrame:
     """Messages of the .emlx files below ``root``; ``folder_filter`` keeps folders that contain it, without case."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.emlx").load(root)

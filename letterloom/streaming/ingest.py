@@ -3,34 +3,31 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from letterloom.operators.ingest import insert_or_ignore
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared checkpoint folder; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
-def ingest(spark: SparkSession, source: DataFrame, out: str, state: str, key: str, order: list[str], interval: str | None = None):
+def ingest(spark: SparkSession, source: DataFrame, out: str, state: str, key: str, order: list[str], interval: str | None = None, buckets: int = 64):
     """Starts a query that appends each batch's new keys to the parquet table ``out``.
 
     First writer wins on ``key``: a batch keeps its first row per key that the table does not hold
-    yet, so running a source twice changes nothing. Without ``interval`` all there is now is read
-    and the query ends. Rows with a null key are left out.
+    yet, so running a source twice changes nothing. The table is partitioned by a hash of the key, and
+    a batch reads only the partitions its own keys fall into. Without ``interval`` all there is now is
+    read and the query ends. Rows with a null key are left out.
     """
-    schema = source.schema
+    schema = StructType([*source.schema.fields, StructField("key_bucket", IntegerType())])
 
     def append(batch: DataFrame, _: int) -> None:
-        existing = batch.sparkSession.read.schema(schema).parquet(out)
-        insert_or_ignore(batch, existing, key, order).write.mode("append").parquet(out)
+        fresh = batch.where(F.col(key).isNotNull()).withColumn("key_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = [r[0] for r in fresh.select("key_bucket").distinct().collect()]  # at most ``buckets``
+        existing = batch.sparkSession.read.schema(schema).parquet(out).where(F.col("key_bucket").isin(touched))
+        insert_or_ignore(fresh, existing, key, order).write.mode("append").partitionBy("key_bucket").parquet(out)
 
-    spark.createDataFrame([], schema).write.mode("ignore").parquet(out)
+    spark.createDataFrame([], schema).write.mode("ignore").partitionBy("key_bucket").parquet(out)
     writer = source.writeStream.foreachBatch(append).option("checkpointLocation", state)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
