@@ -47,7 +47,7 @@ class Index:
         posted = counted.select(key, F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
         keyed = posted.withColumn("bucket", bucket).withColumn("part", F.pmod(F.xxhash64(key), F.lit(spread)))
         keyed.repartition(min(buckets * spread, 4 * spark.sparkContext.defaultParallelism), "bucket", "part").drop("part").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-        written = spark.read.parquet(f"{folder}/postings")
+        written = spark.read.schema(keyed.drop("part").schema).parquet(f"{folder}/postings")
         written.groupBy("term", "bucket").agg(F.count("*").alias("df")).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/terms")
         counted.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avgdl")).write.mode("overwrite").parquet(f"{folder}/corpus")
         return Index(spark, folder, key)
@@ -83,6 +83,11 @@ def index_of(spark: SparkSession, name: str, docs: DataFrame, key: str, texts: l
     return _INDEXES[at]
 
 
+def search(docs: DataFrame, key: str, texts: list[str], question: list[str]) -> DataFrame:
+    """One search of a corpus that is not kept: its index is written, asked once and left to the cluster to clear."""
+    return Index.build(docs, key, texts, shared_folder(docs.sparkSession, "index")).search(question)
+
+
 def search_each(docs: DataFrame, key: str, texts: list[str], questions: DataFrame) -> DataFrame:
     """(query_id, key, score) of :func:`search` for every question (query_id, terms) at once.
 

@@ -12,23 +12,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, block_bytes: int = 32_000_000) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, block_bytes: int = 32_000_000, block: int | None = None) -> DataFrame:
     """(query_id, vec_id, distance, rank): the k nearest vectors of each query by squared distance, ties by id.
 
     ``queries`` has query_id and q, ``vectors`` vec_id and v. The vectors stay where they are read; the
-    queries go to them in blocks of at most ``block_bytes``, a task keeps the k best of each query over
+    queries go to them in blocks of at most ``block_bytes`` (or ``block`` queries), a task keeps the k best of each query over
     all its rows, and these are merged by rank. Exact for any number of queries; no pair of rows is
     ever made. Null vectors are left out.
     """
     queries, vectors = queries.where("q IS NOT NULL"), vectors.where("v IS NOT NULL")
     count, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(1))).first()
-    blocks = max(1, -(-count * (8 * width + 8) // block_bytes))
+    blocks = max(1, -(-count // block) if block else -(-count * (8 * width + 8) // block_bytes))
     sc = queries.sparkSession.sparkContext
 
     def against(block: DataFrame) -> DataFrame:
         rows = block.orderBy("query_id").toArrow()
         flat = rows.column("q").combine_chunks()
-        shared = sc.broadcast((rows.column("query_id").to_numpy(), flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)))
+        shared = sc.broadcast((rows.column("query_id").to_numpy(), flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), width)))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value

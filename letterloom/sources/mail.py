@@ -139,7 +139,7 @@ def emlx_bytes(content: bytes) -> bytes:
 def sidecar_files(spark: SparkSession, root: str) -> DataFrame:
     """(mailbox, stem, filename, mime, sha256, bytes, content) of files kept beside .emlx messages under ``Attachments/<stem>/``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("path").rlike(r"/Attachments/[^/]+/") & (F.col("length") > 0))
-    parts = F.regexp_extract("path", r"^(.*?)(?:/Messages)?/Attachments/([^/]+)/(?:.*/)?([^/]+)$", F.lit(1))
+    parts = F.regexp_extract("path", r"^(.*?)(?:/Messages)?/Attachments/([^/]+)/(?:.*/)?([^/]+)$", 1)
     kind = F.element_at(F.split(F.lower("path"), r"\."), -1)
     mime = reduce(lambda c, kv: c.when(kind == kv[0], kv[1]), MIME.items(), F.when(F.lit(False), "")).otherwise("application/octet-stream")
     return files.select(parts.alias("mailbox"), F.regexp_extract("path", r"/Attachments/([^/]+)/", 1).alias("stem"), F.element_at(F.split("path", "/"), -1).alias("filename"), mime.alias("mime"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), "content")
