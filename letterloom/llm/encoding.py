@@ -4,7 +4,7 @@ Round-trip repair: a word is re-encoded under a candidate legacy encoding and st
 an intended one, again and again for nested layers; a step is accepted when it lowers the word's
 garbling cost by a margin. The cost is learned from the whole archive, where right text far
 outweighs wrong: the surprise of the character pairs around everything beyond ASCII. Spark counts
-the pairs over all texts; characters outside the candidates' repertoires count as one class, so the
+the pairs over all texts; characters outside the candidates' repertoires cost a fixed amount each, so the
 table is bounded by the square of that alphabet, however large the archive.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from itertools import pairwise
@@ -32,6 +33,9 @@ MARGIN, MARGIN_UTF8, MARGIN_PER_CHANGE = 3.5, 1.0, 1.2
 MARGIN_QUOTED = 6.0
 #: Cost of a capital after a small letter, where either is beyond ASCII, and of a character no text has.
 CAPITAL_COST, HOPELESS_COST = 3.0, 4.0
+#: Cost of a character outside the candidates' repertoires: as much as picking one of all there are, and a half;
+#: and by how much a repair that gives such characters must lower the cost.
+OTHER_COST, MARGIN_OTHER = 20.0, 12.0
 
 _SPACE = re.compile(r"[ \t\r\n\f]+")
 _HOPELESS = re.compile("[�\x80-\x84\x86-\x9f]")
@@ -55,7 +59,10 @@ _ALPHABET = frozenset(c for table in _BYTES.values() for c in table) | frozenset
 
 
 def _candidates(word: str) -> Iterator[tuple[str, str, str]]:
-    """(wrong, intended, repaired) for every round trip that is possible and changes the word."""
+    """(wrong, intended, repaired) for every round trip that is possible and changes the word.
+
+    What strictly decodes as UTF-8 may be of any script; single-byte encodings only give their own.
+    """
     seen = {word}
     for wrong in LEGACY:
         table = _BYTES[wrong]
@@ -69,7 +76,9 @@ def _candidates(word: str) -> Iterator[tuple[str, str, str]]:
                     new = (raw + b"\xa0" if intended == "utf-8" and raw[-1] in b"\xc2\xc3" else raw).decode(intended)
                 except UnicodeDecodeError:
                     continue
-                if new not in seen and (intended == "utf-8" or wrong in _COMMON or intended in _COMMON) and all(c < "\x80" or c in _ALPHABET for c in new):
+                if not new.isascii() and any(unicodedata.category(c) in ("Cn", "Co", "Cs") for c in new if c not in _ALPHABET):
+                    continue
+                if new not in seen and (intended == "utf-8" or (wrong in _COMMON or intended in _COMMON) and all(c < "\x80" or c in _ALPHABET for c in new)):
                     seen.add(new)
                     yield wrong, intended, new
 
@@ -78,12 +87,12 @@ def _pairs(word: str) -> Iterator[str]:
     """The character pairs that touch something beyond ASCII; a word of one or two characters counts whole."""
     low = word.lower().strip(".,;:!?\"'()[]<>*_-")
     if len(low) <= 2:
-        if low and not low.isascii():
-            yield "^" + "".join(c if c in _ALPHABET else _OTHER for c in low) + "$"
+        if low and not low.isascii() and all(c < "\x80" or c in _ALPHABET for c in low):
+            yield f"^{low}$"
         return
     padded = "^" + "".join(c if c < "\x80" or c in _ALPHABET else _OTHER for c in low) + "$"
     for a, b in pairwise(padded):
-        if a > "\x7f" or b > "\x7f":
+        if (a > "\x7f" or b > "\x7f") and a != _OTHER and b != _OTHER:
             yield ("0" if a.isdigit() else a) + ("0" if b.isdigit() else b)
 
 
@@ -124,7 +133,8 @@ class Repairer:
 
     def cost(self, word: str) -> float:
         odd = sum(1 for a, b in pairwise(word) if a.islower() and b.isupper() and (a > "\x7f" or b > "\x7f"))
-        return sum(self.cost_of.get(p, self.unseen) for p in _pairs(word)) + CAPITAL_COST * odd + HOPELESS_COST * len(_HOPELESS.findall(word))
+        other = sum(1 for c in word if c > "\x7f" and c not in _ALPHABET and c not in _QUOTES)
+        return sum(self.cost_of.get(p, self.unseen) for p in _pairs(word)) + OTHER_COST * other + CAPITAL_COST * odd + HOPELESS_COST * len(_HOPELESS.findall(word))
 
     def word(self, word: str) -> tuple[str, tuple[str, str] | None, bool]:
         """(restored, last pair of encodings, garbled) of a word."""
@@ -142,7 +152,7 @@ class Repairer:
             if best is None:
                 break
             changed = sum(1 for c in now if c > "\x7f")
-            if cost - best[0] < (MARGIN_UTF8 if best[2][1] == "utf-8" else max(MARGIN_QUOTED if now[0] in _QUOTES or now[-1] in _QUOTES else MARGIN, MARGIN_PER_CHANGE * changed)):
+            if cost - best[0] < (MARGIN_OTHER if any(c > "\x7f" and c not in _ALPHABET for c in best[1]) else MARGIN_UTF8 if best[2][1] == "utf-8" else max(MARGIN_QUOTED if now[0] in _QUOTES or now[-1] in _QUOTES else MARGIN, MARGIN_PER_CHANGE * changed)):
                 break
             cost, now, by = best
             if now.isascii():

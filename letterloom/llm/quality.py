@@ -1,9 +1,10 @@
 """Text statistics per document, their place in their language's distribution, and a text class.
 
-Every statistic of a document is set against a mergeable quantile sketch of that statistic over all
-documents of its language, as a percentile position and a robust z-score. A document most of whose
-characters lie in lines shaped like a list, a table or junk is of that class, whatever else its
-language holds; everything else is prose. The scores tell how far from its language's usual it lies.
+Every statistic of a document, the shares of its characters in lines shaped like prose, a list, a
+table or junk among them, is set against a mergeable quantile sketch of that statistic over the
+different texts of its language, as a percentile and a robust z-score. A document whose prose lies in
+the low tail of its language is no prose; its class is the kind of line that is furthest out in the
+high tail.
 """
 
 from __future__ import annotations
@@ -28,6 +29,14 @@ COMMON = frozenset(
 )
 STATS = ["n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "punctuated_lines", "common_words", "words_per_line", "distinct_words"]
 CLASSES = ["list", "table", "junk"]
+SHARES = ["prose", *CLASSES]
+MEASURED = [*STATS, *SHARES]
+#: Robust z-score of the prose share from which on a text lies in the low tail.
+TAIL = 4.0
+#: Least spread of a statistic, in shares of what it can span, so that z-scores stay finite where texts agree.
+LEAST_SPREAD = 0.125
+#: A language has sketches of its own with so many different texts and this share of all; there are at most 1 / share.
+LEAST_TEXTS, LEAST_SHARE = 50, 1e-3
 #: Steps of the quantile grid that percentiles are read from.
 STEPS = 40
 
@@ -91,10 +100,10 @@ def _line_kind(line: str, words: list[str], common: int) -> str:
 
 
 def text_statistics(text: str | None) -> tuple:
-    """STATS and the shares of characters in lists, tables and junk, of one text; zeros for an empty one."""
+    """MEASURED of one text; an empty one has zeros and counts as prose."""
     lines = [x for x in (text or "").split("\n") if x and not x.isspace()]
     if not lines:
-        return (0,) + (0.0,) * 10
+        return (0,) + (0.0,) * 7 + (1.0,) + (0.0,) * 3
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     of = _KIND[np.minimum(codes, 0x2FFF)]
     letter = of == 1
@@ -110,7 +119,7 @@ def text_statistics(text: str | None) -> tuple:
         n_words, letters / max(1, n_words), symbols / len(text), digits / len(text),
         sum(1 for x in lines if x.rstrip()[-1] in _END) / len(lines), sum(commons) / n_tokens,
         n_tokens / len(lines), len(set().union(*tokens)) / n_tokens,
-        sums["list"] / total, sums["table"] / total, sums["junk"] / total,
+        sums["prose"] / total if sums["prose"] or total > 1 else 1.0, sums["list"] / total, sums["table"] / total, sums["junk"] / total,
     )
 
 
@@ -143,59 +152,63 @@ def _shares(lines: list[str], tokens: list[list[str]], kinds: list[str]) -> dict
 
 
 def document_statistics(df: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
-    """doc_id, lang (lower case, ``und`` if unknown), STATS and the shares list, table, junk, per row.
+    """doc_id, lang (lower case, ``und`` if unknown), text_key (hash of the text) and MEASURED, per row.
 
-    Null, empty and blank texts have zeros everywhere. Whole texts are read, whatever their length.
+    Null, empty and blank texts have zeros and a prose share of 1. Whole texts are read, whatever
+    their length.
     """
-    shares = [*STATS, *CLASSES]
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            stats = pd.DataFrame([text_statistics(t) for t in rows["text"]], columns=shares)
-            yield pd.concat([rows[["doc_id", "lang"]].reset_index(drop=True), stats], axis=1)
+            stats = pd.DataFrame([text_statistics(t) for t in rows["text"]], columns=MEASURED)
+            yield pd.concat([rows[["doc_id", "lang", "text_key"]].reset_index(drop=True), stats], axis=1)
 
     known = F.lower(F.trim(lang))
-    rows = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.when(known != "", known), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    schema = "doc_id long, lang string, n_words long, " + ", ".join(f"{c} double" for c in shares[1:])
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.when(known != "", known), F.lit("und")).alias("lang"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
+    schema = "doc_id long, lang string, text_key long, n_words long, " + ", ".join(f"{c} double" for c in MEASURED[1:])
     return rows.mapInPandas(measure, schema)
 
 
 def language_sketches(stats: DataFrame) -> DataFrame:
-    """One row per language: a mergeable quantile sketch of each statistic.
+    """One row per language and one (lang null) for all: a mergeable quantile sketch of each statistic over the different texts.
 
-    Partial sketches are built where the rows are and merged, so a language with most of the
-    documents costs no more shuffle than a rare one.
+    Copies of a text count once. Partial sketches are built where the rows are and merged, so a
+    language with most of the documents costs no more shuffle than a rare one.
     """
-    return stats.groupBy("lang").agg(F.count("*").alias("documents"), *(F.kll_sketch_agg_double(F.col(c).cast("double"), F.lit(200)).alias(c) for c in STATS))
+    different = stats.dropDuplicates(["lang", "text_key"])
+    return different.rollup("lang").agg(F.count("*").alias("texts"), *(F.kll_sketch_agg_double(F.col(c).cast("double"), F.lit(200)).alias(c) for c in MEASURED))
 
 
 def standardise(stats: DataFrame, sketches: DataFrame) -> DataFrame:
-    """``stats`` with p_<statistic> (share of the language's documents below) and z_<statistic>.
+    """``stats`` with p_<statistic> (share of the language's texts below) and z_<statistic>.
 
-    z is the distance from the median in units of the interquartile range of a normal distribution;
-    where the range is empty it is 0 at the median and 9 (with its sign) elsewhere.
+    z is the distance from the median in units of a normal distribution's quartile distance, taken on
+    the side that is tighter, as the other may hold a tail, and at least ``LEAST_SPREAD`` of what the
+    statistic spans among all texts. Languages of too few texts, or
+    where prose is not the usual, are measured by all languages together. An empty table gives none.
     """
-    grid = [k / STEPS for k in range(STEPS + 1)]
-    at = F.array(*map(F.lit, grid))
-    df = stats.join(sketches.select("lang", *(F.kll_sketch_get_quantile_double(c, at).alias(f"q_{c}") for c in STATS)), "lang")
+    at = F.array(*(F.lit(k / STEPS) for k in range(STEPS + 1)))
+    grids = sketches.select("lang", "texts", *(F.kll_sketch_get_quantile_double(c, at).alias(f"q_{c}") for c in MEASURED))
+    every = grids.where("lang IS NULL").first()
+    if every is None or not every["texts"]:
+        return stats.select(*stats.columns, *(F.lit(0.0).alias(f"{k}_{c}") for k in "pz" for c in MEASURED)).limit(0)
+    own = grids.where((F.col("texts") >= max(LEAST_TEXTS, LEAST_SHARE * every["texts"])) & (F.get("q_prose", STEPS // 2) > 0.5)).drop("texts").where("lang IS NOT NULL")
+    df = stats.join(F.broadcast(own), "lang", "left")
+    for c in MEASURED:
+        df = df.withColumn(f"q_{c}", F.coalesce(f"q_{c}", F.array(*map(F.lit, every[f"q_{c}"]))))
 
     def percentile(c: str):
         return (F.size(F.filter(f"q_{c}", lambda q: q < F.col(c))) / (STEPS + 1)).alias(f"p_{c}")
 
     def z(c: str):
         low, mid, high = (F.get(F.col(f"q_{c}"), STEPS * k // 4) for k in (1, 2, 3))
-        gap = F.col(c) - mid
-        return F.when(high > low, gap / ((high - low) / 1.349)).otherwise(9.0 * F.signum(gap)).alias(f"z_{c}")
+        span = 1.0 if c in SHARES else max(every[f"q_{c}"][-2] - every[f"q_{c}"][1], 1e-9)
+        return ((F.col(c) - mid) / F.greatest(F.least(high - mid, mid - low) / 0.6745, F.lit(LEAST_SPREAD * span))).alias(f"z_{c}")
 
-    return df.select(*stats.columns, *map(percentile, STATS), *map(z, STATS))
+    return df.select(*stats.columns, *map(percentile, MEASURED), *map(z, MEASURED))
 
 
 def classify(scored: DataFrame) -> DataFrame:
-    """Adds text_class: ``list``, ``table`` or ``junk`` for documents most of whose characters are that, else ``prose``.
-
-    The class is that of the largest share. It rests on the document's own text: the scores beside it
-    are relative to the language, where copies of one text may be the usual.
-    """
-    kinds = F.array_sort(F.array(*(F.struct((-F.col(c)).alias("share"), F.lit(c).alias("kind")) for c in CLASSES)))
-    other = F.col("list") + F.col("table") + F.col("junk") > 0.5
-    return scored.withColumn("text_class", F.when(other, F.get(kinds, 0)["kind"]).otherwise("prose"))
+    """Adds text_class: prose, or where the prose share lies in the low tail, the class that is furthest out in the high one."""
+    kinds = F.array_sort(F.array(*(F.struct((-F.col(f"z_{c}")).alias("out"), F.lit(c).alias("kind")) for c in CLASSES)))
+    return scored.withColumn("text_class", F.when(F.col("z_prose") < -TAIL, F.get(kinds, 0)["kind"]).otherwise("prose"))

@@ -40,6 +40,14 @@ def test_round_trip(repairer, word):
         assert repairer.text(f"a {twice} b")[0] == f"a {word} b"
 
 
+@pytest.mark.parametrize("word", ["Καλημέρα", "שלום", "日本語", "😀", "مرحبا"])
+def test_any_script_is_restored(repairer, word):
+    assert repairer.text(word) == (word, 0, False)
+    for wrong in ("cp1252", "latin-1", "mac_roman"):
+        bad = "".join(bytes([b]).decode(wrong, "replace") if bytes([b]).decode(wrong, "replace") != "\ufffd" else chr(b) for b in word.encode())
+        assert repairer.text(f"a {bad} b") == (f"a {word} b", 1, False)
+
+
 def test_lost_characters_are_found(repairer):
     assert repairer.text("r�visé")[2]
     assert repairer.text("") == ("", 0, False)
@@ -237,14 +245,14 @@ def test_shares_at_any_number_of_shards(spark, data, per_shard):
 # --- quality
 def test_text_classes():
     def kind(text):
-        s = dict(zip([*quality.STATS, *quality.CLASSES], quality.text_statistics(text), strict=True))
+        s = dict(zip(quality.MEASURED, quality.text_statistics(text), strict=True))
         return max(quality.CLASSES, key=lambda c: s[c]) if sum(s[c] for c in quality.CLASSES) > 0.5 else "prose"
 
     assert kind("The pump was checked against the plan, and it is fine for all of us.\nWe will come back to you.") == "prose"
     assert kind("- pump\n- oil filter\n- new valve") == "list"
     assert kind("name | qty | price\npump | 3 | 4.50\nvalve | 7 | 1.25") == "table"
     assert kind("#_=*-\\*/#>.-<#.|=\n//::|__<#/:-*~:=_~::~#>") == "junk"
-    assert quality.text_statistics(None) == quality.text_statistics(" \n ") == (0,) + (0.0,) * 10
+    assert quality.text_statistics(None) == quality.text_statistics(" \n ") == (0,) + (0.0,) * 7 + (1.0,) + (0.0,) * 3
 
 
 def test_scores(spark):
@@ -257,6 +265,17 @@ def test_scores(spark):
     assert out[99]["text_class"] == "list" and out[0]["text_class"] == out[100]["text_class"] == "prose"
 
 
+def test_classes_rest_on_the_sketches(spark):
+    """The same documents among texts that are mostly as they are lie in no tail."""
+    listing = "\n".join(f"- part {i}" for i in range(9))
+    mixed = lambda i: "\n".join([*(f"- item {i}" for _ in range(6)), "The pump was checked against the plan, and it is fine for all of us now."])
+    rows = [(i, mixed(i), "en") for i in range(60)] + [(99, listing, "en")]
+    stats = quality.document_statistics(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    out = {r["doc_id"]: r for r in quality.classify(quality.standardise(stats, quality.language_sketches(stats))).collect()}
+    assert out[0]["text_class"] == "prose" and abs(out[0]["z_prose"]) < 1 and out[99]["p_list"] > out[0]["p_list"]
+    assert quality.standardise(stats.limit(0), quality.language_sketches(stats.limit(0))).count() == 0
+
+
 def test_copies_do_not_hide_a_class(spark):
     prose = "The pump was checked against the plan, and it is fine for all of us now."
     listing = "name | qty | price\npump | 3 | 4.50\nvalve | 7 | 1.25"
