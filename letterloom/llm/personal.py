@@ -1,11 +1,13 @@
 """Finding personal information in free text and replacing it with typed placeholders.
 
-Bootstrapped contextual extraction. Seed entities (the names in mail headers, the cue words around
-phone and identity numbers) induce patterns: the words before a mention and, for numbers, the shape
-of the digits. Spark counts the pattern-instance graph over all texts and scores it back and forth;
-instances that keep to trusted patterns, and patterns that keep to trusted instances, become trusted
-themselves and so discover names and number formats no seed had. What workers get is of fixed size
-(names and patterns hashed to ``BUCKETS`` flags) or a short list of number shapes.
+Bootstrapped contextual extraction. Seed entities (the names and addresses in mail headers, the cue
+words around phone and identity numbers, words for streets) induce patterns: the words before a
+mention, the shape of the digits, the signs that join the parts of a mail address, the words a street's
+name is made with and the form of the postcode. Spark counts the pattern-instance graph over all texts
+in one pass and scores it back and forth; instances that keep to trusted patterns, and patterns that
+keep to trusted instances, become trusted themselves and so discover what no seed had. Workers get the
+trusted names as sorted hashes of 64 bits, so one name never stands in for another, and short lists of
+patterns.
 """
 
 from __future__ import annotations
@@ -24,7 +26,6 @@ from pyspark.sql import functions as F
 from letterloom.llm.encoding import _candidates
 from letterloom.session import cut
 
-BUCKETS = 1 << 22
 ROUNDS = 2
 #: Flags of a hashed word.
 FIRST, LAST, CLEAR, LEFT = 1, 2, 4, 8
@@ -35,6 +36,12 @@ CUES = {
     "ID_NUMBER": "passport|personal|personnummer|ssn|nif|dni|identité|documento|contribuinte|ausweisnummer|steuernummer|паспорта|tax|id",
     "OTHER": "order|invoice|lot|version|ticket|meeting|tracking|code|po|ref|ref.|nr.|no|№|page|paid",
 }
+#: Seed words for streets (fixed values): the last word, the first one, or with a hyphen the end of the only one.
+STREETS = frozenset("street st road rd avenue ave lane ln court square drive dr parkway rue boulevard calle c/ avenida rua улица ул -aße -str -weg".split())
+#: Signs that join a mail address (fixed seed): the plain ones.
+JOINTS = "@|."
+#: Least share of a pattern's mentions that must be known, and of all number mentions that a shape must have.
+INDUCED, SHAPE_SHARE = 0.05, 1e-6
 #: Given names that are everyday words or months as well (fixed values): alone they need a context.
 _EVERYDAY = frozenset("may mark will rose bill grace hope joy faith dawn june april august sue pat drew art frank rob jack ray guy lance chase miles summer amber ivy lily pearl ruby olive".split())
 _COMPANY = frozenset("ltd limited foods shipping pumps energi energy logistics group gmbh ag inc llc plc sa srl holding partners sons co corp company bank media systems works industries".split())
@@ -45,23 +52,29 @@ _TITLE = frozenset("mr mrs ms miss dr prof herr frau mme mlle sr sra señor señ
 _BREAK = re.compile(r"\n(?:[ \t>»|:]|[A-Z]{1,3}>)*(?:\r?\n(?:[ \t>»|:]|[A-Z]{1,3}>)*)*")
 _MARKED = re.compile(r"\n(?:[ \t>»|:\r]|[A-Z]{1,3}>)")
 _S = r"[  \x02]"
-_LOCAL, _DOMAIN = re.compile(r"[\w.+%-]+$"), re.compile(r"[\w-]+(?:\.[\w-]+)+")
-_SPELLED = re.compile(r"[\w.+%-]+ ?[\[(](?:at|arroba|chez)[\])] ?[\w-]+(?: ?[\[(](?:dot|punto|punkt|ponto|point)[\])] ?[\w-]+|\.[\w-]+)+", re.I)
+_DOMAIN = re.compile(r"[\w-]+(?:\.[\w-]+)+")
+_LOCAL_SIGNS = frozenset(".+%-_")
+_BRACKETED = re.compile(r"[\[(]\w{2,8}[\])]")
+_SPELLED = re.compile(r"([\w.+%-]+) ?[\[(](\w{2,8})[\])] ?([\w-]+)((?: ?[\[(]\w{2,8}[\])] ?[\w-]+|\.[\w-]+)+)")
+_POINT = re.compile(r" ?[\[(](\w{2,8})[\])] ?")
 _DIGITS = re.compile(r"\d[\d()  \x02./-]{4,}")
 _DATE = re.compile(r"(?:\d{4}-\d\d-\d\d|\d{1,2}[./]\d{1,2}[./](?:\d{4}|\d{2})(?!\d))")
-_POSTCODES = re.compile(r"\d{5}(?!\d)"), re.compile(r"NH\d{1,2}\b")
 _GROUP = rf"(?:\(\d{{1,5}}\)|\d+)"
 _NUMBER = re.compile(rf"(?<![\w@./:€£$#-])(?:\+\(?|[A-Z]{{2,3}}(?=\d)|)(?:{_GROUP}(?:(?:[.\-/]|{_S}{{1,6}}|(?<=\)))(?=[\d(])){{1}})*\d+(?:-?[A-Z](?![\w-])|)(?:{_S}(?:ext|x)\.?{_S}?\d{{1,5}})?(?![\w@])", re.ASCII)
 _TOWN = r"[^\W\d_a-zà-ÿ][\w'’\x80-ɏ-]*"
-_POST = rf"(?:NH\d{{1,2}}{_S}+\d[A-Z]{{2}}|\d{{5}})"
+_POST = rf"(?:[A-Z]{{1,2}}\d[A-Z\d]?{_S}+\d[A-Z]{{2}}|(?:[A-Z]{{2}}{_S}+)?\d{{5}}(?:-\d{{4}})?)"
+_POSTCODES = re.compile(r"(?<![\w-])(?:\d{5}(?!\d)|[A-Z]{1,2}\d[A-Z\d]?[  \x02]+\d[A-Z]{2}\b)")
 _WORD = r"[^\W\d_a-zà-ÿ][^\s,;|<>]*"
+#: How far around its postcode an address may reach.
+_BEFORE, _AFTER = 256, 96
 _ADDRESS = re.compile(
-    rf"(?:Unit{_S}+\d+[a-z]?,{_S}+)?\d{{1,4}}[a-z]?,?{_S}+(?:{_WORD}{_S}+){{1,3}}?(?:Street|St\.?|Road|Rd\.?|Avenue|Ave\.?|Lane|Ln\.?|Court|Ct\.?|Square|Sq\.?|Drive|Close|Way|Place|Terrace),?{_S}+{_TOWN},?{_S}+{_POST}"
-    rf"|\d{{1,4}}[a-z]?,?{_S}+(?:rue|avenue|boulevard|place|chemin|impasse|quai){_S}+(?:(?:de{_S}+la|du|des|de|d['’]){_S}*)?{_WORD},{_S}+{_POST}{_S}+{_TOWN}"
-    rf"|(?:C/|Calle|Avda\.?|Avenida|Plaza|Rua|Travessa|ул\.|улица){_S}+(?:{_WORD}{_S}+){{0,3}}?{_WORD}{_S}*,?{_S}+\d{{1,4}}[a-z]?(?:,{_S}+\d{{1,2}}\S{{1,4}})?,{_S}+{_POST}{_S}+{_TOWN}"
-    rf"|[^\W\d_a-zà-ÿ][\w-]*(?:str(?:\.|a\S{{1,4}}e)|weg|gasse|platz|allee|ring|damm|ufer){_S}+\d{{1,4}}{_S}?[a-z]?,{_S}+{_POST}{_S}+{_TOWN}"
+    rf"(?<!\w)(?:(?:Unit{_S}+\d+[A-Za-z]?,{_S}+)?\d{{1,5}}[A-Za-z]?,?{_S}+(?:{_WORD}{_S}+){{1,3}}?(?P<last>[^\W\d_a-zà-ÿ][^\W\d_]*)\.?,?{_S}+{_TOWN}(?:{_S}{_TOWN})?,?{_S}+{_POST}"
+    rf"|\d{{1,5}}[A-Za-z]?,?{_S}+(?P<type>[^\W\d_]{{3,}}){_S}+(?:(?:de{_S}+la|du|des|de|d['’]){_S}*)?{_WORD},{_S}+{_POST}{_S}+{_TOWN}"
+    rf"|(?P<first>[^\W\d_a-zà-ÿа-я][^\W\d_]*[./]?|[^\W\d_]{{2,4}}\.|[а-я]{{3,}}){_S}+(?:{_WORD}{_S}+){{0,3}}?{_WORD}{_S}*,?{_S}+\d{{1,4}}[a-z]?(?:,{_S}+\d{{1,2}}\S{{1,4}})?,{_S}+{_POST}{_S}+{_TOWN}"
+    rf"|[^\W\d_a-zà-ÿ][\w-]*?(?P<end>[^\W\d_]{{2,3}})\.?{_S}+\d{{1,4}}{_S}?[a-z]?,{_S}+{_POST}{_S}+{_TOWN})"
 )
 #: Starts with a set of characters, which is searched for fast; what stands before is looked at afterwards.
+_POST_FORM = re.compile(r"[A-Z]")
 _CAPITAL = re.compile(r"[A-ZÀ-ÖØ-ÞŁŃŘŚŠŹŻŽĀČĐĒĘĚĞĢĪĮİĶĻŅŌŐŠŤŪŮŰŲΑ-ΩЀ-Я](?<![\w@.].)[^\W\d_](?:[^\s,.;:!?()<>|\"“”@\x01\x02]|\.(?=\w))*")
 _INITIAL_BEFORE = re.compile(rf"(?<!\w)([^\W\d_a-zà-ÿ]\.){_S}+$")
 _MIDDLE = re.compile(rf"{_S}{{1,4}}[^\W\d_a-zà-ÿ]\.{_S}{{1,4}}")
@@ -69,10 +82,10 @@ _GAPS = str.maketrans("\x01\x02>|", "    ")
 _ADJACENT = re.compile(r"[  ]{1,2}|\x02[  ]{0,8}")
 
 
-def bucket(word: str) -> int:
-    """Spark's xxhash64 of the word, modulo the table size."""
+def name_hash(word: str) -> int:
+    """Spark's xxhash64 of the word."""
     h = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"), seed=42)
-    return (h - (1 << 64) if h >> 63 else h) % BUCKETS
+    return h - (1 << 64) if h >> 63 else h
 
 
 _MASK = str.maketrans({**{c: "9" for c in "0123456789"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, "\x02": " ", "\n": " ", "\xa0": " "})
@@ -92,25 +105,99 @@ def header_names(messages: DataFrame) -> DataFrame:
     return each.where(F.col("word").rlike(r"^\p{Lu}\p{Ll}+")).groupBy("word").agg(F.max("f").alias("is_first"), F.max("l").alias("is_last"))
 
 
-def name_graph(texts: DataFrame) -> DataFrame:
-    """(left, prev, word, n): capitalised words of all texts with the word before each."""
+def evidence(texts: DataFrame) -> DataFrame:
+    """(kind, a, b, c, n): what all texts say about names, numbers, mail addresses and postal ones, in one pass.
+
+    ``name``: the word before in lower case, as written, and the capitalised word. ``number``: shape and
+    cue word. ``mail``: joining signs and address. ``place``: word of a street and form of the postcode.
+    Counts are combined per task before the shuffle.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter[tuple[str, str]] = Counter()
+        seen: Counter[tuple[str, str, str, str]] = Counter()
         for rows in batches:
             for text in rows["text"]:
                 if text:
-                    seen.update(_mentions(text))
+                    seen.update([("name", p.lower(), p, w) for p, w in _mentions(text)])
+                    for a, b in _numbers(text):
+                        words = text[max(0, a - 48) : a].split()[-4:]
+                        form = shape(text[a:b])
+                        seen.update([("number", form, w, "") for w in {x.strip(">|(),;<").lower() for x in words} if w])
+                    seen.update([("mail", signs, address.lower(), "") for _, _, signs, address in _mails(text)])
+                    if _POSTCODES.search(text):
+                        for found in _addresses(flattened(text)):
+                            seen[("place", found[-1][2], found[-1][3], "")] += 1  # that of a seed, or else the tightest reading
             if len(seen) > 300_000:
                 yield rows_of(seen)
         yield rows_of(seen)
 
-    def rows_of(seen: Counter[tuple[str, str]]) -> pd.DataFrame:
-        out = pd.DataFrame([(p.lower(), p, w, n) for (p, w), n in seen.items()], columns=["left", "prev", "word", "n"]).astype({"n": "int64"})
+    def rows_of(seen: Counter[tuple[str, str, str, str]]) -> pd.DataFrame:
+        out = pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["kind", "a", "b", "c", "n"]).astype({"n": "int64"})
         seen.clear()
         return out
 
-    return texts.select("text").mapInPandas(count, "left string, prev string, word string, n long").groupBy("left", "prev", "word").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInPandas(count, "kind string, a string, b string, c string, n long").groupBy("kind", "a", "b", "c").agg(F.sum("n").alias("n"))
+
+
+def flattened(text: str) -> str:
+    """The text in one line of the same length: line breaks with marks of quoting as \\x02, paragraph breaks as \\x01."""
+    if _MARKED.search(text):
+        return _BREAK.sub(lambda m: ("\x01" if m.group().count("\n") > 1 else "\x02") + " " * (m.end() - m.start() - 1), text)
+    return text.replace("\n\n", "\x01 ").replace("\n", "\x02")  # no line begins with a mark of quoting: the same, faster
+
+
+def _numbers(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of what is written like a number of a person: seven characters and six digits or more, no date."""
+    at = 0
+    for d in _DIGITS.finditer(text):
+        if d.end() <= at or d.end() - d.start() < 15 and _DATE.match(text, d.start()):
+            continue  # taken already, or a date, as most are
+        stop = min(len(text), d.end() + 14)
+        for m in _NUMBER.finditer(text, max(at, d.start() - 5), stop):
+            if m.end() == stop < len(text):
+                m = _NUMBER.match(text, m.start()) or m  # it goes on beyond the window
+            if m.end() <= at:
+                continue
+            at = m.end()
+            if m.end() - m.start() >= 7 and sum(map(str.isdigit, m.group())) >= 6 and not _DATE.match(m.group()):
+                yield m.start(), m.end()
+
+
+def _mails(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, joining signs, address) of everything written like a mail address, whatever the signs."""
+    i = text.find("@")
+    while i >= 0:
+        start = i
+        while start and (text[start - 1].isalnum() or text[start - 1] in _LOCAL_SIGNS):
+            start -= 1
+        domain = _DOMAIN.match(text, i + 1)
+        if start < i and domain:
+            end = domain.end() - (text[domain.end() - 1] in "-_")
+            yield start, end, JOINTS, text[start:end]
+        i = text.find("@", i + 1)
+    if _BRACKETED.search(text):
+        for m in _SPELLED.finditer(text):
+            points = _POINT.findall(m.group(4))
+            yield m.start(), m.end(), f"{m.group(2).lower()}|{points[0].lower() if points else '.'}", f"{m.group(1)}@{m.group(3)}{_POINT.sub('.', m.group(4))}"
+
+
+def _addresses(flat: str) -> Iterator[list[tuple[int, int, str, str]]]:
+    """For each postcode the readings (start, end, word of the street, form of the postcode) of the address it may end, up to one with a seed word."""
+    done = 0
+    for p in _POSTCODES.finditer(flat):
+        if p.start() < done:
+            continue
+        found, at = [], max(done, p.start() - _BEFORE)
+        while (m := _ADDRESS.search(flat, at, p.end() + _AFTER)) and m.start() < p.start():
+            if p.end() <= m.end():
+                key = f"-{m['end'].lower()}" if m["end"] else (m["last"] or m["type"] or m["first"]).rstrip(".").lower()
+                found.append((m.start(), m.end(), key, _POST_FORM.sub("A", re.sub(r"\d", "9", p.group().replace("\x02", " ")))))
+                if key in STREETS:
+                    break
+            at = m.start() + 1
+        if found:
+            yield found
+            done = found[-1][1]
 
 
 def _mentions(text: str) -> Iterator[tuple[str, str]]:
@@ -149,36 +236,42 @@ def score_names(graph: DataFrame, seeds: DataFrame) -> DataFrame:
     return rows.unionByName(contexts.where("trust >= 0.6 AND left NOT IN ('<first>', '<line>', '<thing>')").select(F.col("left").alias("word"), F.lit(LEFT).alias("flags")))
 
 
-def name_flags(texts: DataFrame, messages: DataFrame) -> np.ndarray:
-    """The table of flags by hashed word; at most BUCKETS numbers reach the driver."""
-    scored = score_names(cut(name_graph(texts)), header_names(messages))
-    rows = scored.groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int").alias("b")).agg(F.bit_or("flags").alias("flags")).toPandas()
-    table = np.zeros(BUCKETS, dtype=np.uint8)
-    table[rows["b"].to_numpy()] = rows["flags"].to_numpy()
-    return table
+def name_flags(graph: DataFrame, messages: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, flags) of the trusted names and contexts."""
+    names = graph.where("kind = 'name'").select(F.col("a").alias("left"), F.col("b").alias("prev"), F.col("c").alias("word"), "n")
+    rows = score_names(names, header_names(messages)).groupBy(F.xxhash64("word").alias("h")).agg(F.bit_or("flags").alias("flags")).orderBy("h").toArrow()
+    return rows.column("h").to_numpy(), rows.column("flags").to_numpy().astype(np.uint8)
 
 
-def number_shapes(texts: DataFrame) -> dict[str, str]:
-    """Type of every number shape, scored from the cue words before its numbers over all texts."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter[tuple[str, str]] = Counter()
-        for rows in batches:
-            for text in rows["text"]:
-                for m in (m for d in _DIGITS.finditer(text or "") for m in _NUMBER.finditer(text, max(0, d.start() - 5), d.end() + 14) if m.end() < d.end() + 14):
-                    if m.end() - m.start() >= 7 and sum(map(str.isdigit, m.group())) >= 6:
-                        words = text[max(0, m.start() - 48) : m.start()].split()[-4:]
-                        form = shape(m.group())
-                        seen.update((form, w) for w in {x.strip(">|(),;<").lower() for x in words} if w)
-            if len(seen) > 300_000:
-                yield rows_of(seen)
-        yield rows_of(seen)
+def mail_joints(graph: DataFrame, messages: DataFrame) -> frozenset[str]:
+    """The signs that join mail addresses: those under which addresses of the mail headers are mentioned, too."""
+    edges = graph.where("kind = 'mail'").select(F.col("a").alias("signs"), F.col("b").alias("address"), "n")
+    every = F.concat_ws(" ", "from_email", "to_emails", "cc_emails")
+    seeds = messages.select(F.explode(F.regexp_extract_all(F.lower(every), F.lit(r"[^\s<>,;\"]+@[^\s<>,;\"]+"), 0)).alias("address")).distinct()
+    for _ in range(ROUNDS):
+        met = edges.join(seeds.withColumn("s", F.lit(1.0)), "address", "left")
+        trusted = cut(met.groupBy("signs").agg((F.sum(F.col("n") * F.coalesce("s", F.lit(0.0))) / F.sum("n")).alias("trust"), F.sum("n").alias("n")).where((F.col("trust") >= INDUCED) & (F.col("n") >= 3)).select("signs"))
+        seeds = seeds.union(edges.join(trusted, "signs").select("address")).distinct()
+    return frozenset(r["signs"] for r in trusted.toLocalIterator())
+
+
+def street_words(graph: DataFrame) -> frozenset[str]:
+    """The words that streets are named with: the seeds, and others that stand before postcodes of the seeds' forms."""
+    edges = graph.where("kind = 'place'").select(F.col("a").alias("key"), F.col("b").alias("form"), "n")
+    known = edges.select("key").distinct().where(F.col("key").isin(*STREETS))
+    for _ in range(ROUNDS):
+        forms = edges.join(known.withColumn("s", F.lit(1.0)), "key", "left").groupBy("form").agg((F.sum(F.col("n") * F.coalesce("s", F.lit(0.0))) / F.sum("n")).alias("trust"))
+        found = edges.join(forms, "form").groupBy("key").agg((F.sum(F.col("n") * F.col("trust")) / F.sum("n")).alias("score"), F.sum("n").alias("n")).where("score >= 0.3 AND n >= 3").select("key")
+        known = cut(known.union(found).distinct())
+    return STREETS | {r["key"] for r in known.toLocalIterator()}
 
-    def rows_of(seen: Counter[tuple[str, str]]) -> pd.DataFrame:
-        out = pd.DataFrame([(s, c, n) for (s, c), n in seen.items()], columns=["shape", "cue", "count"]).astype({"count": "int64"})
-        seen.clear()
-        return out
 
-    edges = cut(texts.select("text").mapInPandas(count, "shape string, cue string, count long").where("length(shape) <= 30").groupBy("shape", "cue").agg(F.sum("count").alias("count")))
+def number_shapes(graph: DataFrame) -> dict[str, str]:
+    """Type of every number shape, scored from the cue words before its numbers over all texts."""
+    every = graph.where("kind = 'number'").select(F.col("a").alias("shape"), F.col("b").alias("cue"), F.col("n").alias("count"))
+    total = every.agg(F.sum("count")).first()[0] or 0
+    usual = every.groupBy("shape").agg(F.sum("count").alias("all")).where(F.col("all") >= SHAPE_SHARE * total).select("shape")  # at most 1 / SHAPE_SHARE
+    edges = cut(every.join(usual, "shape"))
     kinds = list(CUES)
     seed = reduce(lambda a, k: a.when(F.col("cue").isin(*CUES[k].split("|")), F.lit(k)), kinds, F.when(F.lit(False), F.lit("")))
     cues = edges.select("cue").distinct().withColumn("kind", seed).where("kind IS NOT NULL")
@@ -197,31 +290,33 @@ def number_shapes(texts: DataFrame) -> dict[str, str]:
 class Finder:
     """Finds the personal information of one text at a time."""
 
-    def __init__(self, flags: np.ndarray, shapes: dict[str, str]):
-        self.table, self.shapes = flags, shapes
+    def __init__(self, flags: tuple[np.ndarray, np.ndarray], shapes: dict[str, str], joints: frozenset[str], streets: frozenset[str]):
+        (self.hashes, self.values), self.shapes, self.joints, self.streets = flags, shapes, joints, streets
         self.known: dict[str, int] = {}
 
+    def flags_of(self, word: str) -> int:
+        h = name_hash(word)
+        i = int(np.searchsorted(self.hashes, h))
+        return int(self.values[i]) if i < len(self.hashes) and self.hashes[i] == h else 0
+
     def flags(self, word: str) -> int:
         f = self.known.get(word)
         if f is None:
             if len(self.known) > 300_000:
                 self.known.clear()
-            f = int(self.table[bucket(word)])
+            f = self.flags_of(word)
             if not f & (FIRST | LAST) and word.isupper() and len(word) > 2:
-                f = int(self.table[bucket(word.capitalize())]) & ~CLEAR
+                f = self.flags_of(word.capitalize()) & ~CLEAR
             if word.lower() in _EVERYDAY:
                 f &= ~CLEAR
             if not f & (FIRST | LAST) and not word.isascii():  # a name decoded with the wrong encoding is one still
-                f = next((g for _, _, w in _candidates(word) if (g := int(self.table[bucket(w)])) & (FIRST | LAST)), f)
+                f = next((g for _, _, w in _candidates(word) if (g := self.flags_of(w)) & (FIRST | LAST)), f)
             self.known[word] = f
         return f
 
     def find(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, type), in order and apart from each other."""
-        if _MARKED.search(text):
-            flat = _BREAK.sub(lambda m: ("\x01" if m.group().count("\n") > 1 else "\x02") + " " * (m.end() - m.start() - 1), text)
-        else:  # no line begins with a mark of quoting: the same, faster
-            flat = text.replace("\n\n", "\x01 ").replace("\n", "\x02")
+        flat = flattened(text)
         spans: list[tuple[int, int, str]] = []
         taken: list[tuple[int, int]] = []
 
@@ -230,35 +325,19 @@ class Finder:
                 taken.append((a, b))
                 spans.append((a, b, kind))
 
-        if "@" in flat:
-            i = flat.find("@")
-            while i >= 0:
-                local, domain = _LOCAL.search(flat, max(0, i - 80), i), _DOMAIN.match(flat, i + 1)
-                if local and domain:
-                    add(local.start(), domain.end() - (flat[domain.end() - 1] in "-_"), "EMAIL")
-                i = flat.find("@", i + 1)
-        if "(at)" in flat or "[at]" in flat or "(AT)" in flat or "arroba" in flat:
-            for m in _SPELLED.finditer(flat):
-                add(m.start(), m.end(), "EMAIL")
-        at = 0
-        posts = [*_POSTCODES[0].finditer(flat), *(_POSTCODES[1].finditer(flat) if "NH" in flat else ())]
-        for p in sorted(posts, key=lambda m: m.start()):
-            if p.start() >= at and (m := _ADDRESS.search(flat, max(at, p.start() - 90), p.end() + 40)) and p.end() <= m.end() < p.end() + 40:
-                add(m.start(), m.end(), "ADDRESS")
-                at = m.end()
-        at = 0
-        for d in _DIGITS.finditer(flat):
-            if d.end() - d.start() < 15 and _DATE.match(flat, d.start()):
-                continue  # a date, as most are
-            stop = min(len(flat), d.end() + 14)
-            for m in _NUMBER.finditer(flat, max(at, d.start() - 5), stop):
-                if m.end() == stop < len(flat):
-                    break  # cut off by the window
-                at = max(at, m.end())
-                if m.end() - m.start() >= 7 and not _DATE.match(m.group()):
-                    kind = self.shapes.get(shape(m.group()))
-                    if kind:
-                        add(m.start(), m.end(), kind)
+        for a, b, signs, _ in _mails(flat):
+            if signs in self.joints:
+                add(a, b, "EMAIL")
+        if _POSTCODES.search(flat):
+            for found in _addresses(flat):
+                best = next((x for x in reversed(found) if x[2] in self.streets), None)
+                if best:
+                    a, b = next((x[0], x[1]) for x in found if x[2] == best[2])
+                    add(a, b, "ADDRESS")
+        for a, b in _numbers(flat):
+            kind = self.shapes.get(shape(flat[a:b]))
+            if kind:
+                add(a, b, kind)
         taken.sort()
         for a, b in self.names(flat):
             if not any(a < y and x < b for x, y in taken):
@@ -330,14 +409,20 @@ class Finder:
         return title or (left and bool(f & CLEAR)) or (bool(f & CLEAR) and line_start and line_end)
 
 
-def find_personal(texts: DataFrame, flags: np.ndarray, shapes: dict[str, str], replaced: bool = False) -> DataFrame:
+def learn(texts: DataFrame, messages: DataFrame) -> tuple:
+    """Everything a :class:`Finder` needs, learned from all texts and the mail headers."""
+    graph = cut(evidence(texts))
+    return name_flags(graph, messages), number_shapes(graph), mail_joints(graph, messages), street_words(graph)
+
+
+def find_personal(texts: DataFrame, model: tuple, replaced: bool = False) -> DataFrame:
     """(field, rec_id, pii_type, pii_value) found in the texts (field, rec_id, text); with ``replaced``
     (field, rec_id, clean): the texts with ``[TYPE]`` in place of each.
 
     Null and empty texts have none and stay as they are; a value mentioned again is found again (and
     made distinct by the caller). Whole texts are searched where they are read, without a shuffle.
     """
-    shared = texts.sparkSession.sparkContext.broadcast((flags, shapes))
+    shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         finder = Finder(*shared.value)

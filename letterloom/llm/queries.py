@@ -39,8 +39,7 @@ def _personal(spark: SparkSession, d: str, replaced: bool) -> DataFrame:
     body = table(spark, d, "parsed_messages").select(F.lit("body").alias("field"), F.col("parse_id").alias("rec_id"), F.col("body").alias("text"))
     chunk = table(spark, d, "chunks").select(F.lit("chunk").alias("field"), F.col("id").alias("rec_id"), "text")
     texts = body.unionByName(chunk).where("text IS NOT NULL AND text <> ''")
-    flags = personal.name_flags(texts, table(spark, d, "messages"))
-    return personal.find_personal(texts, flags, personal.number_shapes(texts), replaced)
+    return personal.find_personal(texts, personal.learn(texts, table(spark, d, "messages")), replaced)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -359,17 +359,26 @@ def test_misreadings_are_learned_at_any_size():
 def test_personal(spark):
     people = [("Anna", "Bergholm"), ("Jonas", "Tarquist"), ("Petra", "Vosryn"), ("Ivo", "Halmere")]
     bodies = [f"Dear {f},\n\nYou can reach {f} {s} at tel. +1 555 804 01{i:02d}. Mind {f} {s}, passport XK60031{i:02d}. Invoice no. 741-964{i:02d} was paid.\n\nBest,\n{f} {s}" for i in range(20) for f, s in people]
+    bodies += [f"Write to {f.lower()}@y.example or {f.lower()} [at] y [dot] example. Come to {k} Mill Lane, Belmoor 2043{k} or {k} Oak Crescent, Belmoor 2043{k}." for k in range(5) for f, s in people]
     texts = spark.createDataFrame([("body", i, b) for i, b in enumerate(bodies)] + [("body", 900, None), ("body", 901, "")], "field string, rec_id long, text string")
-    messages = spark.createDataFrame([(f'{{"From": "{f} {s} <x@y.example>"}}',) for f, s in people] + [(None,), ("{broken",)], "headers_json string")
-    flags, shapes = personal.name_flags(texts, messages), personal.number_shapes(texts)
-    find = personal.Finder(flags, shapes)
+    messages = spark.createDataFrame([(f'{{"From": "{f} {s} <x@y.example>"}}', f"{f.lower()}@y.example", None, None) for f, s in people] + [(None, None, None, None), ("{broken", None, "", None)], "headers_json string, from_email string, to_emails string, cc_emails string")
+    model = personal.learn(texts, messages)
+    find = personal.Finder(*model)
     text = "Hi Anna,\nask Ivo Halmere (+1 555 804 0199, ivo@x.example), passport XK1234567, 12 Mill Lane, Belmoor 20433, about invoice no. 741-96499.\nMay was quiet. Bergholm, Anna knows."
     got = [(kind, text[a:b]) for a, b, kind in find.find(text)]
     assert got == [("NAME", "Anna"), ("NAME", "Ivo Halmere"), ("PHONE", "+1 555 804 0199"), ("EMAIL", "ivo@x.example"), ("ID_NUMBER", "XK1234567"), ("ADDRESS", "12 Mill Lane, Belmoor 20433"), ("NAME", "Bergholm, Anna")]
     for odd in ("\x0c Anna", "\x0c\t\x0cAnna", "\xa0Anna", "@ @x x@ +1", "Anna " * 3000, "NH1 12345 " * 50):
         find.find(odd)
         assert list(personal._mentions(odd)) is not None
-    clean = {r["rec_id"]: r["clean"] for r in personal.find_personal(texts, flags, shapes, replaced=True).collect()}
+    # Joints and streets that no seed had are induced; real postcodes are read; nothing is cut off at any length.
+    more = "bob [at] site [dot] org, @handle and user@host; 221B Baker Street, London, NW1 6XE; 10 Downing Street, London SW1A 2AA; 1600 Amphitheatre Parkway, Mountain View, CA 94043; 7 Elm Crescent, Belmoor 20431"
+    assert [more[a:b] for a, b, kind in find.find(more)] == ["bob [at] site [dot] org", "221B Baker Street, London, NW1 6XE", "10 Downing Street, London SW1A 2AA", "1600 Amphitheatre Parkway, Mountain View, CA 94043", "7 Elm Crescent, Belmoor 20431"]
+    far = "a" * 300 + "@example.com, " + "pa" * 400 + " 12 " + "M" + "i" * 60 + "ll Lane, Belmoor 20433"
+    assert [far[a:b] for a, b, kind in find.find(far)] == ["a" * 300 + "@example.com", "12 " + "M" + "i" * 60 + "ll Lane, Belmoor 20433"]
+    # Without what was learned nothing is found.
+    none = personal.Finder((np.empty(0, np.int64), np.empty(0, np.uint8)), {}, frozenset(), frozenset())
+    assert none.find(text) == [] and none.find(more) == []
+    clean = {r["rec_id"]: r["clean"] for r in personal.find_personal(texts, model, replaced=True).collect()}
     assert clean[900] is None and clean[901] == "" and clean[0].startswith("Dear [NAME],\n\nYou can reach [NAME] at tel. [PHONE]. Mind [NAME], passport [ID_NUMBER]. Invoice no. 741-96400 was paid.")
 
 
