@@ -10,7 +10,7 @@ a physical identity and the smallest residual wins; solutions that fit equally w
 not unique. Two kinds of identity are used: within a column all values are the same quantity, so a
 reading must agree with the level of the other tables' values under that base name
 (:func:`convert_quantities`), and across columns a product such as mass = density x volume must hold
-(:func:`solve_identity`).
+(:func:`solve_identity`, :func:`mass_and_volume`).
 """
 
 from __future__ import annotations
@@ -217,6 +217,20 @@ def foreign_units(rows: DataFrame, quantity_units: DataFrame) -> DataFrame:
     return convert_quantities(rows, quantity_units).where("recorded IS NOT NULL AND NOT is_common").select("row_id", "column_name").distinct()
 
 
+def mass_and_volume(rows: DataFrame, quantity_units: DataFrame) -> DataFrame:
+    """Tables with a mass and a volume in their rows, tested for mass = density x volume with water's density.
+
+    One row per table: the units under which its numbers, as converted, keep to the identity best, the
+    residual left, and whether no other combination comes as near. Rows with several masses or volumes
+    take part with the largest of each.
+    """
+    values = convert_quantities(rows, quantity_units).where("quantity IN ('mass', 'volume')")
+    wide = values.groupBy("row_id").agg(*(F.max(F.when(F.col("quantity") == q, F.col("value"))).alias(q) for q in ("mass", "volume")))
+    keyed = rows.select("row_id", *(F.coalesce(c, F.lit(-1 if c == "table_index" else "")).alias(c) for c in TABLE)).join(wide, "row_id").withColumn("density", F.lit(1.0))
+    units = {"mass": {"kg": 1.0, "g": 1e-3, "t": 1e3, "lb": 0.45359237}, "density": {"kg/l": 1.0}, "volume": {"l": 1.0, "m3": 1e3, "ml": 1e-3, "gal": 3.785411784}}
+    return solve_identity(keyed, TABLE, "mass", ["density", "volume"], units)
+
+
 def solve_identity(df: DataFrame, keys: Sequence[str], product: str, factors: Sequence[str], candidates: Mapping[str, Mapping[str, float]], tolerance: float = 0.02) -> DataFrame:
     """The unit combination per group under which ``product = factor x factor ...`` holds best.
 

@@ -40,6 +40,12 @@ def p1_values(spark: SparkSession, d: str) -> DataFrame:
     return units.convert_quantities(table(spark, d, "table_rows"), table(spark, d, "quantity_units"))
 
 
+@query()
+def p1_identities(spark: SparkSession, d: str) -> DataFrame:
+    """Tables that state masses and volumes, with the unit combination that keeps to the density of water best."""
+    return units.mass_and_volume(table(spark, d, "table_rows"), table(spark, d, "quantity_units"))
+
+
 @query()
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return instants.wrong_instants(table(spark, d, "messages"), table(spark, d, "site_zones"))

@@ -63,3 +63,15 @@ def test_identity(spark):
     even = spark.createDataFrame([("a", 2.0 * v, 2.0, v) for v in (1.0, 3.0)], df.schema)
     same = units.solve_identity(even, ["g"], "mass", ["density", "volume"], {"mass": {"kg": 1e3, "g": 1}, "density": {"kg/l": 1}, "volume": {"l": 1e3, "ml": 1}}).collect()
     assert not same[0]["unique"]  # kg with l holds as well as g with ml
+
+
+def test_mass_and_volume(spark):
+    from letterloom.operators import units
+
+    rows = [(i, "m", "a", 0, {"Weight (t)": f"{2 + i}.5", "Volume (m3)": f"{2 + i}.5"}) for i in range(8)] + [(100 + i, "m", "b", 0, {"Weight (kg)": f"{3 + 7 * i}.5"}) for i in range(4)]
+    df = spark.createDataFrame(rows, "row_id long, message_id string, attachment_path string, table_index int, data map<string,string>")
+    quantities = spark.createDataFrame([("mass", "kg"), ("volume", "l")], "quantity string, common_unit string")
+    got = units.mass_and_volume(df, quantities).collect()
+    assert [(r["attachment_path"], r["unit_mass"], r["unit_volume"], r["rows"]) for r in got][0][0] == "a" and len(got) == 1
+    assert got[0]["residual"] < 1e-9 and not got[0]["unique"]  # kg with l, g with ml and t with m3 fit alike
+    assert units.mass_and_volume(df.limit(0), quantities).count() == 0
