@@ -53,7 +53,7 @@ _BREAK = re.compile(r"\n(?:[ \t>»|:]|[A-Z]{1,3}>)*(?:\r?\n(?:[ \t>»|:]|[A-Z]{1
 _MARKED = re.compile(r"\n(?:[ \t>»|:\r]|[A-Z]{1,3}>)")
 _S = r"[  \x02]"
 _DOMAIN = re.compile(r"[\w-]+(?:\.[\w-]+)+")
-_LOCAL_SIGNS = frozenset(".+%-_")
+_LOCAL = re.compile(r"[\w.+%-]*")
 _BRACKETED = re.compile(r"[\[(]\w{2,8}[\])]")
 _SPELLED = re.compile(r"([\w.+%-]+) ?[\[(](\w{2,8})[\])] ?([\w-]+)((?: ?[\[(]\w{2,8}[\])] ?[\w-]+|\.[\w-]+)+)")
 _POINT = re.compile(r" ?[\[(](\w{2,8})[\])] ?")
@@ -66,7 +66,7 @@ _POST = rf"(?:[A-Z]{{1,2}}\d[A-Z\d]?{_S}+\d[A-Z]{{2}}|(?:[A-Z]{{2}}{_S}+)?\d{{5}
 _POSTCODES = re.compile(r"(?<![\w-])(?:\d{5}(?!\d)|[A-Z]{1,2}\d[A-Z\d]?[  \x02]+\d[A-Z]{2}\b)")
 _WORD = r"[^\W\d_a-zà-ÿ][^\s,;|<>]*"
 #: How far around its postcode an address may reach.
-_BEFORE, _AFTER = 256, 96
+_BEFORE, _AFTER = 160, 64
 _ADDRESS = re.compile(
     rf"(?<!\w)(?:(?:Unit{_S}+\d+[A-Za-z]?,{_S}+)?\d{{1,5}}[A-Za-z]?,?{_S}+(?:{_WORD}{_S}+){{1,3}}?(?P<last>[^\W\d_a-zà-ÿ][^\W\d_]*)\.?,?{_S}+{_TOWN}(?:{_S}{_TOWN})?,?{_S}+{_POST}"
     rf"|\d{{1,5}}[A-Za-z]?,?{_S}+(?P<type>[^\W\d_]{{3,}}){_S}+(?:(?:de{_S}+la|du|des|de|d['’]){_S}*)?{_WORD},{_S}+{_POST}{_S}+{_TOWN}"
@@ -124,8 +124,9 @@ def evidence(texts: DataFrame) -> DataFrame:
                         form = shape(text[a:b])
                         seen.update([("number", form, w, "") for w in {x.strip(">|(),;<").lower() for x in words} if w])
                     seen.update([("mail", signs, address.lower(), "") for _, _, signs, address in _mails(text)])
-                    if _POSTCODES.search(text):
-                        for found in _addresses(flattened(text)):
+                    post = _POSTCODES.search(text)
+                    if post:
+                        for found in _addresses(flattened(text), post.start()):
                             seen[("place", found[-1][2], found[-1][3], "")] += 1  # that of a seed, or else the tightest reading
             if len(seen) > 300_000:
                 yield rows_of(seen)
@@ -167,10 +168,10 @@ def _mails(text: str) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, joining signs, address) of everything written like a mail address, whatever the signs."""
     i = text.find("@")
     while i >= 0:
-        start = i
-        while start and (text[start - 1].isalnum() or text[start - 1] in _LOCAL_SIGNS):
-            start -= 1
-        domain = _DOMAIN.match(text, i + 1)
+        reach = 48
+        while (n := len(_LOCAL.match(text[max(0, i - reach) : i][::-1]).group())) == reach:
+            reach *= 8  # a longer one than most
+        start, domain = i - n, _DOMAIN.match(text, i + 1)
         if start < i and domain:
             end = domain.end() - (text[domain.end() - 1] in "-_")
             yield start, end, JOINTS, text[start:end]
@@ -181,10 +182,10 @@ def _mails(text: str) -> Iterator[tuple[int, int, str, str]]:
             yield m.start(), m.end(), f"{m.group(2).lower()}|{points[0].lower() if points else '.'}", f"{m.group(1)}@{m.group(3)}{_POINT.sub('.', m.group(4))}"
 
 
-def _addresses(flat: str) -> Iterator[list[tuple[int, int, str, str]]]:
+def _addresses(flat: str, start: int = 0) -> Iterator[list[tuple[int, int, str, str]]]:
     """For each postcode the readings (start, end, word of the street, form of the postcode) of the address it may end, up to one with a seed word."""
     done = 0
-    for p in _POSTCODES.finditer(flat):
+    for p in _POSTCODES.finditer(flat, start):
         if p.start() < done:
             continue
         found, at = [], max(done, p.start() - _BEFORE)
@@ -328,12 +329,11 @@ class Finder:
         for a, b, signs, _ in _mails(flat):
             if signs in self.joints:
                 add(a, b, "EMAIL")
-        if _POSTCODES.search(flat):
-            for found in _addresses(flat):
-                best = next((x for x in reversed(found) if x[2] in self.streets), None)
-                if best:
-                    a, b = next((x[0], x[1]) for x in found if x[2] == best[2])
-                    add(a, b, "ADDRESS")
+        for found in _addresses(flat):
+            best = next((x for x in reversed(found) if x[2] in self.streets), None)
+            if best:
+                a, b = next((x[0], x[1]) for x in found if x[2] == best[2])
+                add(a, b, "ADDRESS")
         for a, b in _numbers(flat):
             kind = self.shapes.get(shape(flat[a:b]))
             if kind:
