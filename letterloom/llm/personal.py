@@ -55,7 +55,7 @@ _S = r"[  \x02]"
 _DOMAIN = re.compile(r"[\w-]+(?:\.[\w-]+)+")
 _LOCAL = re.compile(r"[\w.+%-]*")
 _BRACKETED = re.compile(r"[\[(]\w{2,8}[\])]")
-_SPELLED = re.compile(r"([\w.+%-]+) ?[\[(](\w{2,8})[\])] ?([\w-]+)((?: ?[\[(]\w{2,8}[\])] ?[\w-]+|\.[\w-]+)+)")
+_SPELLED = re.compile(r" ?([\w-]+)((?: ?[\[(]\w{2,8}[\])] ?[\w-]+|\.[\w-]+)+)")
 _POINT = re.compile(r" ?[\[(](\w{2,8})[\])] ?")
 _DIGITS = re.compile(r"\d[\d()  \x02./-]{4,}")
 _DATE = re.compile(r"(?:\d{4}-\d\d-\d\d|\d{1,2}[./]\d{1,2}[./](?:\d{4}|\d{2})(?!\d))")
@@ -63,7 +63,8 @@ _GROUP = rf"(?:\(\d{{1,5}}\)|\d+)"
 _NUMBER = re.compile(rf"(?<![\w@./:€£$#-])(?:\+\(?|[A-Z]{{2,3}}(?=\d)|)(?:{_GROUP}(?:(?:[.\-/]|{_S}{{1,6}}|(?<=\)))(?=[\d(])){{1}})*\d+(?:-?[A-Z](?![\w-])|)(?:{_S}(?:ext|x)\.?{_S}?\d{{1,5}})?(?![\w@])", re.ASCII)
 _TOWN = r"[^\W\d_a-zà-ÿ][\w'’\x80-ɏ-]*"
 _POST = rf"(?:[A-Z]{{1,2}}\d[A-Z\d]?{_S}+\d[A-Z]{{2}}|(?:[A-Z]{{2}}{_S}+)?\d{{5}}(?:-\d{{4}})?)"
-_POSTCODES = re.compile(r"(?<![\w-])(?:\d{5}(?!\d)|[A-Z]{1,2}\d[A-Z\d]?[  \x02]+\d[A-Z]{2}\b)")
+#: Begins with a digit, which is searched for fast; letters before it are looked at afterwards.
+_POSTCODES = re.compile(r"[0-9](?:(?<![\w-][0-9])[0-9]{4}(?![0-9])|(?<=[A-Z][0-9])[A-Z0-9]?[  \x02]+[0-9][A-Z]{2}\b)")
 _WORD = r"[^\W\d_a-zà-ÿ][^\s,;|<>]*"
 #: How far around its postcode an address may reach.
 _BEFORE, _AFTER = 160, 64
@@ -164,22 +165,31 @@ def _numbers(text: str) -> Iterator[tuple[int, int]]:
                 yield m.start(), m.end()
 
 
+def _local(text: str, end: int) -> int:
+    """Where the local part of a mail address that ends at ``end`` begins."""
+    reach = 48
+    while (n := len(_LOCAL.match(text[max(0, end - reach) : end][::-1]).group())) == reach:
+        reach *= 8  # a longer one than most
+    return end - n
+
+
 def _mails(text: str) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, joining signs, address) of everything written like a mail address, whatever the signs."""
     i = text.find("@")
     while i >= 0:
-        reach = 48
-        while (n := len(_LOCAL.match(text[max(0, i - reach) : i][::-1]).group())) == reach:
-            reach *= 8  # a longer one than most
-        start, domain = i - n, _DOMAIN.match(text, i + 1)
+        start, domain = _local(text, i), _DOMAIN.match(text, i + 1)
         if start < i and domain:
             end = domain.end() - (text[domain.end() - 1] in "-_")
             yield start, end, JOINTS, text[start:end]
         i = text.find("@", i + 1)
-    if _BRACKETED.search(text):
-        for m in _SPELLED.finditer(text):
-            points = _POINT.findall(m.group(4))
-            yield m.start(), m.end(), f"{m.group(2).lower()}|{points[0].lower() if points else '.'}", f"{m.group(1)}@{m.group(3)}{_POINT.sub('.', m.group(4))}"
+    done = 0
+    for at in _BRACKETED.finditer(text):
+        i = at.start() - (text[at.start() - 1 : at.start()] == " ")
+        rest = _SPELLED.match(text, at.end()) if at.start() >= done else None
+        if rest and (start := _local(text, i)) < i:
+            points = _POINT.findall(rest.group(2))
+            done = rest.end()
+            yield start, done, f"{at.group()[1:-1].lower()}|{points[0].lower() if points else '.'}", f"{text[start:i]}@{rest.group(1)}{_POINT.sub('.', rest.group(2))}"
 
 
 def _addresses(flat: str, start: int = 0) -> Iterator[list[tuple[int, int, str, str]]]:
@@ -189,10 +199,12 @@ def _addresses(flat: str, start: int = 0) -> Iterator[list[tuple[int, int, str,
         if p.start() < done:
             continue
         found, at = [], max(done, p.start() - _BEFORE)
+        letters = re.search(r"[A-Z]{0,2}$", flat[max(0, p.start() - 2) : p.start()]).group()
+        form = _POST_FORM.sub("A", re.sub(r"\d", "9", (letters + p.group()).replace("\x02", " ")))
         while (m := _ADDRESS.search(flat, at, p.end() + _AFTER)) and m.start() < p.start():
             if p.end() <= m.end():
                 key = f"-{m['end'].lower()}" if m["end"] else (m["last"] or m["type"] or m["first"]).rstrip(".").lower()
-                found.append((m.start(), m.end(), key, _POST_FORM.sub("A", re.sub(r"\d", "9", p.group().replace("\x02", " ")))))
+                found.append((m.start(), m.end(), key, form))
                 if key in STREETS:
                     break
             at = m.start() + 1
