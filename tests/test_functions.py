@@ -1,3 +1,4 @@
+import math
 import sqlite3
 
 import pytest
@@ -61,6 +62,32 @@ def test_every_question_is_asked(spark):
     assert fused == {(7, 1): 1 / 61, (7, 2): 1 / 61, (8, 1): 1 / 62 + 1 / 61}
 
 
+def _asked_at_random(spark, n=60):
+    import random
+
+    r = random.Random(5)
+    texts = [" ".join(r.choice("abcdefghij") for _ in range(r.randint(1, 14))) for _ in range(n)] + ["", None, "a b c d e f g h i j", "a b c d e f g h i j"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    asked = {100 + i: sorted({r.choice("abcdefghij") for _ in range(r.randint(1, 9))}) for i in range(40)} | {200 + i: list("abcdefghij")[: i + 1] for i in range(10)} | {300: ["a", "nowhere"], 301: [], 302: ["b", "a"]}
+    return docs, asked, spark.createDataFrame(list(asked.items()), "query_id long, terms array<string>")
+
+
+def test_questions_go_to_the_documents(spark, capsys):
+    docs, asked, questions = _asked_at_random(spark)
+    found = lexical.search_each(docs, "id", ["t"], questions, block_bytes=600)
+    rows = docs.select("id", T.terms(F.col("t")).alias("ts")).collect()
+    n, avgdl = len(rows), sum(len(r["ts"]) for r in rows) / len(rows)
+    df = {t: sum(t in r["ts"] for r in rows) for t in "abcdefghij"}
+    idf = {t: max(math.log((n - x + 0.5) / (x + 0.5)), 0) or 1e-6 for t, x in df.items()}
+    want = {(q, r["id"]): -sum(idf[t] * r["ts"].count(t) * 2.2 / (r["ts"].count(t) + 1.2 * (0.25 + 0.75 * len(r["ts"]) / avgdl)) for t in terms) for q, terms in asked.items() for r in rows if terms and set(terms) <= set(r["ts"])}
+    got = {(r["query_id"], r["id"]): r["score"] for r in found.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-9 for k in want)
+    found.explain()
+    plan = capsys.readouterr().out  # no candidate pair is joined or shuffled
+    assert "Join" not in plan and "Exchange" not in plan and plan.count("MapInArrow") > 1
+    assert lexical.search_each(docs.limit(0), "id", ["t"], questions).count() == lexical.search_each(docs, "id", ["t"], questions.limit(0)).count() == 0
+
+
 def test_nearest_and_hash(spark):
     rows = [(i, [float(i), 0.0]) for i in range(20)]
     v = spark.createDataFrame(rows, "vec_id long, v array<float>")
