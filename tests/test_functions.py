@@ -88,6 +88,16 @@ def test_questions_go_to_the_documents(spark, capsys):
     assert lexical.search_each(docs.limit(0), "id", ["t"], questions).count() == lexical.search_each(docs, "id", ["t"], questions.limit(0)).count() == 0
 
 
+def test_union_of_the_best_of_two_tables(spark):
+    docs, asked, questions = _asked_at_random(spark)
+
+    def union(k):
+        of = lambda name, shift: lexical.search_each(docs.withColumn("id", F.col("id") + shift), "id", ["t"], questions, k).withColumn("source", F.lit(name))
+        return sorted(map(tuple, lexical.top_each(of("document", 0).unionByName(of("chunk", 1000)), ["score", F.desc("source"), "id"], 3).select("query_id", "source", "id", "rank").collect()))
+
+    assert union(3) == union(None) and len({r[0] for r in union(3)}) > 30
+
+
 def test_nearest_and_hash(spark):
     rows = [(i, [float(i), 0.0]) for i in range(20)]
     v = spark.createDataFrame(rows, "vec_id long, v array<float>")
