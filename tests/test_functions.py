@@ -98,6 +98,15 @@ def test_union_of_the_best_of_two_tables(spark):
     assert union(3) == union(None) and len({r[0] for r in union(3)}) > 30
 
 
+def test_a_task_keeps_the_best_of_each_question(spark):
+    docs, asked, questions = _asked_at_random(spark)
+    kept = lexical.search_each(docs.coalesce(1), "id", ["t"], questions, 2)
+    best = sorted(map(tuple, lexical.top_each(lexical.search_each(docs, "id", ["t"], questions), ["score", "id"], 2).select("query_id", "id", "score").collect()))
+    assert sorted(map(tuple, kept.select("query_id", "id", "score").collect())) == best
+    same = spark.createDataFrame([(i, "a b") for i in (5, 3, 9, 1)], "id long, t string").coalesce(1)
+    assert [r["id"] for r in lexical.search_each(same, "id", ["t"], questions.where("query_id = 302"), 2).orderBy("id").collect()] == [1, 3]  # ties by key
+
+
 def test_nearest_and_hash(spark):
     rows = [(i, [float(i), 0.0]) for i in range(20)]
     v = spark.createDataFrame(rows, "vec_id long, v array<float>")
