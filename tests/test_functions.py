@@ -107,6 +107,13 @@ def test_a_task_keeps_the_best_of_each_question(spark):
     assert [r["id"] for r in lexical.search_each(same, "id", ["t"], questions.where("query_id = 302"), 2).orderBy("id").collect()] == [1, 3]  # ties by key
 
 
+def test_snippets_of_the_pairs_found(spark):
+    docs, asked, questions = _asked_at_random(spark)
+    found = lexical.search_each(docs, "id", ["t"], questions, snippet=4)
+    told = found.join(docs, "id").join(questions, "query_id").select("snippet", T.snippet(F.col("t"), F.col("terms"), 4).alias("want")).collect()
+    assert len(told) > 50 and all(r["snippet"] == r["want"] for r in told)
+
+
 def test_nearest_and_hash(spark):
     rows = [(i, [float(i), 0.0]) for i in range(20)]
     v = spark.createDataFrame(rows, "vec_id long, v array<float>")
