@@ -36,8 +36,6 @@ AFTER = 1.15
 GAIN = 0.25
 #: Bytes that a paragraph of an earlier mail must save: less is what greetings and thanks save by chance.
 EVIDENCE = 40
-#: Generations of a thread that are followed where no thread id is given: two to this power.
-DOUBLINGS = 3
 
 _SEPARATOR = re.compile(r"^(?:--+|__+|\*\*+|==+|~~+|—+|–+|(?:[*·•_~=-] ?){3,})\s*$")
 _QUOTE = re.compile(r"^\s{0,3}(?:[>»|]|: |:$|[A-Z]{1,3}>)")
@@ -335,20 +333,44 @@ def closing_dictionaries(units: DataFrame, senders: DataFrame) -> tuple[DataFram
 
 
 def thread_generations(messages: DataFrame) -> DataFrame:
-    """(message_id, thread, generation) as hashes: mails of one thread share the key, answers come after what they answer."""
+    """(message_id, thread, generation) as hashes: mails of one thread share the key, answers come after what they answer.
+
+    Threads of any length are followed to their end. Mails that answer each other in a circle begin their
+    thread together: none of them is older, and what answers them comes after.
+    """
     known = messages.where("message_id IS NOT NULL").groupBy("message_id").agg(F.min(F.struct(F.coalesce("in_reply_to", F.lit("")).alias("up"), F.coalesce("thread_id", F.lit("")).alias("thread"))).alias("m"))
     h = lambda c: F.when(F.col(c) != "", F.xxhash64(c))
-    nodes = known.select(F.xxhash64("message_id").alias("id"), h("m.up").alias("up"), h("m.thread").alias("thread"))
-    nodes = nodes.withColumn("generation", F.when(F.col("up").isNotNull(), 1).otherwise(0))
-    for _ in range(DOUBLINGS):  # each round looks twice as far up
-        above = nodes.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("thread").alias("thread2"), F.col("generation").alias("more"))
-        hit = nodes.where("up IS NOT NULL").join(above, "up", "left")
-        moved = hit.select("id", F.when(F.col("more").isNotNull(), F.col("up2")).otherwise(F.col("up")).alias("up"), F.coalesce("thread", "thread2").alias("thread"), (F.col("generation") + F.coalesce("more", F.lit(0))).alias("generation"), F.when(F.col("more").isNotNull() & F.col("up2").isNull(), F.col("up")).alias("root"))
-        moved = moved.select("id", F.when(F.col("root").isNull(), F.col("up")).alias("up"), F.coalesce("thread", "root").alias("thread"), "generation")
-        nodes = cut(moved.unionByName(nodes.where("up IS NULL").select("id", "up", "thread", "generation")))
+    first = known.select(F.xxhash64("message_id").alias("id"), h("m.up").alias("up"), h("m.thread").alias("thread"))
+    nodes, circling = _followed(first)
+    if circling:
+        circle = nodes.join(nodes.where("open").select(F.col("up").alias("id")).distinct(), "id", "left_semi").select("id", F.coalesce("thread", "low").alias("shared"))
+        apart = first.join(circle, "id", "left").select("id", F.when(F.col("shared").isNull(), F.col("up")).alias("up"), F.coalesce("thread", "shared").alias("thread"))
+        nodes, _ = _followed(apart)
     return nodes.select("id", F.coalesce("thread", "up", "id").alias("thread"), "generation")
 
 
+def _followed(first: DataFrame) -> tuple[DataFrame, int]:
+    """(id, up, thread, generation, low, open) of mails (id, up, thread) followed up as far as their mails are here, and how many are still open.
+
+    Each round looks twice as far up and closes those that reach an end, so a round that closes none leaves
+    only mails whose way runs into a circle. These go on until ``up`` lies in the circle and ``low``, the
+    least id on the way, has gone round it.
+    """
+    nodes = first.select("*", F.col("up").isNotNull().cast("long").alias("generation"), F.col("id").alias("low"), F.col("up").isNotNull().alias("open"))
+    steps, left = 1, -1
+    while True:
+        above = nodes.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("thread").alias("thread2"), F.col("generation").alias("more"), F.col("low").alias("low2"))
+        here = F.col("more").isNotNull()
+        moved = nodes.where("open").join(above, "up", "left").select(
+            "id", F.when(here, F.col("up2")).otherwise(F.col("up")).alias("up"), F.coalesce("thread", "thread2", F.when(here & F.col("up2").isNull(), F.col("up"))).alias("thread"),
+            (F.col("generation") + F.coalesce("more", F.lit(0))).alias("generation"), F.least("low", "low2").alias("low"), (here & F.col("up2").isNotNull()).alias("open"),
+        )
+        nodes = cut(moved.unionByName(nodes.where("NOT open")))
+        before, left, steps = left, nodes.where("open").count(), 2 * steps
+        if not left or left == before and steps >= left:
+            return nodes, left
+
+
 def older_paragraphs(bodies: DataFrame, generations: DataFrame) -> DataFrame:
     """(parse_id, key) of unmarked paragraphs that a mail of an earlier generation of the thread has, too.
 

@@ -408,3 +408,19 @@ def test_quality_matches_labels(spark, data):
     labels = pd.read_parquet(f"{data}/doc_labels.parquet").set_index("doc_id")["text_class"].to_dict()
     found = {r["doc_id"]: r["text_class"] for r in Q.p10_found(spark, data).collect()}
     assert all(found.get(k, "prose") == v for k, v in labels.items())
+
+
+def test_threads_of_any_length_and_circles(spark):
+    from letterloom.llm import replies
+
+    def of(rows):
+        df = spark.createDataFrame(rows, "message_id string, in_reply_to string, thread_id string")
+        by = {r["id"]: (r["thread"], r["generation"]) for r in replies.thread_generations(df).collect()}
+        return {r["message_id"]: by[r["h"]] for r in df.selectExpr("message_id", "xxhash64(message_id) AS h").collect()}
+
+    chain = of([(f"m{i}", f"m{i - 1}" if i else None, None) for i in range(37)] + [("lost", "gone", ""), ("later", "lost", ""), ("other", "gone", "")])
+    assert [chain[f"m{i}"][1] for i in range(37)] == list(range(37)) and len({chain[f"m{i}"][0] for i in range(37)}) == 1
+    assert [chain[x][1] for x in ("lost", "other", "later")] == [1, 1, 2] and len({chain[x][0] for x in ("lost", "other", "later")}) == 1
+    ring = of([(f"r{i}", f"r{(i + 1) % 5}", None) for i in range(5)] + [("t0", "r3", None)] + [(f"t{i}", f"t{i - 1}", None) for i in range(1, 12)] + [("self", "self", None), ("free", None, None)])
+    assert {ring[f"r{i}"][1] for i in range(5)} == {ring["self"][1]} == {0} and [ring[f"t{i}"][1] for i in range(12)] == list(range(1, 13))
+    assert len({ring[k][0] for k in ring if k[0] in "rt"}) == 1 and len({x for x, _ in ring.values()}) == 3
