@@ -85,7 +85,10 @@ def _mark_quotes(lines: list[str]) -> list[bool]:
         line = lines[i].strip()
         if out[i] or not line:
             continue
-        rule = bool(_FORWARD.match(line)) or (_SEPARATOR.match(line) and len(line) >= 8)
+        plain = line[0].isalnum()  # neither a separator nor the line of a forwarded mail
+        if plain and "@" not in line:  # the first header of a block has an address
+            continue
+        rule = not plain and (bool(_FORWARD.match(line)) or (_SEPARATOR.match(line) and len(line) >= 8))
         start = i + 1 if rule else i
         heads = [x for x in lines[start : start + 6] if x.strip()]
         block = 0
@@ -101,7 +104,12 @@ def _mark_quotes(lines: list[str]) -> list[bool]:
 
 def key_of(unit: str) -> int:
     """Hash of a line or sentence, the same for any spacing and, in mostly Latin text, any wrong decoding."""
-    plain = _plain(unit).rstrip(",.!;:–- ").lower() or unit.strip()
+    return _plain_key(_plain(unit))
+
+
+def _plain_key(unit: str) -> int:
+    """:func:`key_of` of a unit whose spacing is plain already."""
+    plain = unit.rstrip(",.!;:–- ").lower() or unit
     if not plain.isascii():
         bare = _BEYOND.sub("?", plain)
         if 2 * (len(bare) - bare.count("?")) > len(plain):
@@ -157,7 +165,7 @@ class Closings:
         self.shared, self.own, self.names = shared, own, names
 
     def _known(self, unit: str, kind: str) -> bool:
-        k = key_of(unit)
+        k = _plain_key(unit)
         if self.shared.get(k) == kind or kind == "closing" and k in self.own:
             return True
         words = unit.rstrip(",.!;:–- ").lower().replace(".", " ").split()
@@ -204,8 +212,10 @@ def older_lines(body: str, ancestors: frozenset[int], closings: Closings) -> lis
         elif len(lines[i - 1]) >= 55 and len(bare) <= 30 and last[-1:] not in ".!?:" and bare[-1] in ".!?" and len(bare) <= 18:
             old[i] = True
     for i in range(n):  # introducing lines, possibly over two lines
+        if old[i] or not lines[i].strip() or not _is_intro(lines[i]):
+            continue
         quoted = next((old[j] for j in range(i + 1, n) if lines[j].strip()), False)
-        if old[i] or not lines[i].strip() or not _is_intro(lines[i]) or not (quoted or _MAIL.search(lines[i])):
+        if not (quoted or _MAIL.search(lines[i])):
             continue
         old[i] = True
         start = lines[i].lstrip()
@@ -299,7 +309,7 @@ def closing_units(bodies: DataFrame) -> DataFrame:
                 for k, stretch in enumerate(_paragraphs(lines, _mark_quotes(lines))):
                     second = key_of(lines[stretch[1][0]]) if k == 0 and len(stretch) > 1 else 0
                     for p, paragraph in enumerate(stretch):
-                        found = [key_of(u) for u in _units(lines, paragraph) if u]
+                        found = [_plain_key(u) for u in _units(lines, paragraph) if u]
                         n, begins = len(found), k == p == 0
                         keys += found
                         senders += [sender] * n
@@ -448,7 +458,7 @@ def find_older_lines(parsed: DataFrame, messages: DataFrame, reduced: bool = Fal
                 out = []
                 for i, s, body in zip(rows["parse_id"], rows["sender"], rows["body"], strict=True):
                     lines = body.split("\n")
-                    out += [(i, s, k) for k in {key_of(u) for stretch in _paragraphs(lines, _mark_quotes(lines)) for p in stretch for u in _units(lines, p) if u}]
+                    out += [(i, s, k) for k in {_plain_key(u) for stretch in _paragraphs(lines, _mark_quotes(lines)) for p in stretch for u in _units(lines, p) if u}]
                 yield pd.DataFrame(out, columns=["parse_id", "sender", "key"]).astype("int64")
 
         mine = bodies.where("sender IS NOT NULL").select("parse_id", "sender", "body").mapInPandas(keys, "parse_id long, sender long, key long").join(own, ["sender", "key"]).groupBy("parse_id").agg(F.collect_set("key").alias("closings"))
