@@ -114,6 +114,19 @@ def test_snippets_of_the_pairs_found(spark):
     assert len(told) > 50 and all(r["snippet"] == r["want"] for r in told)
 
 
+def test_fused_ranks_of_every_question(spark):
+    from letterloom.operators import fusion
+
+    docs, asked, questions = _asked_at_random(spark)
+    near = spark.createDataFrame([(q, i, r) for q in asked for r, i in enumerate((q % 7, 20, 40), 1)], "query_id long, id long, rank int")
+
+    def fused(k):
+        words = lexical.top_each(lexical.search_each(docs.repartition(3), "id", ["t"], questions, k), ["score", "id"], 5)
+        return sorted(map(tuple, fusion.fuse(words, near, ["query_id", "id"]).fillna(0).select("query_id", "id", "lexical_rank", "vector_rank").collect()))
+
+    assert fused(5) == fused(None) and {q for q, *_ in fused(5)} == set(asked)
+
+
 def test_nearest_and_hash(spark):
     rows = [(i, [float(i), 0.0]) for i in range(20)]
     v = spark.createDataFrame(rows, "vec_id long, v array<float>")
