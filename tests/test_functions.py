@@ -127,6 +127,24 @@ def test_fused_ranks_of_every_question(spark):
     assert fused(5) == fused(None) and {q for q, *_ in fused(5)} == set(asked)
 
 
+def test_terms_are_read_from_whole_buffers(spark):
+    texts = ["Ab.c d-e ÀÉx ﬁ straße", "ΌΔΟΣ ΣΑΣ x", "İstanbul I i", None, "", "!? \n", "日本 語 한글 \U0001d54f\U0001f600 ½ x́", "a\x00b ﻿c"] + ["word%d über" % i for i in range(50)]
+    docs = spark.createDataFrame([(i, t, t and t[::-1]) for i, t in enumerate(texts)], "id long, t string, u string")
+    docs = docs.unionByName(docs.limit(1).selectExpr("99L AS id", "cast(unhex('61FF62C3') AS string) AS t", "'ok' AS u"))
+    table, letters = lexical._folds(spark)
+    want = {r["id"]: r["ts"] for r in docs.select("id", F.concat(T.terms(F.col("t")), T.terms(F.col("u"))).alias("ts")).collect()}
+    batch, got = lexical._readable(docs, "id", ["t", "u"], letters).toArrow().combine_chunks().to_batches()[0], {}
+    assert 3 <= len(batch) - batch.column("ts").null_count < 10  # the rest is not cut by Spark
+    for size in (1, 100, 4_000_000):
+        for keys, lengths, flat in lexical._read(batch, "id", table, size):
+            for k, n, end in zip(keys.to_pylist(), lengths, lengths.cumsum(), strict=True):
+                got[k] = flat.slice(end - n, n).to_pylist()
+        assert got == want
+    points = spark.range(1, 0x110000).where("id NOT BETWEEN 55296 AND 57343").select("id", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    wrong = points.where(~F.col("c").isin(*letters)).select("id", T.terms(F.col("c")).alias("ts")).toArrow()
+    assert [r["id"] for r in wrong.to_pylist() if (r["ts"] or [""])[0] != (chr(table[r["id"]]) if table[r["id"]] else "")] == []
+
+
 def test_nearest_and_hash(spark):
     rows = [(i, [float(i), 0.0]) for i in range(20)]
     v = spark.createDataFrame(rows, "vec_id long, v array<float>")
