@@ -18,8 +18,8 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +43,7 @@ _FORWARD = re.compile(r"^\W{0,3}(?:-{3,}|_{3,}|={3,}) ?\S[^\d]*\S ?(?:-{3,}|_{3,
 _HEADER = re.compile(r"^\*?[^\W\d_][\w -]{0,14}\*? ?: ?\*?\S")
 _WHEN = re.compile(r"\d{1,4}[./-]\d{1,2}[./-]\d{2,4}|\b\d{1,2}:\d{2}\b|\b(?:19|20)\d{2}\b")
 _MAIL = re.compile(r"[\w.+-]+@[\w-]+\.[\w.-]+")
-_SENTENCE = re.compile(r"(?<=[.!?:…])\s+")
+_ENDS = ".!?:…"
 _MARKS = re.compile(r"^[\s>»|]+")
 _BEYOND = re.compile(r"[^\x00-\x7f]+")
 
@@ -64,13 +64,27 @@ def _is_prose(line: str) -> bool:
     return "|" not in words and (len(words) > 12 or len(words) > 2 and words[-1].rstrip("\"'»”’)*_")[-1:] in (".", "!", "?", "…"))
 
 
+def _may_begin_block(lines: list[str]) -> Iterator[int]:
+    """Numbers of the lines with an address, as the first header of a block has one, and of the line above each."""
+    above, given = -1, -1
+    for i, x in enumerate(lines):
+        if "@" in x:
+            if above > given:
+                yield above
+            yield i
+            given = i
+        if x and not x.isspace():
+            above = i
+
+
 def _mark_quotes(lines: list[str]) -> list[bool]:
     """Lines that are quoted or forwarded, by their marks."""
     n = len(lines)
-    out = [bool(_QUOTE.match(x)) for x in lines]
+    out = [bool(x) and not (x[0].isalnum() and ">" not in x[:4]) and bool(_QUOTE.match(x)) for x in lines]
+    every = "\n".join(lines)
     i = 0
-    while i < n:  # quotations marked by indentation, right after their introducing line
-        if not out[i] and _is_intro(lines[i]):
+    while i < n and "\n    " in every:  # quotations marked by indentation, right after their introducing line
+        if not out[i] and ":" in lines[i] and _is_intro(lines[i]):
             j = i + 1
             while j < n and not lines[j].strip():
                 j += 1
@@ -81,13 +95,11 @@ def _mark_quotes(lines: list[str]) -> list[bool]:
                     k += 1
                 i = k - 1
         i += 1
-    for i in range(n):  # from the header block of a forwarded or original mail on, everything is older
+    for i in _may_begin_block(lines) if "@" in every else ():  # from the header block of a forwarded or original mail on, everything is older
         line = lines[i].strip()
-        if out[i] or not line:
+        if out[i]:
             continue
         plain = line[0].isalnum()  # neither a separator nor the line of a forwarded mail
-        if plain and "@" not in line:  # the first header of a block has an address
-            continue
         rule = not plain and (bool(_FORWARD.match(line)) or (_SEPARATOR.match(line) and len(line) >= 8))
         start = i + 1 if rule else i
         heads = [x for x in lines[start : start + 6] if x.strip()]
@@ -117,6 +129,9 @@ def _plain_key(unit: str) -> int:
     return xxhash.xxh64_intdigest(plain) - (1 << 63)
 
 
+_often_asked = lru_cache(1 << 15)(_plain_key)
+
+
 def text_key(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
@@ -142,7 +157,14 @@ def _paragraphs(lines: list[str], old: list[bool]) -> Iterator[list[list[int]]]:
 def _units(lines: list[str], paragraph: list[int]) -> dict[str, None]:
     """The lines and, if it has more than one line or sentence, the sentences of a paragraph."""
     every = [_plain(lines[i]) for i in paragraph]
-    return dict.fromkeys([*every, *_SENTENCE.split(" ".join(every))])
+    return _parts(every, " ".join(every))
+
+
+def _parts(every: list[str], whole: str) -> dict[str, None]:
+    """:func:`_units` of lines whose only blanks are single spaces, and of all of them."""
+    for end in _ENDS:
+        whole = whole.replace(end + " ", end + "\n")
+    return dict.fromkeys([*every, *whole.split("\n")])
 
 
 @lru_cache(1 << 16)
@@ -165,11 +187,16 @@ class Closings:
         self.shared, self.own, self.names = shared, own, names
 
     def _known(self, unit: str, kind: str) -> bool:
-        k = _plain_key(unit)
+        k = _often_asked(unit)
         if self.shared.get(k) == kind or kind == "closing" and k in self.own:
             return True
-        words = unit.rstrip(",.!;:–- ").lower().replace(".", " ").split()
-        return kind == "closing" and 0 < len(words) <= 4 and self.names.issuperset(words) and unit[-1] not in ",:!?"
+        if kind != "closing" or not self.names or unit[-1] in ",:!?":
+            return False
+        bare = unit.rstrip(",.!;:–- ")
+        if bare.count(" ") > 3 + bare.count("."):
+            return False
+        words = bare.lower().replace(".", " ").split()
+        return 0 < len(words) <= 4 and self.names.issuperset(words)
 
     def covered(self, lines: list[str], paragraph: list[int], kind: str) -> list[bool] | None:
         """Per line of a paragraph whether it lies in exact overlaps with the dictionaries; None unless its gain is abnormal."""
@@ -204,7 +231,7 @@ def older_lines(body: str, ancestors: frozenset[int], closings: Closings) -> lis
     old = _mark_quotes(lines)
     older = [t for t in (_plain(" ".join(lines[i] for i in p)) for stretch in _paragraphs(lines, old) for p in stretch) if text_key(t) in ancestors] if ancestors else []
     for i in range(n):  # words that wrapping pushed out of a quoted line
-        if old[i] or not lines[i].strip() or i == 0 or not old[i - 1]:
+        if old[i] or i == 0 or not old[i - 1] or not lines[i].strip():
             continue
         bare, last = _plain(lines[i]), _plain(lines[i - 1].lstrip(" >»|"))
         if i + 1 < n and old[i + 1] and len(bare) <= 30:
@@ -212,7 +239,7 @@ def older_lines(body: str, ancestors: frozenset[int], closings: Closings) -> lis
         elif len(lines[i - 1]) >= 55 and len(bare) <= 30 and last[-1:] not in ".!?:" and bare[-1] in ".!?" and len(bare) <= 18:
             old[i] = True
     for i in range(n):  # introducing lines, possibly over two lines
-        if old[i] or not lines[i].strip() or not _is_intro(lines[i]):
+        if old[i] or ":" not in lines[i] or not _is_intro(lines[i]):
             continue
         quoted = next((old[j] for j in range(i + 1, n) if lines[j].strip()), False)
         if not (quoted or _MAIL.search(lines[i])):
@@ -262,13 +289,12 @@ def _mark_closing(lines: list[str], old: list[bool], stretch: list[list[int]], c
     for p in range(len(stretch) - 1, -1, -1):
         paragraph = stretch[p]
         covered = closings.covered(lines, paragraph, "closing")
-        loose = [not _is_prose(lines[i]) for i in paragraph]
         if covered is not None and any(covered):
             first = len(paragraph)
             for k in range(len(paragraph) - 1, -1, -1):
                 if covered[k]:
                     first = k
-                elif not loose[k]:
+                elif _is_prose(lines[paragraph[k]]):
                     break
             if first < len(paragraph):
                 if first == 1 and len(lines[paragraph[0]].split()) <= 5 and lines[paragraph[0]].rstrip()[-1] not in ".?:" and (p or start is None and len(paragraph) == 2 and len(stretch) > 1):
@@ -278,7 +304,7 @@ def _mark_closing(lines: list[str], old: list[bool], stretch: list[list[int]], c
                 break
         elif len(paragraph) == 1 and _SEPARATOR.match(lines[paragraph[0]]) and start is not None:
             start = (p, 0)
-        elif not all(loose):
+        elif any(_is_prose(lines[i]) for i in paragraph):
             break
     if start is None:
         return
@@ -292,34 +318,56 @@ def _mark_closing(lines: list[str], old: list[bool], stretch: list[list[int]], c
 
 
 # --- on tables
-def closing_units(bodies: DataFrame) -> DataFrame:
-    """(sender, key, n, after, first, mails, next): lines and sentences of the senders' own text, counted.
+def own_texts(bodies: DataFrame) -> DataFrame:
+    """(parse_id, mail, known, sender, paragraphs, quoted): hashes of the senders' own text, each body cut once.
 
-    ``after`` sums how many paragraphs follow, ``first`` how often it begins the mail, ``mails`` tells
-    whether it comes from more than one mail. ``next`` is the key of a line that begins the second
-    paragraph of such a mail, for units of the first, else 0. Counts are combined before the shuffle, so a sender
-    of most mails is no single task's work.
+    Of a paragraph: how many follow in its stretch (``after``), whether it begins the mail, ``next`` as the key
+    of the line that begins the second paragraph of such a mail, else 0, the key of its ``text`` and the ``keys`` of its lines
+    and sentences. What a mail quotes stands in the mail it answers; only where that one is not here (``orphan``) are
+    its ``quoted`` paragraphs taken from it.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            senders, keys, mails, after, first, follow = [], [], [], [], [], []
-            for sender, mail, body in zip(rows["sender"], rows["mail"], rows["body"], strict=True):
+            after, begins, follow, texts, keys, quoted = [], [], [], [], [], []
+            to_paragraph, to_key, to_quoted = [0], [0], [0]
+            for body, orphan in zip(rows.column("body").to_pylist(), rows.column("orphan").to_pylist(), strict=True):
                 lines = body.split("\n")
-                for k, stretch in enumerate(_paragraphs(lines, _mark_quotes(lines))):
+                old = _mark_quotes(lines)
+                first = len(texts)
+                for k, stretch in enumerate(_paragraphs(lines, old)):
                     second = key_of(lines[stretch[1][0]]) if k == 0 and len(stretch) > 1 else 0
                     for p, paragraph in enumerate(stretch):
-                        found = [_plain_key(u) for u in _units(lines, paragraph) if u]
-                        n, begins = len(found), k == p == 0
-                        keys += found
-                        senders += [sender] * n
-                        mails += [mail] * n
-                        after += [len(stretch) - 1 - p] * n
-                        first += [int(begins)] * n
-                        follow += [second if begins else 0] * n
-            yield pd.DataFrame({"sender": pd.array(senders, dtype="Int64"), **{c: np.array(v, dtype=np.int64) for c, v in (("key", keys), ("mail", mails), ("after", after), ("first", first), ("next", follow))}})
-
-    seen = bodies.select("sender", F.xxhash64("message_id").alias("mail"), "body").mapInPandas(count, "sender long, key long, mail long, after long, first long, next long")
+                        every = [_plain(lines[i]) for i in paragraph]
+                        whole = " ".join(every)
+                        keys += [_plain_key(u) for u in _parts(every, whole) if u]
+                        to_key.append(len(keys))
+                        texts.append(text_key(whole))
+                        after.append(len(stretch) - 1 - p)
+                        begins.append(int(k == p == 0))
+                        follow.append(second if k == p == 0 else 0)
+                if orphan:
+                    bare = [_MARKS.sub("", x) if o else "" for x, o in zip(lines, old, strict=True)]
+                    quoted += {text_key(_plain(" ".join(bare[i] for i in p))) for stretch in _paragraphs(bare, [False] * len(bare)) for p in stretch}.difference(texts[first:])
+                to_paragraph.append(len(texts))
+                to_quoted.append(len(quoted))
+            long, short = pa.int64(), pa.int32()
+            listed = lambda to, of: pa.ListArray.from_arrays(pa.array(to, short), of)
+            each = pa.StructArray.from_arrays([pa.array(after, long), pa.array(begins, long), pa.array(follow, long), pa.array(texts, long), listed(to_key, pa.array(keys, long))], names=["after", "first", "next", "text", "keys"])
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("parse_id", "mail", "known", "sender")), listed(to_paragraph, each), listed(to_quoted, pa.array(quoted, long))], names=["parse_id", "mail", "known", "sender", "paragraphs", "quoted"])
+
+    seen = bodies.select("parse_id", F.xxhash64("message_id").alias("mail"), F.col("message_id").isNotNull().alias("known"), "sender", "body", "orphan")
+    return seen.mapInArrow(read, "parse_id long, mail long, known boolean, sender long, paragraphs array<struct<after: long, first: long, next: long, text: long, keys: array<long>>>, quoted array<long>")
+
+
+def closing_units(texts: DataFrame) -> DataFrame:
+    """(sender, key, n, after, first, low, high, next): lines and sentences of the senders' own text, counted.
+
+    ``after`` sums how many paragraphs follow, ``first`` how often it begins the mail, ``low`` and ``high``
+    differ if it comes from more than one mail. Counts are combined before the shuffle, so a sender
+    of most mails is no single task's work.
+    """
+    seen = texts.select("sender", "mail", F.explode("paragraphs").alias("p")).select("sender", "mail", "p.after", "p.first", "p.next", F.explode("p.keys").alias("key"))
     return seen.groupBy("sender", "key").agg(F.max("next").alias("next"), F.count("*").alias("n"), F.sum("after").alias("after"), F.sum("first").alias("first"), F.min("mail").alias("low"), F.max("mail").alias("high"))
 
 
@@ -381,32 +429,15 @@ def _followed(first: DataFrame) -> tuple[DataFrame, int]:
             return nodes, left
 
 
-def older_paragraphs(bodies: DataFrame, generations: DataFrame) -> DataFrame:
+def older_paragraphs(texts: DataFrame, generations: DataFrame) -> DataFrame:
     """(parse_id, key) of unmarked paragraphs that a mail of an earlier generation of the thread has, too.
 
-    What a mail quotes stands in the mail it answers; only where that one is not here (``orphan``) are
-    its quoted paragraphs taken from it. Only hashes are shuffled. Of each thread and paragraph the earliest generation is kept, so a
+    Only hashes are shuffled. Of each thread and paragraph the earliest generation is kept, so a
     long thread makes no pairs of its mails.
     """
-
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            ids, mails, keys_, is_own = [], [], [], []
-            for parse_id, mail, body, orphan in zip(rows["parse_id"], rows["mail"], rows["body"], rows["orphan"], strict=True):
-                lines = body.split("\n")
-                old = _mark_quotes(lines)
-                own = {text_key(_plain(" ".join(lines[i] for i in p))) for stretch in _paragraphs(lines, old) for p in stretch}
-                bare = [_MARKS.sub("", x) if o else "" for x, o in zip(lines, old, strict=True)] if orphan else []
-                quoted = {text_key(_plain(" ".join(bare[i] for i in p))) for stretch in _paragraphs(bare, [False] * len(bare)) for p in stretch}
-                quoted -= own
-                n = len(own) + len(quoted)
-                ids += [parse_id] * n
-                mails += [mail] * n
-                keys_ += [*own, *quoted]
-                is_own += [True] * len(own) + [False] * len(quoted)
-            yield pd.DataFrame({"parse_id": np.array(ids, dtype=np.int64), "id": np.array(mails, dtype=np.int64), "key": np.array(keys_, dtype=np.int64), "own": np.array(is_own, dtype=bool)})
-
-    seen = bodies.where("message_id IS NOT NULL").select("parse_id", F.xxhash64("message_id").alias("mail"), "body", "orphan").mapInPandas(keys, "parse_id long, id long, key long, own boolean")
+    own = F.transform("paragraphs", lambda p: F.struct(p["text"].alias("key"), F.lit(True).alias("own")))
+    quoted = F.transform("quoted", lambda k: F.struct(k.alias("key"), F.lit(False).alias("own")))
+    seen = texts.where("known").select("parse_id", F.col("mail").alias("id"), F.inline(F.array_distinct(F.concat(own, quoted))))
     placed = cut(seen.join(generations, "id").select("parse_id", "thread", "generation", "key", "own"))
     earliest = placed.groupBy("thread", "key").agg(F.min("generation").alias("earliest"), F.max("generation").alias("latest")).where("earliest < latest").select("thread", "key", "earliest")
     return placed.where("own AND generation > 0").join(earliest, ["thread", "key"]).where("generation > earliest").select("parse_id", "key")
@@ -437,10 +468,11 @@ def find_older_lines(parsed: DataFrame, messages: DataFrame, reduced: bool = Fal
     known = filled.where("message_id IS NOT NULL").join(F.broadcast(senders) if _small(senders, broadcast_bytes) else senders, "message_id", "left")
     bodies = known.unionByName(filled.where("message_id IS NULL").select("*", F.lit(None).cast("long").alias("sender"), F.lit(None).cast("string").alias("name"), F.lit(False).alias("orphan")))
 
-    units = cut(closing_units(bodies))
+    texts = cut(own_texts(bodies))
+    units = cut(closing_units(texts))
     own, shared = closing_dictionaries(units, senders)
     own = cut(own)
-    older = cut(older_paragraphs(bodies, thread_generations(messages)))
+    older = cut(older_paragraphs(texts, thread_generations(messages)))
     gathered = older.groupBy("parse_id").agg(F.collect_set("key").alias("ancestors"))
     met = bodies.join(F.broadcast(gathered) if _small(older, broadcast_bytes) else gathered, "parse_id", "left")
     few = _small(own, broadcast_bytes)
@@ -452,16 +484,7 @@ def find_older_lines(parsed: DataFrame, messages: DataFrame, reduced: bool = Fal
         held = {k: frozenset(v) for k, v in by.items()}
         met = met.withColumn("closings", F.lit(None).cast("array<long>"))
     else:
-
-        def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for rows in batches:
-                out = []
-                for i, s, body in zip(rows["parse_id"], rows["sender"], rows["body"], strict=True):
-                    lines = body.split("\n")
-                    out += [(i, s, k) for k in {_plain_key(u) for stretch in _paragraphs(lines, _mark_quotes(lines)) for p in stretch for u in _units(lines, p) if u}]
-                yield pd.DataFrame(out, columns=["parse_id", "sender", "key"]).astype("int64")
-
-        mine = bodies.where("sender IS NOT NULL").select("parse_id", "sender", "body").mapInPandas(keys, "parse_id long, sender long, key long").join(own, ["sender", "key"]).groupBy("parse_id").agg(F.collect_set("key").alias("closings"))
+        mine = texts.where("sender IS NOT NULL").select("parse_id", "sender", F.explode("paragraphs.keys").alias("keys")).select("parse_id", "sender", F.explode("keys").alias("key")).join(own, ["sender", "key"]).groupBy("parse_id").agg(F.collect_set("key").alias("closings"))
         met = met.join(mine, "parse_id", "left")
     dictionaries = parsed.sparkSession.sparkContext.broadcast((shared, held))
 

@@ -125,6 +125,26 @@ def test_unmarked_quotes_are_found_in_any_ancestor(spark):
     assert sorted((r["parse_id"], r["line_no"]) for r in out) == [(3, 5), (6, 1), (7, 1), (7, 2)]
 
 
+def test_each_body_is_cut_once_for_all_dictionaries(spark, monkeypatch):
+    body = "Hello,\n\nOne thing. Two things!\nand a third\n> old words\n> of another\n\nBye"
+    rows = [(1, "a", 7, body, True), (2, "b", 7, body, False), (3, None, None, "Dear all", None)]
+    found = {r["parse_id"]: r for r in replies.own_texts(spark.createDataFrame(rows, "parse_id long, message_id string, sender long, body string, orphan boolean")).collect()}
+    k = replies.key_of
+    units = [["Hello,"], ["One thing. Two things!", "and a third", "One thing.", "Two things!"], ["Bye"]]
+    assert [[*p["keys"]] for p in found[2]["paragraphs"]] == [[*map(k, u)] for u in units]
+    assert [(p["after"], p["first"], p["next"]) for p in found[1]["paragraphs"]] == [(1, 1, k("One thing. Two things!")), (0, 0, 0), (0, 0, 0)]
+    assert [p["text"] for p in found[2]["paragraphs"]] == [replies.text_key(t) for t in ("Hello,", "One thing. Two things! and a third", "Bye")]
+    assert found[1]["quoted"] == [replies.text_key("old words of another")] and found[2]["quoted"] == [] and not found[3]["known"]
+    kind, passes = type(spark.range(1)), []
+    for name in ("mapInPandas", "mapInArrow"):
+        monkeypatch.setattr(kind, name, lambda self, f, *a, real=getattr(kind, name), **o: passes.append(f.__name__) or real(self, f, *a, **o))
+    parsed, heads, _ = mail_corpus(20)
+    for limit in (24_000_000, 0):
+        passes.clear()
+        replies.find_older_lines(spark.createDataFrame(parsed, PARSED), spark.createDataFrame(heads, MESSAGES), broadcast_bytes=limit)
+        assert passes == ["read", "label"]
+
+
 def test_replies_table(spark, data):
     parsed = spark.createDataFrame([(1, "a", None, None, 0), (2, "b", "a", "", 0), (3, None, "zz", "> x\ny", 0), (3, None, "zz", "> x\ny", 0), (4, "a", "a", "y " * 40_000 + "\n\n" + "z", 0)], PARSED)
     messages = spark.createDataFrame([("a", None, None, "a", "a")], MESSAGES)
